@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality
+from . import chat, mixing, packing, quality, token_files
 from .common import read
 
 #: A conversation whose texts hold the control strings of usual templates.
@@ -37,14 +37,35 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    pieces = packing.cut(docs, _tokenizer(), end_id=0, length=2048)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests, docs.count(), length=2048)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write_token_files(read(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
+    back = token_files.read_token_files(spark, folder)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op4_mix_sources": op4_mix_sources,
+    "op5_pack_sequences": op5_pack_sequences,
     "op6_quality_rules": op6_quality_rules,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
