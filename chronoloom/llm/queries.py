@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, token_files
+from . import chat, dedup, minhash, mixing, packing, quality, token_files
 from .common import read
 
 #: A conversation whose texts hold the control strings of usual templates.
@@ -54,6 +54,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_neighbours(read(spark, sf_dir, "documents"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=4)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_token_files(read(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
     back = token_files.read_token_files(spark, folder)
@@ -65,6 +73,8 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_pack_sequences": op5_pack_sequences,
     "op6_quality_rules": op6_quality_rules,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_near_dedup": op8_near_dedup,
     "op9_token_files": op9_token_files,
 }
 
