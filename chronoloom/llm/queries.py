@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, minhash, mixing, packing, quality, token_files
+from . import chat, dedup, minhash, mixing, packing, quality, token_files, toxicity
 from .common import read
 
 #: A conversation whose texts hold the control strings of usual templates.
@@ -68,6 +68,22 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def _remainder(column: str, divisor: int):
+    """crc32 of an id as text modulo a number."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels, held_out=_remainder("doc_id", 5) == 0)
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (_remainder("doc_id", 5) == 0).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op4_mix_sources": op4_mix_sources,
@@ -76,6 +92,7 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_near_dedup": op8_near_dedup,
     "op9_token_files": op9_token_files,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
