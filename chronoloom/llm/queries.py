@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, minhash, mixing, packing, quality, token_files, toxicity
+from . import chat, dedup, minhash, mixing, packing, pii, quality, token_files, toxicity
 from .common import read
 
 #: A conversation whose texts hold the control strings of usual templates.
@@ -33,6 +33,14 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select(
+        "doc_id", *[pii.of_kind(k).alias(f"n_{k}") for k in pii.BASE_KINDS], F.sha2(pii.joined(base_only=True), 256).alias("base_sha256"), pii.joined().alias("spans")
+    )
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -86,6 +94,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op3_pii": op3_pii,
     "op4_mix_sources": op4_mix_sources,
     "op5_pack_sequences": op5_pack_sequences,
     "op6_quality_rules": op6_quality_rules,
