@@ -129,18 +129,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: each document repeated whole, then its cut rest, with the columns of ``docs``.
 
-    Documents are matched by id, so ids must be unique here.  A cut text is its
-    first words, joined by blanks.
+    Documents are matched by id and size; rows that agree in both are all taken
+    as often as the one of them that is taken most.  A cut text is its first
+    words, joined by blanks.
     """
-    takes = mix(docs, **params).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rows = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("__id"))).where(F.col("__taken") > 0)
+    takes = mix(docs, **params).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__n")).agg(F.max("taken").alias("__taken"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.withColumn("__size", size).join(takes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__n"))).where("__taken > 0")
     times = F.floor(F.col("__taken") / F.col("__size"))
     rest = F.col("__taken") - times * F.col("__size")
     copies = F.concat(F.array_repeat(F.col("__size"), times.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("__words", F.explode(copies))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int")), " ")
-    text = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(head)
-    out = rows.withColumn("text", text)
+    out = rows.withColumn("text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(head))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

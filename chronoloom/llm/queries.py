@@ -45,7 +45,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -53,7 +53,7 @@ def _tokenizer() -> str:
 
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    pieces = packing.cut(docs, _tokenizer(), end_id=0, length=2048)
+    pieces = packing.cut(docs, tokenizer_path(), end_id=0, length=2048)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(digests, docs.count(), length=2048)
 
@@ -71,7 +71,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = token_files.write_token_files(read(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
+    folder = token_files.write_token_files(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     back = token_files.read_token_files(spark, folder)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
