@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, minhash, mixing, packing, pii, quality, token_files, toxicity
+from . import chat, dedup, katz, minhash, mixing, packing, pii, quality, token_files, toxicity
 from .common import read
 
 #: A conversation whose texts hold the control strings of usual templates.
@@ -33,6 +33,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(read(spark, sf_dir, "documents"), held_out=_remainder("doc_id", 7) == 2)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.fit(docs))
@@ -94,6 +98,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_lm_score": op2_lm_score,
     "op3_pii": op3_pii,
     "op4_mix_sources": op4_mix_sources,
     "op5_pack_sequences": op5_pack_sequences,
