@@ -133,15 +133,19 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     as often as the one of them that is taken most.  A cut text is its first
     words, joined by blanks.
     """
-    takes = mix(docs, **params).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__n")).agg(F.max("taken").alias("__taken"))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.withColumn("__size", size).join(takes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__n"))).where("__taken > 0")
-    times = F.floor(F.col("__taken") / F.col("__size"))
-    rest = F.col("__taken") - times * F.col("__size")
-    copies = F.concat(F.array_repeat(F.col("__size"), times.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("__words", F.explode(copies))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int")), " ")
-    out = rows.withColumn("text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(head))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    takes = mix(docs, **params).groupBy(F.col("doc_id").alias("id"), F.col("size").alias("n")).agg(F.max("taken").alias("taken"))
+    # columns by place, so that none of their names meets one of ours
+    at = {c: f"doc_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*at.values())
+    text = F.col(at["text"])
+    rows = rows.withColumn("size", F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long"))
+    rows = rows.join(takes, F.col(at["doc_id"]).eqNullSafe(F.col("id")) & (F.col("size") == F.col("n"))).where("taken > 0")
+    times = F.floor(F.col("taken") / F.col("size"))
+    rest = F.col("taken") - times * F.col("size")
+    copies = F.concat(F.array_repeat(F.col("size"), times.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.select(*at.values(), "size", F.explode(copies).alias("words"))
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    rows = rows.withColumn(at["text"], F.when(F.col("words") == F.col("size"), text).otherwise(head))
+    if "n_chars" in at:
+        rows = rows.withColumn(at["n_chars"], F.length(text).cast("long"))
+    return rows.select(*at.values()).toDF(*at)
