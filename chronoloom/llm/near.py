@@ -10,12 +10,13 @@
    the same priorities, so that most of their pairs are the same.
 4. Pairs whose sizes allow it are verified on whole sets, and components found
    by alternating large-star and small-star steps.
-5. Buckets that still hold more than one component get further stars with other
-   priorities; what is left after these is compared in full, but only between
-   components: members meet in blocks of at most ``BLOCK``, a block against a
-   block, where their signatures decide which pairs are worth verifying (six
-   standard deviations below the limit are).  So no link between different
-   texts that share a band is lost, and no pair inside a component is formed.
+5. Buckets that still hold more than one component get further stars, now
+   around the members that agree most with all others: in a group of edited
+   copies that is the text they come from.  What is left after these is compared
+   in full, but only between components: members meet in blocks of about
+   ``BLOCK``, a block against a block, each pair in the first band it shares,
+   and a meeting returns no more links than join its components.  So no link between different texts that share a band is
+   lost, and no pair inside a component is formed.
 
 Everything but the loops' counts stays on the executors; tables between steps
 are written to the shared folder.
@@ -38,7 +39,6 @@ from .common import written
 from .shingles import digest, sets
 
 BLOCK = 512
-STARS = 3
 _BATCH = 64
 
 
@@ -106,40 +106,89 @@ def components(edges: DataFrame) -> DataFrame:
     return written(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct(), "components")
 
 
-def _star(members: DataFrame, seed: int) -> DataFrame:
+def _star(members: DataFrame) -> DataFrame:
     """(a, b), a < b: every member of a bucket with the one of least priority."""
-    order = F.xxhash64("id", F.lit(seed))
+    order = F.xxhash64("id")
     centre = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"))).alias("c"))
     pairs = members.join(centre, "key").select("id", F.col("c.id").alias("other")).where("id <> other")
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def _across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, of different components of a bucket, alike by signature; ``members``: key, id, component."""
-    counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.join(counted, "key").join(classes, "id")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _central(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: every member of a bucket with its most central one, where their components differ.
+
+    The centre is the member whose signature agrees most with the most frequent
+    number in each place: in a group of edited copies, the text they were made
+    from.  Large buckets find theirs in blocks first.
+    """
+    rows = _in_blocks(members).join(classes.select("id", "bands"), "id")
+
+    def centre(rows: pd.DataFrame) -> pd.DataFrame:
+        sign = np.sort(np.stack(rows["bands"].to_numpy()).astype("<i8").view("<u2"), axis=0)
+        raw = np.stack(rows["bands"].to_numpy()).astype("<i8").view("<u2")
+        n, places = sign.shape
+        # the most frequent number of each column: the longest run once sorted
+        new = np.ones((n, places), bool)
+        new[1:] = sign[1:] != sign[:-1]
+        start = np.maximum.accumulate(np.where(new, np.arange(n)[:, None], 0), axis=0)
+        best = (np.arange(n)[:, None] - start).argmax(axis=0)
+        agree = (raw == sign[best, np.arange(places)]).sum(axis=1)
+        i = int(agree.argmax())
+        return pd.DataFrame({"key": [rows["key"].iat[0]], "other": [rows["id"].iat[i]], "agree": [int(agree[i])], "c": [rows["component"].iat[i]]})
+
+    found = rows.groupBy("key", "block").applyInPandas(centre, "key long, other long, agree long, c long")
+    centres = found.groupBy("key").agg(F.max(F.struct("agree", "other", "c")).alias("m")).select("key", "m.other", "m.c")
+    pairs = members.join(centres, "key").where("component <> c")
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Add blocks (how many of at most about BLOCK members a bucket needs) and block (the member's)."""
+    counted = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    return members.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _across(members: DataFrame, classes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: links between components of a bucket, enough of them to join what belongs together.
+
+    ``members``: key, band, id, component.  Blocks meet blocks; in each meeting
+    pairs of different components that share no earlier band are compared on
+    their whole sets, cut to 31 bits a shingle, which can only make them look
+    more alike; the caller verifies what is returned.  Two components are
+    taken as one after their first link, so a meeting returns fewer pairs than
+    it has members.
+    """
+    small = known.select("id", F.transform("shingles", lambda x: x.bitwiseAND((1 << 31) - 1).cast("int")).alias("shingles"))
+    rows = _in_blocks(members).join(classes, "id").join(small, "id")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    rows = rows.select("key", "id", "component", "block", "n_shingles", "bands", F.explode(meets).alias("m")).select("key", "m.i", "m.j", "id", "component", "block", "n_shingles", "bands")
-    share = percent / 100
+    columns = ["key", "band", "id", "component", "block", "bands", "shingles"]
+    rows = rows.select(*columns, F.explode(meets).alias("m")).select(*columns, "m.i", "m.j")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        same = rows["i"].iat[0] == rows["j"].iat[0]
-        sides = [rows[rows["block"] == rows[c].iat[0]] for c in ("i", "j")]
-        sign = [np.stack(s["bands"].to_numpy()).astype("<i8").view("<u2") if len(s) else None for s in sides]
+        same, number = rows["i"].iat[0] == rows["j"].iat[0], rows["band"].iat[0]
+        left, right = (np.flatnonzero((rows["block"] == rows[c].iat[0]).to_numpy()) for c in ("i", "j"))
+        bands, ids, group = np.stack(rows["bands"].to_numpy()).astype("<i8"), rows["id"].to_numpy(), rows["component"].to_numpy().copy()
+        sets_of = [np.unique(x) for x in rows["shingles"]]
+        size = np.array([len(x) for x in sets_of])
+        place = np.unique(np.concatenate(sets_of), return_inverse=True)[1]
+        own = np.split(place, np.cumsum(size)[:-1])
+        marked = np.zeros(int(place.max()) + 1, bool)
         out: list[tuple[int, int]] = []
-        if sign[0] is None or sign[1] is None:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        ids, comps, sizes = ([s[c].to_numpy() for s in sides] for c in ("id", "component", "n_shingles"))
-        for x in range(len(sides[0])):
-            n = np.minimum(sizes[1], sizes[0][x])
-            alike = (sign[1] == sign[0][x]).mean(axis=1)
-            slack = 6 * np.sqrt(share * (1 - share) / np.minimum(sign[1].shape[1], np.maximum(1, n)))
-            ok = (comps[1] != comps[0][x]) & (n * 100 >= percent * np.maximum(sizes[1], sizes[0][x])) & (alike >= share - slack)
-            if same:
-                ok[: x + 1] = False
-            out += [(min(ids[0][x], y), max(ids[0][x], y)) for y in ids[1][ok]]
+        for n, x in enumerate(left):
+            other = right[n + 1 :] if same else right
+            other = other[group[other] != group[x]]
+            other = other[np.minimum(size[other], size[x]) * 100 >= percent * np.maximum(size[other], size[x])]
+            if len(other):
+                other = other[(bands[other] == bands[x]).argmax(axis=1) == number]
+            if not len(other):
+                continue
+            marked[own[x]] = True
+            both = np.add.reduceat(marked[np.concatenate([own[y] for y in other])], np.cumsum(size[other]) - size[other], dtype=np.int64)
+            marked[own[x]] = False
+            for y in other[100 * both >= percent * (size[x] + size[other] - both)]:
+                if group[x] != group[y]:
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                    group[group == group[y]] = group[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
@@ -157,7 +206,7 @@ def link(docs: DataFrame, signatures, k: int, percent: int = 80) -> DataFrame:
     )
     classes = written(classes, "classes")
     # Equal ids with different texts: one document, whose classes are joined by its id.
-    dealt = classes.select("id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "id")
+    dealt = classes.select("id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "band", "id")
     shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = written(dealt.join(shared, "key").distinct(), "members")
     wanted = written(members.select("id").distinct(), "wanted")
@@ -174,14 +223,19 @@ def link(docs: DataFrame, signatures, k: int, percent: int = 80) -> DataFrame:
 
     def several(labels: DataFrame) -> DataFrame:
         """Members of buckets that hold more than one component, with these."""
-        own = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        own = members.join(labels, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
         mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
         return written(own.join(mixed.select("key"), "key"), "mixed")
 
     tested = links = labels = None
     left = members
-    for turn in range(STARS + 1):
-        pairs = _star(left, turn) if turn < STARS else _across(left, classes.select("id", "n_shingles", "bands"), percent)
+    for turn in range(3):
+        if turn == 0:
+            pairs = _star(left)
+        elif turn == 1:
+            pairs = _central(left, classes)
+        else:
+            pairs = _across(left, classes.select("id", "bands"), known, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -190,8 +244,7 @@ def link(docs: DataFrame, signatures, k: int, percent: int = 80) -> DataFrame:
         if links is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        left = several(labels)
-        if left.isEmpty():
+        if turn == 2 or (left := several(labels)).isEmpty():
             break
     ends = classes.join(labels, "id", "left").select("digest", F.col("id").alias("__id"), F.coalesce("component", "id").alias("component"))
     out = rows.join(ends, "digest", "left")
