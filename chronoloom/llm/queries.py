@@ -63,7 +63,8 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(read(spark, sf_dir, "documents"))
+    judged = quality.judge(read(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,4 +110,59 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+
+def _quality_sql() -> str:
+    """Every count, reference and distance of the quality rules."""
+    word = r"[^\x20\x09-\x0D]"
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    classes = ", ".join(f"len(regexp_extract_all(t, {quote(p)}))" for p in quality.CLASSES.values())
+    common = "[" + ", ".join(map(quote, sorted({w for words in quality.COMMON_WORDS.values() for w in words}))) + "]"
+    shares = lambda h, n: f"list_transform(list_append({h}, {n} - list_sum({h})), lambda x: CASE WHEN {n} > 0 THEN x / {n} ELSE 0.0 END)"
+    mean = lambda p, n: "[" + ", ".join(f"avg({p}[{i + 1}])" for i in range(n + 1)) + "]"
+    half = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+    distance = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: ({half('z[1]', 'z[2]')} + {half('z[2]', 'z[1]')}) / 2))))"
+    n_common = len({w for words in quality.COMMON_WORDS.values() for w in words})
+    space = list(quality.CLASSES).index("space") + 1
+    return f"""
+WITH m AS (SELECT doc_id, lang, length(t) AS n_chars, [{classes}] AS ch, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines, regexp_extract_all(t, '{word}+') AS w
+    FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 1))) AS i FROM m)),
+d AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM g SEMI JOIN (SELECT doc_id, x FROM g GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, x)),
+r AS (SELECT doc_id, count(DISTINCT i) AS n FROM d GROUP BY 1),
+c AS (SELECT m.*, len(w) AS n_words, coalesce(r.n, 0) AS n_repeat_words, list_transform({common}, lambda c: len(list_filter(w, lambda x: lower(x) = c))) AS wh FROM m LEFT JOIN r USING (doc_id)),
+p AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed, {shares("ch", "n_chars")} AS pc, {shares("wh", "n_words")} AS pw FROM c),
+q AS (SELECT lang, {mean("pc", len(quality.CLASSES))} AS qc, {mean("pw", n_common)} AS qw FROM p WHERE NOT base_failed GROUP BY 1),
+j AS (SELECT p.*, CASE WHEN n_chars >= {quality.MIN_CLASS_CHARS} AND qc IS NOT NULL THEN {distance("pc", "qc")} END AS dc, CASE WHEN n_words >= {quality.MIN_HIST_WORDS} AND qw IS NOT NULL THEN {distance("pw", "qw")} END AS dw FROM p LEFT JOIN q ON p.lang IS NOT DISTINCT FROM q.lang)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_chars - ch[{space}] AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(dc, 0) > {quality.MAX_CLASS_DISTANCE} OR coalesce(dw, 0) > {quality.MAX_WORD_DISTANCE}) AS kept,
+    round(dc, 6) AS class_distance, round(dw, 6) AS word_distance FROM j"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": _quality_sql(),
+    # a control string gets one more backslash after its bracket; a turn adds its two marks and the line feed of its role
+    "op1_chat_format": r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|\|im_start\|>|\|im_end\|>)', '\1\2\\\3', 'g') AS escaped FROM t)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(role) + length(escaped) + 24) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+    "op8_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+u AS (SELECT doc_id, unnest(s) AS x FROM s), n AS (SELECT doc_id, len(s) AS n FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS component_id, n.doc_id = least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS kept
+FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""",
+}
