@@ -74,6 +74,13 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 
 
+def by_part(where: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each part that occurs and its places, in order."""
+    order = np.argsort(where, kind="stable")
+    found, start = np.unique(where[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, start[1:]), strict=True))
+
+
 def discounts(n: list[float]) -> np.ndarray:
     """Factors for counts 0..CUTOFF+1 from count-of-counts n[1..CUTOFF+1]; the last is for all above.
 
@@ -229,7 +236,7 @@ class Katz:
             Block.write(folder, block, np.array(ids, np.int64), np.array(null, np.uint8), np.array(held, np.uint8), count, place.astype(np.uint32))
             cut = np.searchsorted(part_of(known, parts), np.arange(parts + 1))
             docs = int((np.array(held) == 0).sum())
-            for p in range(parts):
+            for p in np.flatnonzero((np.diff(cut) > 0) | (np.arange(parts) == 0)).tolist():  # a block always sends something
                 a, b = cut[p], cut[p + 1]
                 yield _rows(part=[p], block=[block], docs=[docs if p == 0 else 0], blob=[pack(known[a:b], True)], more=[pack(number[a:b])])
 
@@ -296,11 +303,9 @@ class Katz:
             _, known, first, place, where, train, token_count, context_count = prepared(rows)
             number = np.bincount(place[train], minlength=len(known)).astype(np.uint32)
             out = []
-            for p in range(parts):
-                own = where == p
-                if own.any():
-                    at = first[own]
-                    out.append((p, int(rows["block"].iat[0]), pack(known[own], True), pack(number[own]), pack(token_count[at]), pack(context_count[at])))
+            for p, own in by_part(where):
+                at = first[own]
+                out.append((p, int(rows["block"].iat[0]), pack(known[own], True), pack(number[own]), pack(token_count[at]), pack(context_count[at])))
             return pd.DataFrame(out, columns=["part", "block", "keys", "n", "tokens", "contexts"])
 
         sent = self.words.groupBy("block").applyInPandas(send, "part long, block long, keys binary, n binary, tokens binary, contexts binary")
@@ -358,9 +363,9 @@ class Katz:
         def score(rows: pd.DataFrame) -> pd.DataFrame:
             logs = rows[rows["kind"] == 1]
             block, known, _, place, where, _, token_count, _ = prepared(rows[rows["kind"] == 0])
-            each = np.empty(len(known))
+            each, places = np.empty(len(known)), dict(by_part(where))
             for p, blob in zip(logs["part"], logs["blob"], strict=True):
-                each[where == p] = unpack(blob)
+                each[places[p]] = unpack(blob)
             start = np.concatenate([[0], np.cumsum(block.counts + 1)[:-1]])
             add = lambda x: np.add.reduceat(x, start)
             ids = pd.array(block.ids, dtype="Int64")
