@@ -59,6 +59,19 @@ def merge_by_time(*streams: DataFrame) -> DataFrame:
     return out.orderBy("pts", "stream", "frame_id")
 
 
+def interleaved(video: DataFrame, audio: DataFrame, events: DataFrame) -> DataFrame:
+    """The order in which slots of video, chunks of audio and scheduled events are handled: adds kind and rank.
+
+    At one time video comes first, then audio; an event comes before them only
+    if it is strictly earlier.  Rows: (id, pts).
+    """
+    out = None
+    for rank, (kind, rows) in enumerate((("video", video), ("audio", audio), ("event", events))):
+        rows = rows.select("id", "pts", F.lit(kind).alias("kind"), F.lit(rank).alias("rank"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.orderBy("pts", "rank", "id")
+
+
 def with_pauses(slots: DataFrame, pauses: DataFrame, bucket_ns: int = clock.DAY) -> DataFrame:
     """Time that an input has played at each slot: (input_id, slot_pts, paused, played).
 
@@ -164,23 +177,35 @@ def trimmed(frames: DataFrame, start: int) -> DataFrame:
     return frames.where(F.col("pts") >= start).unionByName(frames.join(keep, ["input_id", "pts", "frame_id"], "left_semi"))
 
 
-def emitted(slots: DataFrame, arrivals: DataFrame, required: list[str], ahead: bool = False) -> DataFrame:
+def ready_at(slots: DataFrame, arrivals: DataFrame, bucket_ns: int = clock.DAY) -> DataFrame:
+    """(slot_pts, input_id, ready): when each input first had something newer than the slot, null if never.
+
+    ``arrivals``: (input_id, pts, arrival_pts).  With the time axis turned
+    around this is an as-of lookup into the least arrival of all rows so far.
+    """
+    rows = arrivals.withColumn("neg", -F.col("pts")).withColumn("bucket", F.floor(F.col("neg") / bucket_ns).cast("long"))
+    rows = with_running_max(rows, ["input_id"], "bucket", ["neg", "arrival_pts"], "__m", -F.col("arrival_pts"))
+    rows = rows.withColumn("ready", -F.greatest(F.coalesce("__m", -F.col("arrival_pts")), -F.col("arrival_pts")))
+    probes = slots.select("slot_pts").crossJoin(arrivals.select("input_id").distinct()).withColumn("at", -F.col("slot_pts"))
+    # of rows at one time the one with the least arrival so far is the last
+    found = as_of(probes, rows.withColumn("order", -F.col("ready")), ["input_id"], "at", "neg", ["ready"], bucket_ns, tie="order", strict=True)
+    return found.select("slot_pts", "input_id", "ready")
+
+
+def emitted(slots: DataFrame, arrivals: DataFrame, required: list[str], ahead: bool = False, bucket_ns: int = clock.DAY) -> DataFrame:
     """When each slot is sent out: (slot_pts, sent_at, complete).
 
-    ``arrivals``: (input_id, pts, arrival_pts).  A slot is ready once every
-    input has something newer.  Required inputs hold it back; others only up to
-    the slot's own time.  Unless ``ahead``, nothing is sent before its time.
+    A slot is ready once every input has something newer.  Required inputs hold
+    it back, others only up to the slot's own time.  Unless ``ahead``, nothing
+    is sent before its time.  A slot whose required inputs never get there is
+    not sent (null).
     """
-    first = slots.join(arrivals, F.col("pts") > F.col("slot_pts"), "left").groupBy("slot_pts", "input_id").agg(F.min("arrival_pts").alias("ready"))
-    inputs = arrivals.select("input_id").distinct()
-    grid = slots.select("slot_pts").crossJoin(inputs).join(first, ["slot_pts", "input_id"], "left")
     must = F.col("input_id").isin(required)
-    by = grid.groupBy("slot_pts").agg(
-        F.max("ready").alias("all_ready"), F.max(F.when(must, F.col("ready"))).alias("must_ready"),
+    by = ready_at(slots, arrivals, bucket_ns).groupBy("slot_pts").agg(
+        F.max("ready").alias("last"), F.coalesce(F.max(F.when(must, F.col("ready"))), F.lit(0)).alias("must"),
         F.count_if(F.col("ready").isNull()).alias("open"), F.count_if(must & F.col("ready").isNull()).alias("must_open"),
     )
-    complete = F.col("open") == 0
-    on_time = F.least(F.when(complete, F.col("all_ready")).otherwise(F.col("slot_pts")), F.greatest("slot_pts", F.coalesce("must_ready", F.lit(0))))
-    at = F.greatest(F.coalesce("must_ready", F.lit(0)), on_time)
-    at = at if ahead else F.greatest(at, F.col("slot_pts"))
-    return by.select("slot_pts", F.when(F.col("must_open") == 0, at).alias("sent_at"), (complete & (F.col("must_open") == 0) & (F.col("all_ready") <= at)).alias("complete"))
+    waits = F.greatest("must", F.when(F.col("open") == 0, F.least("last", F.greatest("slot_pts", "must"))).otherwise(F.col("slot_pts")))
+    at = waits if ahead else F.greatest(waits, F.col("slot_pts"))
+    sent = F.when(F.col("must_open") == 0, at)
+    return by.select("slot_pts", sent.alias("sent_at"), F.coalesce((F.col("open") == 0) & (F.col("last") <= sent), F.lit(False)).alias("complete"))

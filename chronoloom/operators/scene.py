@@ -206,6 +206,12 @@ def capped(layouts: DataFrame, most: int = 100, masks: int = 20) -> DataFrame:
     return layouts.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n").withColumn("masks", F.slice("masks", 1, masks))
 
 
+def first_inputs(nodes: DataFrame, most: int = 16) -> DataFrame:
+    """The first inputs of each shader node, in order; the rest isn't bound."""
+    w = Window.partitionBy("output_id", "node_id").orderBy("input_ix")
+    return nodes.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
 def problems(nodes: DataFrame) -> DataFrame:
     """(output_id, component_id, problem) of what a scene may not have: ids used twice, a web page on several outputs."""
     twice = nodes.where("component_id is not null").groupBy("output_id", "component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -453,3 +453,9 @@ def scene_previous(s, d):
     o = tables.table(s, d, "orders")
     v = o.select(F.col("o_custkey").alias("component_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long").alias("version"), F.col("o_orderstatus").alias("type"), F.col("o_totalprice").alias("width"))
     return lifecycle.previous_version(v, ["component_id"], "version", {"old_width": "width"}).select("component_id", "version", "old_width")
+
+
+@query("SELECT l_suppkey % 50 AS output_id, l_orderkey AS input_ix, l_linenumber AS line FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey % 50 ORDER BY l_orderkey * 100 + l_linenumber) <= 16")
+def shader_inputs(s, d):
+    li = tables.table(s, d, "lineitem").select((F.col("l_suppkey") % 50).alias("output_id"), F.lit("shader").alias("node_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("input_ix"), F.col("l_orderkey"), F.col("l_linenumber").alias("line"))
+    return scene.first_inputs(li).select("output_id", F.col("l_orderkey").alias("input_ix"), "line")

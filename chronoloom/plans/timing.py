@@ -344,13 +344,29 @@ def average_frame_rate(s, d):
     return stats.frame_rate(_frames(s, d), ["input_id"], "pts").withColumn("frame_rate", F.round("frame_rate", 9))
 
 
+ARRIVED = f"WITH {EV}, a AS (SELECT input_id, pts, pts + (frame_id * 7919 % 41) * {H} AS arrival FROM ev), r AS (SELECT slot_pts, i.input_id, min(arrival) AS ready FROM (SELECT range * {D} AS slot_pts FROM range(32)) s CROSS JOIN (SELECT DISTINCT input_id FROM ev) i LEFT JOIN a ON a.input_id = i.input_id AND a.pts > slot_pts GROUP BY 1, 2)"
+
+
+def _arrivals(s, d) -> DataFrame:
+    return _frames(s, d).withColumn("arrival_pts", F.col("pts") + (F.col("frame_id") * 7919 % 41) * H)
+
+
+@query(f"{ARRIVED} SELECT * FROM r")
+def slot_readiness(s, d):
+    return align.ready_at(clock.period_grid(s, 0, 32 * D, D), _arrivals(s, d))
+
+
 @query(
-    f"WITH {EV} SELECT slot_pts, max(CASE WHEN ready IS NULL THEN 1 ELSE 0 END) = 0 AS complete FROM (SELECT slot_pts, i.input_id, min(e.pts) AS ready FROM (SELECT range * {24 * H} AS slot_pts FROM range(32)) s CROSS JOIN (SELECT DISTINCT input_id FROM ev) i LEFT JOIN ev e ON e.input_id = i.input_id AND e.pts > slot_pts GROUP BY 1, 2) GROUP BY 1"
+    f"{ARRIVED}, b AS (SELECT slot_pts, max(ready) AS last, coalesce(max(ready) FILTER (input_id IN ('click', 'view')), 0) AS must, count(*) FILTER (ready IS NULL) AS open, count(*) FILTER (ready IS NULL AND input_id IN ('click', 'view')) AS must_open FROM r GROUP BY 1), "
+    "t AS (SELECT *, CASE WHEN must_open = 0 THEN greatest(slot_pts, must, CASE WHEN open = 0 THEN least(last, greatest(slot_pts, must)) ELSE slot_pts END) END AS sent_at FROM b) SELECT slot_pts, sent_at, coalesce(open = 0 AND last <= sent_at, false) AS complete FROM t"
 )
-def slot_readiness(s, d):
-    f = _frames(s, d)
-    slots = clock.period_grid(s, 0, 32 * D, D).select("slot_pts")
-    # the next frame of each input after a slot, on the time axis turned around
-    probes = slots.crossJoin(f.select("input_id").distinct()).withColumn("neg", -F.col("slot_pts"))
-    nxt = ordered.as_of(probes, f.select("input_id", (-F.col("pts")).alias("ready")), ["input_id"], "neg", "ready", [], D, strict=True)
-    return nxt.groupBy("slot_pts").agg((F.count_if(F.col("ready").isNull()) == 0).alias("complete"))
+def slot_emission(s, d):
+    return align.emitted(clock.period_grid(s, 0, 32 * D, D), _arrivals(s, d), ["click", "view"])
+
+
+@query(f"SELECT range AS id, range * 33333333 AS pts, 'video' AS kind, 0 AS rank FROM range(600) UNION ALL SELECT range, range * 20000000, 'audio', 1 FROM range(1000) UNION ALL SELECT event_id, event_id % 500 * 40000000, 'event', 2 FROM events")
+def interleave(s, d):
+    slots = s.range(600).select("id", (F.col("id") * 33_333_333).alias("pts"))
+    chunks = s.range(1000).select("id", (F.col("id") * clock.CHUNK).alias("pts"))
+    events = tables.table(s, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 500 * 40_000_000).alias("pts"))
+    return align.interleaved(slots, chunks, events)
