@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -55,6 +56,32 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give a worker's free memory back to the system: workers stay, and the next stage needs it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """A function over a task's batches that releases memory when they are through."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def drop_shared(spark: SparkSession, *paths: str) -> None:
     """Delete folders made by :func:`shared_dir`, through Hadoop's file system."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

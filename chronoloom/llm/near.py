@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import workers_import
-from .common import written
+from .common import lean, release, written
 from .shingles import digest, sets
 
 BLOCK = 512
@@ -64,7 +64,7 @@ def profiles(docs: DataFrame, signatures, k: int) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -81,7 +81,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, shingles array<long>")
+    return rows.mapInArrow(lean(run), "id long, shingles array<long>")
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -189,6 +189,8 @@ def _across(members: DataFrame, classes: DataFrame, known: DataFrame, percent: i
                 if group[x] != group[y]:
                     out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
                     group[group == group[y]] = group[x]
+        if len(rows) > BLOCK // 2:
+            release()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()

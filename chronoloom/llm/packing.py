@@ -25,18 +25,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import workers_import
-from .common import tasks_for
-from .tokens import encoder
+from .common import lean, tasks_for
+from .tokens import MAX_PIECES, encoder
 
 PIECES_PER_TASK = 40_000
 _BATCH = 128
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048, width: int = 4) -> DataFrame:
-    """(doc_id, piece, start, length, ids): ids are little-endian, ``width`` bytes each."""
+def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048, width: int = 4, max_pieces: int | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids): ids are little-endian, ``width`` bytes each.
+
+    With ``max_pieces`` the encoder's table holds no more and is emptied after
+    each task, for jobs whose other stages need the workers' memory.
+    """
 
     def encode(batches):
         coder = encoder(tokenizer, width)
+        coder.max_pieces = max_pieces or MAX_PIECES
         end = array(coder.code, [end_id]).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, _BATCH):
@@ -53,10 +58,12 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048, wi
                         lo, hi, n = hi, hi + length, n + 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+        if max_pieces:
+            coder.forget()
 
     workers_import(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(lean(encode), "doc_id long, piece int, start long, length long, ids binary")
 
 
 class OpenBins:
@@ -121,4 +128,4 @@ def pack(pieces: DataFrame, n_docs: int, length: int = 2048, per_task: int = PIE
     workers_import(pieces.sparkSession)
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     dealt = pieces.repartition(tasks_for(n_docs, per_task), F.xxhash64("doc_id", "piece", "start"))
-    return dealt.mapInPandas(fit, schema)
+    return dealt.mapInPandas(lean(fit), schema)

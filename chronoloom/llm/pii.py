@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import workers_import
+from .common import lean
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "address", "national", "written", "secret")
@@ -215,7 +216,7 @@ def fit(docs: DataFrame) -> Model:
         keys = [",".join(map(str, v)) + "|" + ",".join(map(str, f)) for v, f in seen]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
-    found = docs.select("text").mapInArrow(patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    found = docs.select("text").mapInArrow(lean(patterns), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     if not found:
         return Model()
     split = [[[int(x) for x in part.split(",")] for part in r[0].split("|")] for r in found]
@@ -255,7 +256,7 @@ def find(docs: DataFrame, model: Model, redact: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, spans], names=[*names, "pii_spans"])
 
     rows = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in names])
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("pii_spans", T.ArrayType(_SPAN))]))
+    return rows.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("pii_spans", T.ArrayType(_SPAN))]))
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -46,6 +46,10 @@ class Encoder:
         if (n := self.tokenizer.get_vocab_size(with_added_tokens=True)) > 1 << (8 * width):
             raise ValueError(f"{n} ids don't fit into {width} bytes")
         self.table: dict[str, bytes] = {}
+        self.chars, self.max_pieces = 0, MAX_PIECES
+
+    def forget(self) -> None:
+        self.table = {}
         self.chars = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -54,9 +58,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text, without special tokens."""
-        if len(self.table) > MAX_PIECES or self.chars > MAX_CHARS:
-            self.table.clear()
-            self.chars = 0
+        if len(self.table) > self.max_pieces or self.chars > MAX_CHARS:
+            self.forget()
         table = self.table
         cut = lambda t: _STOP.sub("\0\\g<0>", t.replace("\n", "\0\n").replace(" ", "\0 ") + "\0").split("\0")
         split = [None if _UNSURE.search(t) else cut(t) for t in texts]

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import workers_import
+from .common import lean
 
 MAX_LABELS, MAX_TOKENS, MIN_TOXIC_DOCS = 200_000, 50_000, 3
 PRIOR_DOCS, DRIFT, WEIGHT_RANGE, MAX_E = 50.0, 0.75, (-3.0, 6.0), 0.1
@@ -136,7 +137,7 @@ def _counts(rows: DataFrame, known: dict[bytes, int] | None) -> DataFrame:
         count[0].clear(), count[1].clear()
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2))], names=["token", "toxic", "n"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "token binary, toxic long, n long").groupBy("token", "toxic").agg(F.sum("n").alias("n"))
+    return rows.select("text", "toxic").mapInArrow(lean(run), "token binary, toxic long, n long").groupBy("token", "toxic").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
@@ -185,7 +186,7 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
                 n += 1
         yield pa.RecordBatch.from_pydict({"w": [*map(float, seen), -99.0, -98.0, -97.0], "n": [*map(float, seen.values()), best, lengths, float(n)]})
 
-    sums = {r[0]: r[1] for r in rows.mapInArrow(weights_of, "w double, n double").groupBy("w").agg(F.sum("n")).collect()}
+    sums = {r[0]: r[1] for r in rows.mapInArrow(lean(weights_of), "w double, n double").groupBy("w").agg(F.sum("n")).collect()}
     best, lengths, n = (sums.pop(x, 0.0) for x in (-99.0, -98.0, -97.0))
     total = sum(sums.values())
     if n and total:
@@ -205,7 +206,7 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
                 count[round(math.log1p(model.evidence(tokens(text))) / step), toxic] += 1
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([k[0] for k in count], [k[1] for k in count], list(count.values()))], names=["bin", "toxic", "n"])
 
-    bins = rows.mapInArrow(binned, "bin long, toxic long, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect()
+    bins = rows.mapInArrow(lean(binned), "bin long, toxic long, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect()
     x, y, m = (np.array([float(r[i]) for r in bins]) for i in range(3))
     model.curve = _logistic(x * step, y, m)
     return model
@@ -245,4 +246,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in names])
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     more = [T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_passages", T.ArrayType(span))]
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return rows.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *more]))

@@ -44,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their ids (16-bit, little-endian), sequence and place in it."""
-    pieces = packing.cut(docs, tokenizer_path(), end_id=0, length=SEQUENCE_LENGTH, width=2)
-    return packing.pack(pieces, docs.count(), SEQUENCE_LENGTH, per_task=10_000)
+    pieces = packing.cut(docs, tokenizer_path(), end_id=0, length=SEQUENCE_LENGTH, width=2, max_pieces=150_000)
+    return packing.pack(pieces, docs.count(), SEQUENCE_LENGTH, per_task=6_000)
 
 
 STAGES = [
