@@ -244,7 +244,7 @@ def transition_progress(s, d):
 
 @query("SELECT l_orderkey AS a, l_linenumber AS b, count(*) AS n, round(sum(l_quantity + (l_extendedprice - l_quantity) * l_discount), 7) AS mid, CAST(sum(trunc(l_partkey + (l_suppkey - l_partkey) * l_discount)) AS BIGINT) AS whole FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2")
 def interpolate(s, d):
-    li = tables.table(s, d, "lineitem").where("l_orderkey % 10 = 0")
+    li = tables.table(s, d, "lineitem")
     mid = easing.lerp(F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"))
     whole = easing.lerp(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_discount"), whole=True)
     return li.groupBy(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(mid), 7).alias("mid"), F.sum(whole).cast("long").alias("whole"))
