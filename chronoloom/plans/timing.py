@@ -236,8 +236,8 @@ def payload_units(s, d):
 @query(f"WITH {EV} SELECT pts, CASE WHEN input_id = (SELECT min(input_id) FROM ev) THEN 0 ELSE 1 END AS stream, frame_id FROM ev WHERE input_id IN (SELECT DISTINCT input_id FROM ev ORDER BY 1 LIMIT 2)")
 def k_way_merge(s, d):
     f = _frames(s, d)
-    first = [F.col("input_id") == r[0] for r in f.select("input_id").distinct().orderBy("input_id").limit(2).collect()]
-    return align.merge_by_time(*[f.where(c) for c in first]).select("pts", "stream", "frame_id")
+    streams = [F.col("input_id").eqNullSafe(F.lit(r[0])) for r in f.select("input_id").distinct().orderBy("input_id").collect()]
+    return align.merge_by_time(*[f.where(c) for c in streams]).select("pts", "stream", "frame_id")
 
 
 @query(

@@ -43,3 +43,12 @@ def test_every_order_is_interpolated(spark, duck):
     assert any(a % 10 for a, _ in got)
     for a, b, n, mid, whole in part(duck, "interpolate", *columns):
         assert got[a, b] == (n, pytest.approx(mid, abs=1e-9), whole)
+
+
+def test_all_streams_are_merged(spark, duck):
+    rows = duck.sql("SELECT event_type, event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) * 1000 FROM events").fetchall()
+    stream = {name: n for n, name in enumerate(sorted({r[0] for r in rows}))}
+    assert len(stream) > 2
+    got = result(spark, "k_way_merge", "pts", "stream", "frame_id")
+    assert got == sorted((pts, stream[name], i) for name, i, pts in rows)
+    assert sorted(r for r in got if r[1] < 2) == sorted(part(duck, "k_way_merge", "pts", "stream", "frame_id"))
