@@ -7,6 +7,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
+from chronoloom import clock
 from chronoloom.plans.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -52,3 +53,10 @@ def test_all_streams_are_merged(spark, duck):
     got = result(spark, "k_way_merge", "pts", "stream", "frame_id")
     assert got == sorted((pts, stream[name], i) for name, i, pts in rows)
     assert sorted(r for r in got if r[1] < 2) == sorted(part(duck, "k_way_merge", "pts", "stream", "frame_id"))
+
+
+def test_timeline_visits_all_shows(spark, duck):
+    starts = [r[0] for r in duck.sql("SELECT (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) * 1000 FROM events").fetchall()]
+    got = result(spark, "offline_timeline", "pts")
+    assert got == sorted({(t,) for s in starts for t in (s, s + clock.HOUR)})
+    assert set(part(duck, "offline_timeline", "pts")) < set(got)
