@@ -4,8 +4,9 @@ Training uses labelled rows only, at most ``MAX_LABELS`` of them, picked by a
 hash of the id.  A token's weight is its log-odds of standing in toxic rather
 than clean texts, counted by documents, with an informative Dirichlet prior in
 proportion to its background frequency, less a drift that makes ordinary prose
-score below zero.  The model keeps at most ``MAX_TOKENS`` tokens; all others
-share the weight of a token that was never seen.
+score below zero.  The model keeps every token of ``MIN_TOXIC_DOCS`` toxic
+documents or more, which the labelled rows bound; all others share the weight
+of a token that was never seen.
 
 A text is scanned once in linear time for all maximal scoring segments: runs of
 tokens whose sum no extension or shortening raises.  For texts of clean
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 from ..session import workers_import
 from .common import lean
 
-MAX_LABELS, MAX_TOKENS, MIN_TOXIC_DOCS = 200_000, 50_000, 3
+MAX_LABELS, MIN_TOXIC_DOCS = 200_000, 3
 PRIOR_DOCS, DRIFT, WEIGHT_RANGE, MAX_E = 50.0, 0.75, (-3.0, 6.0), 0.1
 _BATCH = 256
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -151,10 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
     if len(size) < 2:
         return model
     frequent = _counts(rows.where("toxic = 1"), None).where((F.col("n") >= MIN_TOXIC_DOCS) & (F.col("token") != F.lit(b"")))
-    known = {bytes(r[0]): 0 for r in frequent.orderBy(F.desc("n"), "token").limit(MAX_TOKENS).select("token").collect()}
+    # Arrow, since a row object for each token would be several times as large
+    known = dict.fromkeys(frequent.select("token").toArrow().column(0).to_pylist(), 0)
     toxic, clean = Counter(), Counter()
-    for token, kind, n in _counts(rows, known).collect():
-        (toxic if kind else clean)[bytes(token)] = n
+    for token, kind, n in zip(*(c.to_pylist() for c in _counts(rows, known).toArrow().columns), strict=True):
+        (toxic if kind else clean)[token] = n
     n_toxic, n_clean = toxic.pop(b"", 0), clean.pop(b"", 0)
     scale = PRIOR_DOCS / size[0] if size[0] else 1.0
 

@@ -426,3 +426,15 @@ def test_toxic_documents_are_found_on_held_out_rows(spark, make):
     assert len(out) == 602 and np.mean(right) > 0.97 and all(0 <= r["toxic_score"] <= 1 for r in out.values())
     assert toxicity.score(docs, toxicity.fit(docs, marks.limit(0), held)).count() == 602
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_all_tokens_of_toxic_documents_are_kept(spark, make):
+    letters = "abcdefghijklmnop"
+    words = ["".join(letters[i >> s & 15] for s in (12, 8, 4, 0)) for i in range(60_000)]
+    neutral, rare = words[:55_000], words[55_000:]
+    # neutral words stand in more toxic documents than the rare ones, which no clean document has
+    rows = [(i, " ".join(neutral)) for i in range(4)] + [(i, " ".join(rare)) for i in (4, 5, 6)] + [(7 + i, " ".join(neutral)) for i in range(7)]
+    marks = spark.createDataFrame([(i, int(i < 7)) for i in range(14)], "doc_id long, toxic int")
+    model = toxicity.fit(make(rows), marks, F.lit(False))
+    assert model.weights.keys() == {w.encode() for w in words}
+    assert min(model.weights[w.encode()] for w in rare) > max(model.weights[w.encode()] for w in neutral)
