@@ -153,13 +153,11 @@ def _across(members: DataFrame, classes: DataFrame, known: DataFrame, percent: i
 
     ``members``: key, band, id, component.  Blocks meet blocks; in each meeting
     pairs of different components that share no earlier band are compared on
-    their whole sets, cut to 31 bits a shingle, which can only make them look
-    more alike; the caller verifies what is returned.  Two components are
-    taken as one after their first link, so a meeting returns fewer pairs than
-    it has members.
+    their whole sets, as the caller's check does.  Two components are taken as
+    one after their first link, so a meeting returns fewer pairs than it has
+    members.
     """
-    small = known.select("id", F.transform("shingles", lambda x: x.bitwiseAND((1 << 31) - 1).cast("int")).alias("shingles"))
-    rows = _in_blocks(members).join(classes, "id").join(small, "id")
+    rows = _in_blocks(members).join(classes, "id").join(known, "id")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     columns = ["key", "band", "id", "component", "block", "bands", "shingles"]
     rows = rows.select(*columns, F.explode(meets).alias("m")).select(*columns, "m.i", "m.j")

@@ -390,6 +390,25 @@ def test_edited_neighbours(make, odd, monkeypatch):
     assert minhash.edited_neighbours(docs).count() == len(odd) and minhash.edited_neighbours(docs.limit(0)).count() == 0
 
 
+def test_last_turn_compares_whole_shingles(spark):
+    from chronoloom.llm import near
+
+    high = 1 << 31
+    sets_of = {
+        # 8 of 10 shared, two of them equal in their low 31 bits
+        (1, 1): [1, 2, 3, 4, 5, 6, 9, 9 + high, 20],
+        (1, 2): [1, 2, 3, 4, 5, 6, 9, 9 + high, 30],
+        # 11 and 13 are near 12, but look near each other only in their low bits
+        (2, 11): [*range(1, 19), 50 + (high << 1)],
+        (2, 12): [*range(1, 21)],
+        (2, 13): [*range(3, 21), 50 + (high << 2)],
+    }
+    members = spark.createDataFrame([(key, 0, i, i) for key, i in sets_of], "key long, band int, id long, component long")
+    classes = spark.createDataFrame([(i, [key]) for key, i in sets_of], "id long, bands array<long>")
+    known = spark.createDataFrame([(i, x) for (_, i), x in sets_of.items()], "id long, shingles array<long>")
+    assert sorted(map(tuple, near._across(members, classes, known, 80).collect())) == [(1, 2), (11, 12), (12, 13)]
+
+
 # -- 10 toxicity
 
 
