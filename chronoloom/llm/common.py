@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import re
 import tempfile
 import uuid
 
@@ -38,10 +39,14 @@ def _own_folder() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all machines see.
 
-    Only where that setting is absent (as in local runs) a folder of this
-    process is used.
+    Only a local session may leave that setting out; a folder of this process
+    is used then.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines see")
+        root = _own_folder()
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -90,6 +95,11 @@ def drop_shared(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def tasks_for(rows: int, rows_per_task: int, least: int = 1) -> int:
-    """How many tasks give each about ``rows_per_task`` rows; grows with the data."""
-    return max(least, -(-rows // rows_per_task))
+def text_size(docs: DataFrame) -> int:
+    """Bytes of all texts, and 16 for each row."""
+    return docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(16).cast("long"))).first()[0] or 0
+
+
+def tasks_for(size: int, size_per_task: int, least: int = 1) -> int:
+    """How many tasks give each about ``size_per_task`` of what ``size`` counts; grows with the data."""
+    return max(least, -(-size // size_per_task))

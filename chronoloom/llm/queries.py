@@ -56,10 +56,8 @@ def tokenizer_path() -> str:
 
 
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    pieces = packing.cut(docs, tokenizer_path(), end_id=0, length=2048)
-    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(digests, docs.count(), length=2048)
+    pieces = packing.cut(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, length=2048, ids=False)
+    return packing.pack(pieces, length=2048)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,21 +8,23 @@ A data set is a folder of shards in ascending document order:
 * ``manifest.json``: bytes in an id, and for each shard its documents, ids and
   the ids before it, which are prefix sums over the shards.
 
-Documents are dealt out by ranges of ids and sorted within, each task writes
-its shard as a stream and renames it when whole, so a task that runs again
-replaces equal files.  The driver gets one row of counts for each shard.
-Reading maps the files into memory, one task a shard.
+Documents are dealt out by ranges of ids, as many as their bytes need, and
+sorted within; each task writes its shard as a stream and renames it when
+whole, so a task that runs again replaces equal files.  The driver gets one row
+of counts for each shard.  Reading maps the files into memory, one task a shard.
 
 Nulls: a null text is empty, its document has the end id only; null ids sort
-first.  Rows with equal ids are ordered by text.  An empty table gives an empty
-data set; other columns are ignored.
+first.  Rows with equal ids are ordered by a hash of the text, equal rows by
+their place in the input, so that no id or text keeps rows together in one
+shard.  Very long texts are encoded in stretches.  An empty table gives an
+empty data set; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
-from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +32,12 @@ from pyspark.sql import functions as F
 
 from ..session import workers_import
 from . import files
-from .common import shared_dir, tasks_for
-from .tokens import encoder
+from .common import lean, shared_dir, tasks_for, text_size
+from .tokens import encoder, runs, text_bytes
 
-DOCS_PER_SHARD = 8_000
-_BATCH = 128
+#: Bytes of text.
+SHARD_BYTES = 16 << 20
+_BATCH, _BYTES = 128, 4 << 20
 
 
 def _name(folder: str, shard: int, kind: str) -> str:
@@ -49,31 +52,30 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     def write(batches):
         shard = TaskContext.get().partitionId()
         coder = encoder(tokenizer, width)
-        end = array(coder.code, [end_id]).tobytes()
-        offsets, ids, null = array("Q", [0]), array("q"), bytearray()
+        end = np.array(end_id, coder.dtype)
+        sizes, ids, null = [], [], []
 
         def stream(f):
-            total = 0
             for batch in batches:
-                for at in range(0, batch.num_rows, _BATCH):
-                    rows = batch.slice(at, _BATCH)
-                    ids.extend(x or 0 for x in rows.column(0).to_pylist())
-                    null.extend(x is None for x in rows.column(0).to_pylist())
-                    for found in coder.encode(rows.column(1).to_pylist()):
-                        f.write(found)
-                        f.write(end)
-                        total += len(found) // width + 1
-                        offsets.append(total)
+                null.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
+                ids.append(batch.column(0).fill_null(0).to_numpy())
+                for lo, hi in runs(text_bytes(batch.column(1))[1], _BYTES):
+                    found, at = coder.encode(batch.column(1).slice(lo, hi - lo))
+                    f.write(np.insert(found, at[1:], end).tobytes())
+                    sizes.append(np.diff(at) + 1)
 
         files.put(_name(folder, shard, "bin"), stream)
+        offsets = np.cumsum(np.concatenate([[0], *sizes]), dtype="<u8")
         files.put(_name(folder, shard, "idx"), lambda f: f.write(offsets.tobytes()))
-        files.put(_name(folder, shard, "doc"), lambda f: f.write(ids.tobytes() + bytes(null)))
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(ids)], "n_tokens": [offsets[-1]]})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = tasks_for(docs.select("doc_id").count(), DOCS_PER_SHARD)
-    rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    counts = sorted(tuple(r) for r in rows.mapInArrow(write, "shard long, n_docs long, n_tokens long").collect())
+        files.put(_name(folder, shard, "doc"), lambda f: f.write(b"".join(x.astype(k).tobytes() for k, part in (("<i8", ids), ("u1", null)) for x in part)))
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]})
+
+    text = F.coalesce("text", F.lit(""))
+    order = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("place")]
+    rows = docs.select(*order, text.alias("text"))
+    shards = tasks_for(text_size(docs), SHARD_BYTES)
+    rows = rows.repartitionByRange(shards, "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "place").select("doc_id", "text")
+    counts = sorted(tuple(r) for r in rows.mapInArrow(lean(write), "shard long, n_docs long, n_tokens long").collect())
     manifest, before = [], 0
     for shard, n_docs, n_tokens in counts:
         manifest.append({"shard": shard, "n_docs": n_docs, "n_tokens": n_tokens, "before": before})

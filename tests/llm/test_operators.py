@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,17 +203,29 @@ def test_better_documents_come_first(spark, make):
 # -- 5 packing, 9 token files
 
 
-def test_encoder_is_exact():
+def encoded(coder, texts):
+    """Ids of each text."""
+    ids, at = coder.encode(pa.array([t or "" for t in texts]))
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+
+
+def test_encoder_is_exact(monkeypatch):
     rng = random.Random(6)
     coder = tokens.Encoder(tokenizer_path, 2)
-    bits = ["a", "b", " ", "  ", "\n", "\t", "\x1c", "\x85", "　", "​", "'s", "'", "1", ".", ",", "é", "<|endoftext|>", "\r", "\xa0", "😀", "\0"]
-    texts = ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(4000)]
-    for i in range(0, len(texts), 100):
-        part = texts[i : i + 100]
+    bits = ["a", "b", " ", "  ", "\n", "\t", "\x1c", "\x85", "　", "​", "'s", "'", "1", ".", ",", "é", "<|endoftext|>", "\r", "\xa0", "😀", "\0", "’", " ", "word"]
+    library = lambda part: [e.ids for e in coder.tokenizer.encode_batch(part, add_special_tokens=False)]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(6000)]
+    for i in range(0, len(texts), 200):
+        part = texts[i : i + 200]
         if i == 2000:
-            coder.chars = tokens.MAX_CHARS + 1
-        for text, found in zip(part, coder.encode(part), strict=True):
-            assert np.frombuffer(found, "<u2").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+            coder.max_pieces = 500
+            monkeypatch.setattr(tokens, "SETTLE", 300)
+        assert encoded(coder, part) == library(part)
+    assert len(coder.old.keys) <= 1500 and len(coder.old.flat) == coder.old.size.sum()
+    # a long text is taken in stretches
+    monkeypatch.setattr(tokens, "CHUNK", 500)
+    long = " ".join("".join(rng.choices(bits, k=30)) for _ in range(2000))
+    assert encoded(coder, ["", long, "x", long[:600], ""]) == library(["", long, "x", long[:600], ""])
 
 
 def test_best_fit_is_the_tightest():
@@ -231,36 +244,87 @@ def test_best_fit_is_the_tightest():
         left[number] -= size
 
 
+def brute_best_fit(lengths, capacity):
+    """How many sequences the rule needs, one piece at a time, and how full they are."""
+    left = []
+    for size in sorted(lengths, reverse=True):
+        fits = [i for i, x in enumerate(left) if x >= size]
+        if fits:
+            i = min(fits, key=left.__getitem__)
+            left[i] -= size
+        else:
+            left.append(capacity - size)
+    return sorted(left)
+
+
 def test_pack_documents(make, odd):
-    docs = make(odd)
+    """Over several tasks, all pieces are packed together."""
+    docs = make(odd).repartition(5).withColumn("ids", F.lit("clash"))
     coder = tokens.Encoder(tokenizer_path, 4)
-    out = rows_of(packing.pack(packing.cut(docs, tokenizer_path), docs.count()))
-    want = sorted(len(x) // 4 + 1 for x in coder.encode([r[1] or "" for r in odd]))
-    assert sum(r["length"] for r in out) == sum(want)
-    assert all(len(r["ids"]) == 4 * r["length"] and (r["piece"] == 0 or r["length"] == 2048) for r in out)
+    out = rows_of(packing.pack(packing.cut(docs, tokenizer_path, length=256), 256))
+    texts = sorted((r[1] or "" for r in odd), key=len)
+    want = Counter(tuple([*x, 0]) for x in encoded(coder, texts))
+    pieces = defaultdict(list)
+    for r in out:
+        assert zlib.crc32(np.frombuffer(r["ids"], "<u2").astype("<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == 2 * r["length"]
+        assert r["piece"] == 0 or r["length"] == 256
+        pieces[r["doc_id"], r["piece"], r["start"]].append(r)
+    by_doc = defaultdict(list)
+    for r in sorted(out, key=lambda r: r["piece"]):
+        by_doc[r["doc_id"]].append(np.frombuffer(r["ids"], "<u2").tolist())
+    for doc, ids in [(8, texts[-1])]:
+        assert sum(by_doc[doc], []) == [*encoded(coder, [ids])[0], 0]
+    assert sum(want.values()) == sum(r["piece"] == 0 for r in out) and sum(map(len, want.elements())) == sum(r["length"] for r in out)
+    assert all(r["start"] == sum(x["length"] for x in out if x["doc_id"] == 8 and x["piece"] < r["piece"]) for r in out if r["doc_id"] == 8)
     sequences = defaultdict(list)
     for r in out:
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    left = []
     for parts in sequences.values():
         at = 0
-        for offset, length in sorted(parts):
+        for offset, size in sorted(parts):
             assert offset == at
-            at += length
-        assert at <= 2048
-    assert len(sequences) <= -(-sum(want) // 2048) + 1
-    assert packing.pack(packing.cut(docs.limit(0), tokenizer_path), 0).count() == 0
+            at += size
+        left.append(256 - at)
+    assert sorted(left) == brute_best_fit([r["length"] for r in out], 256)
+    assert packing.pack(packing.cut(docs.limit(0), tokenizer_path)).count() == 0
+
+
+def test_plan_is_best_fit_decreasing():
+    rng = random.Random(71)
+    for _ in range(60):
+        capacity = rng.choice([5, 16, 100])
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(0, 600))]
+        lengths += [rng.randint(1, capacity)] * rng.randint(0, 300)
+        numbers, places = packing.best_fit_decreasing(sorted(lengths, reverse=True), capacity)
+        used = defaultdict(list)
+        for size, n, at in zip(sorted(lengths, reverse=True), numbers, places, strict=True):
+            used[n].append((at, size))
+        for parts in used.values():
+            assert all(a + x == b for (a, x), (b, _) in zip(sorted(parts), sorted(parts)[1:], strict=False)) and min(parts)[0] == 0
+        assert sorted(capacity - sum(x for _, x in parts) for parts in used.values()) == brute_best_fit(lengths, capacity)
+    # a billion documents of each length take few steps
+    steps = packing.plan(dict.fromkeys(range(1, 2048), 10**9 + 7), 2048)
+    assert len(steps.rank) < 400_000
+
+
+def test_pieces_of_one_document_need_not_meet(spark):
+    pieces = spark.range(0, 200_000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") % 1000 == 0, 7).otherwise(64).cast("long").alias("length"))
+    out = packing.pack(pieces, 64)
+    assert out.select("sequence_id").distinct().count() == 199_800 + -(-200 // 9)
+    assert max(r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()) < 100_000
 
 
 def test_token_files(spark, make, odd, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_files, "DOCS_PER_SHARD", 20)
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 20_000)
     docs = make(odd)
     folder = token_files.write_token_files(docs, tokenizer_path, 2, folder=f"file://{tmp_path}/set")
     out = rows_of(token_files.read_token_files(spark, folder))
     coder = tokens.Encoder(tokenizer_path, 4)
-    order = sorted(odd, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = sorted(odd, key=lambda r: (r[0] is not None, r[0] or 0))
     at = 0
-    for row, found in zip(order, coder.encode([r[1] or "" for r in order]), strict=True):
-        ids = found + (2).to_bytes(4, "little")
+    for row, found in zip(order, encoded(coder, [r[1] for r in order]), strict=True):
+        ids = np.array([*found, 2], "<u4").tobytes()
         got = [r for r in out if r["doc_id"] == row[0] and r["start"] == at]
         assert len(got) == 1 and got[0]["n_tokens"] == len(ids) // 4 and bytes(got[0]["ids"]) == ids
         at += len(ids) // 4
