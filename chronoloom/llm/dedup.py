@@ -11,6 +11,7 @@ verifies them on whole sets.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import near
@@ -29,7 +30,7 @@ def _donors() -> np.ndarray:
 _DONORS = _donors()
 
 
-def signatures(texts: list[str | None], k: int) -> np.ndarray:
+def signatures(texts: pa.Array | list[str | None], k: int) -> np.ndarray:
     """One row of 16-bit numbers for each text; all ones without shingles."""
     numbers, each = shingles(texts, k)
     h = mixed(numbers ^ np.uint64(0xA0761D6478BD642F))
@@ -45,15 +46,24 @@ def signatures(texts: list[str | None], k: int) -> np.ndarray:
     value = (mixed(least & np.uint64(0xFFFFFFFF)) >> np.uint64(48)).astype(np.uint16).reshape(len(texts), BINS)
     filled = filled.reshape(len(texts), BINS)
     out = value.copy()
-    for i in np.flatnonzero((each > 0) & ~filled.all(axis=1)):
-        has = filled[i]
-        for j in np.flatnonzero(~has):
-            donor = _DONORS[j][has[_DONORS[j]].argmax()]
-            out[i, j] = value[i, donor if has[donor] else has.argmax()]
+    # all empty bins ask their next bin at once, until each has found a full one
+    rows, bins = np.nonzero(~filled & (each > 0)[:, None])
+    for donor in _DONORS.T:
+        if not len(rows):
+            break
+        own = donor[bins]
+        found = filled[rows, own]
+        out[rows[found], bins[found]] = value[rows[found], own[found]]
+        rows, bins = rows[~found], bins[~found]
+    out[rows, bins] = value[rows, filled[rows].argmax(axis=1)]
     out[each == 0] = 0xFFFF
     return out
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``: see :func:`near.link`."""
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``: see :func:`near.link`.
+
+    Nulls, empty and very long texts, equal ids, repeated rows, ties, empty
+    tables and other columns are dealt with as :mod:`near` states.
+    """
     return near.link(docs, signatures, shingle_words, percent)

@@ -23,7 +23,10 @@ are written to the shared folder.
 
 Nulls: a null or empty text has an empty set and is linked with nothing; rows
 with a null id get a null component.  Rows with equal ids are one document that
-is linked if any of its texts is.  Empty tables give empty results.
+is linked if any of its texts is; repeated rows are each returned.  Ties of
+priority fall to the lower id.  Very long texts are read whole, their sets have
+to fit into a task.  Empty tables give empty results; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -36,10 +39,9 @@ from pyspark.sql import functions as F
 
 from ..session import workers_import
 from .common import lean, release, written
-from .shingles import digest, sets
+from .shingles import digest, sets, slices
 
 BLOCK = 512
-_BATCH = 64
 
 
 def profiles(docs: DataFrame, signatures, k: int) -> DataFrame:
@@ -48,9 +50,9 @@ def profiles(docs: DataFrame, signatures, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(lo, _BATCH)
-                texts = part.column(1).to_pylist()
+            for lo, hi in slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column(1)
                 found = sets(texts, k)
                 bands = signatures(texts, k).astype("<u2").view("<i8")
                 yield pa.RecordBatch.from_arrays(
@@ -73,9 +75,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(lo, _BATCH)
-                found = sets(part.column(1).to_pylist(), k)
+            for lo, hi in slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                found = sets(part.column(1), k)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "shingles"]
                 )

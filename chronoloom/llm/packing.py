@@ -39,7 +39,8 @@ from pyspark.sql import types as T
 
 from ..session import workers_import
 from .common import lean, written
-from .tokens import MAX_PIECES, encoder, runs, spread, text_bytes
+from .shingles import slices
+from .tokens import MAX_PIECES, encoder, spread
 
 #: Bytes of text that become ids at a time, and rows sent on at a time.
 _BYTES, _ROWS = 4 << 20, 8192
@@ -59,7 +60,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048, wi
         coder.max_pieces = max_pieces or MAX_PIECES
         end = np.array(end_id, coder.dtype)
         for batch in batches:
-            for lo, hi in runs(text_bytes(batch.column(1))[1], _BYTES):
+            for lo, hi in slices(batch.column(1), _BYTES):
                 rows = batch.slice(lo, hi - lo)
                 flat, at = coder.encode(rows.column(1))
                 flat = np.insert(flat, at[1:], end)

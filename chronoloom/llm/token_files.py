@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from ..session import workers_import
 from . import files
 from .common import lean, shared_dir, tasks_for, text_size
-from .tokens import encoder, runs, text_bytes
+from .shingles import slices
+from .tokens import encoder
 
 #: Bytes of text.
 SHARD_BYTES = 16 << 20
@@ -59,7 +60,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             for batch in batches:
                 null.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
                 ids.append(batch.column(0).fill_null(0).to_numpy())
-                for lo, hi in runs(text_bytes(batch.column(1))[1], _BYTES):
+                for lo, hi in slices(batch.column(1), _BYTES):
                     found, at = coder.encode(batch.column(1).slice(lo, hi - lo))
                     f.write(np.insert(found, at[1:], end).tobytes())
                     sizes.append(np.diff(at) + 1)

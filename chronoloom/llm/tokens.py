@@ -19,7 +19,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-from .shingles import mixed
+from .shingles import mixed, runs, text_bytes
 
 MAX_PIECES = 800_000
 #: Bytes of text at a time, and the longest piece that is looked up.
@@ -43,26 +43,6 @@ def encoder(path: str, width: int) -> Encoder:
     return _encoders[path, width]
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column of strings without nulls, and where each begins and the last ends; nothing is copied."""
-    wide = pa.types.is_large_string(column.type)
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets, data = column.buffers()[1:]
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(data or b"", np.uint8), at
-
-
-def runs(at: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Runs of rows (from, to) of about ``most`` bytes each, or of one row that is longer."""
-    out, lo, n = [], 0, len(at) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
-        out.append((lo, min(hi, n)))
-        lo = hi
-    return out
-
-
 class Table:
     """Pieces by number: sorted keys, and for each where its ids stand in one flat array."""
 

@@ -439,7 +439,8 @@ def test_densified_signature_estimates_similarity():
 
 
 def test_edited_neighbours(make, odd, monkeypatch):
-    monkeypatch.setattr(minhash, "DOCS_PER_TASK", 10)
+    monkeypatch.setattr(minhash, "TASK_BYTES", 20_000)
+    monkeypatch.setattr(minhash, "_CHARS", 3000)
     rows = sorted({r[0]: r[:2] for r in odd if r[0] is not None}.values(), reverse=True)
     out = sorted(rows_of(minhash.edited_neighbours(make(rows))), key=lambda r: -r["doc_id"])
     texts = [t or "" for _, t in rows]
