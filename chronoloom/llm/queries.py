@@ -141,6 +141,21 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_chars - ch[{space}] AS
 
 
 ORACLE_SQL: dict[str, str] = {
+    # each source sorted by its keys as a whole; the level of targets as in water filling
+    "op4_mix_sources": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+k AS (SELECT doc_id, source, size,
+    -ln((CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || t), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+    / greatest(0.2, exp(-abs(length(t) / greatest(size, 1) - 6.0) / 6.0)) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY 1),
+w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
+x AS (SELECT *, row_number() OVER o AS rank, (sum(source_size) OVER () - coalesce(sum(cap) OVER r, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER r, 0)) AS own FROM w
+    WINDOW o AS (ORDER BY cap / weight, source NULLS LAST), r AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT source, source_size, coalesce(least(cap, weight * (SELECT arg_min(own, rank) FROM x WHERE own * weight <= cap)), cap) AS target FROM x),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS epochs FROM p)
+SELECT k.doc_id, k.size, e.source_size, e.target, CAST(epochs * size + greatest(0, least(size, greatest(0, round(target - epochs * source_size)) - coalesce(
+    sum(size) OVER (PARTITION BY k.source ORDER BY key, k.doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS taken
+FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source""",
     "op6_quality_rules": _quality_sql(),
     # a control string gets one more backslash after its bracket; a turn adds its two marks and the line feed of its role
     "op1_chat_format": r"""

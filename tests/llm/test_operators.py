@@ -187,8 +187,62 @@ def test_mix_targets_and_takes(make, odd, monkeypatch):
         taken[s] += r["taken"]
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
     assert mixing.mix(docs.limit(0)).count() == 0
-    mixed = mixing.mixed_documents(make([r for r in odd if r[0] not in (5, None)]))
-    assert mixed.columns == docs.columns and all(len(WORD.findall(r["text"])) for r in rows_of(mixed))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    per_doc, texts = Counter(), defaultdict(list)
+    for r in out:
+        per_doc[r["doc_id"]] += r["taken"]
+    for d, text, _ in odd:
+        texts[d].append(text or "")
+    found = Counter()
+    for r in rows_of(mixed):
+        n = len(WORD.findall(r["text"]))
+        assert n and any(t.startswith(r["text"]) for t in texts[r["doc_id"]]) and r["n_chars"] == len(r["text"])
+        found[r["doc_id"]] += n
+    assert found == +per_doc
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_equal_rows_at_the_cut(make):
+    """A source of equal rows takes its budget to a word, and the documents hold what the mix takes."""
+    rows = [(5, "a b\nc d", "x")] * 40 + [(None, "a", "y")] * 30 + [(i, "e f g", "z") for i in range(100, 140)]
+    docs = make(rows).repartition(7)
+    out = rows_of(mixing.mix(docs))
+    want = brute_targets({"x": 160, "y": 30, "z": 120})
+    taken = Counter()
+    for r in out:
+        assert r["taken"] <= 3 * r["size"]
+        taken["x" if r["doc_id"] == 5 else "y" if r["doc_id"] is None else "z"] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want) and len(out) == len(rows)
+    mixed = rows_of(mixing.mixed_documents(docs))
+    assert sum(len(WORD.findall(r["text"])) for r in mixed) == sum(taken.values())
+    assert {r["text"] for r in mixed if r["doc_id"] == 5} <= {"a b\nc d", "a b\nc", "a b", "a"}
+
+
+def brute_takes(rows, seed=17):
+    """Takes of each row by the definition: sort a source by its keys and go through it."""
+    sizes, by = defaultdict(int), defaultdict(list)
+    for d, text, s in rows:
+        t = text or ""
+        n = len(WORD.findall(t))
+        u = (int(hashlib.md5(f"{seed}:{'' if d is None else d}:{t}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        w = max(0.2, math.exp(-abs(len(t) / max(n, 1) - 6) / 6))
+        by[s].append((-math.log(u) / w, d is not None, d or 0, n))
+        sizes[s] += n
+    target, out = brute_targets(sizes), []
+    for s, own in by.items():
+        times = int(target[s] / sizes[s] + 1e-12) if sizes[s] else 0
+        left = round(target[s] - times * sizes[s])
+        for _, known, d, n in sorted(own):
+            out.append((d if known else None, n, times * n + min(n, left)))
+            left -= min(n, left)
+    return out
+
+
+def test_mix_takes_by_definition(make, odd, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    got = Counter((r["doc_id"], r["size"], r["taken"]) for r in rows_of(mixing.mix(make(odd))))
+    assert got == Counter(brute_takes(odd))
 
 
 def test_better_documents_come_first(spark, make):
