@@ -31,6 +31,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def by_place(docs: DataFrame, *first: str) -> DataFrame:
+    """The columns named ``first``, then all columns, under names of ours that none of theirs can meet."""
+    rows = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    return rows.select(*[F.col(f"__c{docs.columns.index(c)}").alias(f"__f{i}") for i, c in enumerate(first)], *rows.columns)
+
+
 @functools.cache
 def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="chronoloom-")

@@ -17,9 +17,11 @@ data.  These probabilities train the final span classifier, a logistic
 regression over features of the span; candidates it gives one half or more are
 added to the base spans where they don't overlap one.
 
-Statistics cover all documents.  Spans are half-open, in code points.  Nulls: a
-null text has no spans.  Rows with equal ids are searched each; empty tables
-give empty results.
+Statistics cover all documents.  Spans are half-open, in code points, in order
+of their starts; ties go by kind.  Nulls: a null text has no spans and stays
+null.  Rows with equal ids and repeated rows are searched each; very long texts
+are searched whole.  Empty tables give empty results.  All columns are kept; a
+column named ``pii_spans`` is replaced by ``find`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -36,11 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import workers_import
-from .common import lean
+from .common import by_place, lean
+from .shingles import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "address", "national", "written", "secret")
-_BATCH = 256
+#: Bytes of text that become Python strings at a time.
+_BYTES = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -169,8 +173,19 @@ class Model:
         found = candidates(text or "")
         base = [x for x in found if x[0] in BASE_KINDS]
         out, last = list(base), -1
+        # both lists go by start: ``reach`` is the furthest end of base spans that begin before the candidate's end
+        nth, reach = 0, [0]
+        for _, _, y in base:
+            reach.append(max(reach[-1], y))
         for kind, a, b in found:
-            if kind in BASE_KINDS or a < last or any(a < y and x < b for _, x, y in base):
+            if kind in BASE_KINDS or a < last:
+                continue
+            while nth < len(base) and base[nth][1] <= a:
+                nth += 1
+            upto = nth
+            while upto < len(base) and base[upto][1] < b:
+                upto += 1
+            if reach[nth] > a or upto > nth:
                 continue
             if self.probability(judge(text, kind, a, b)[1]) >= 0.5:
                 out.append((kind, a, b))
@@ -210,9 +225,10 @@ def fit(docs: DataFrame) -> Model:
     def patterns(batches):
         seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for kind, a, b in candidates(text or ""):
-                    seen[judge(text, kind, a, b)] += 1
+            for lo, hi in slices(batch.column(0), _BYTES):
+                for text in batch.column(0).slice(lo, hi - lo).to_pylist():
+                    for kind, a, b in candidates(text or ""):
+                        seen[judge(text, kind, a, b)] += 1
         keys = [",".join(map(str, v)) + "|" + ",".join(map(str, f)) for v, f in seen]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
@@ -239,24 +255,42 @@ def fit(docs: DataFrame) -> Model:
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
 
-def find(docs: DataFrame, model: Model, redact: bool = False) -> DataFrame:
-    """The columns of ``docs`` and pii_spans; with ``redact``, texts with [KIND] for each span."""
+def find(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``docs`` and pii_spans; a column of that name is replaced."""
     workers_import(docs.sparkSession)
-    names = docs.columns
+    own = [i for i, c in enumerate(docs.columns) if c.lower() != "pii_spans"]
+    names = [*(docs.columns[i] for i in own), "pii_spans"]
 
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            found = [model.spans(t) for t in texts]
-            columns = list(batch.columns[1:])
-            if redact:
-                columns[names.index("text")] = pa.array([t and redacted(t, s) for t, s in zip(texts, found, strict=True)], pa.string())
-            spans = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found], kind)
-            yield pa.RecordBatch.from_arrays([*columns, spans], names=[*names, "pii_spans"])
-
-    rows = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in names])
-    return rows.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("pii_spans", T.ArrayType(_SPAN))]))
+            for lo, hi in slices(batch.column(0), _BYTES):
+                part = batch.slice(lo, hi - lo)
+                found = (model.spans(t) for t in part.column(0).to_pylist())
+                spans = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found], kind)
+                yield pa.RecordBatch.from_arrays([*(part.column(1 + i) for i in own), spans], names=names)
+
+    return by_place(docs, "text").mapInArrow(lean(run), T.StructType([*(docs.schema.fields[i] for i in own), T.StructField("pii_spans", T.ArrayType(_SPAN))]))
+
+
+def redact(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with [KIND] for each span of its texts; n_chars, if there is one, counts the new text."""
+    workers_import(docs.sparkSession)
+    names = docs.columns
+    at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names and docs.schema["n_chars"].dataType == T.LongType() else None
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in slices(batch.column(0), _BYTES):
+                part = batch.slice(lo, hi - lo)
+                texts = [t and redacted(t, model.spans(t)) for t in part.column(0).to_pylist()]
+                columns = list(part.columns[1:])
+                columns[at] = pa.array(texts, pa.string())
+                if counted is not None:
+                    columns[counted] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return by_place(docs, "text").mapInArrow(lean(run), docs.schema)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -86,12 +86,10 @@ def _remainder(column: str, divisor: int):
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs, labels, held_out=_remainder("doc_id", 5) == 0)
+    held_out = F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, labels, held_out)
     return toxicity.score(docs.select("doc_id", "text"), model).select(
-        "doc_id",
-        (_remainder("doc_id", 5) == 0).alias("held_out"),
-        F.col("toxic_score").alias("score"),
-        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+        "doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted")
     )
 
 

@@ -1,12 +1,14 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Training uses labelled rows only, at most ``MAX_LABELS`` of them, picked by a
-hash of the id.  A token's weight is its log-odds of standing in toxic rather
-than clean texts, counted by documents, with an informative Dirichlet prior in
-proportion to its background frequency, less a drift that makes ordinary prose
-score below zero.  The model keeps every token of ``MIN_TOXIC_DOCS`` toxic
-documents or more, which the labelled rows bound; all others share the weight
-of a token that was never seen.
+Training uses labelled rows only, at most about ``MAX_LABELS`` of them, picked
+by a hash of the id.  A token's weight is its log-odds of standing in toxic
+rather than clean texts, counted by documents, under a Dirichlet prior: each
+token has a pseudo-count of ``PSEUDO`` and a part in proportion to its background
+frequency, worth ``PRIOR_DOCS`` documents in all.  Weights are lowered by a
+drift that makes ordinary prose score below zero.  The model keeps every token
+that a labelled toxic document holds, which the labelled rows bound; the others
+can only lower a sum and share one weight.  Where training rows are scored to
+calibrate the model, each is left out of its own tokens' counts.
 
 A text is scanned once in linear time for all maximal scoring segments: runs of
 tokens whose sum no extension or shortening raises.  For texts of clean
@@ -18,10 +20,15 @@ less than ``MAX_E`` are significant passages, their ``-log10 E`` add up to a
 text's evidence, and a logistic curve fitted to binned evidence of training
 rows turns it into a probability.
 
-Only the text is scored.  Nulls: a null text is empty, which scores as a text
-without evidence; null labels are not used, and of several labels of an id the
-highest counts.  Without labelled rows of both kinds all scores are the share
-of toxic ones, 0 if there are none.  Rows with equal ids are scored each.
+Tokens are runs of letters, A-Z in lower case, told apart by 64-bit hashes.
+Only the text is scored, and the whole of it, however long.  Nulls: a null text
+is empty, which scores as a text without evidence; null labels are not used,
+and of several labels of an id the highest counts.  Without labelled rows of
+both kinds all scores are the share of toxic ones, 0 if there are none.  Rows
+with equal ids and repeated rows are learned from and scored each; ties between
+segments go to the first.  Empty tables give empty results.  Columns of the
+documents whose names are those of results are replaced by ``score`` and kept
+by ``clean``.
 """
 
 from __future__ import annotations
@@ -37,43 +44,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import workers_import
-from .common import lean
+from .common import by_place, lean, written
+from .shingles import slices
+from .shingles import words as hashed
 
-MAX_LABELS, MIN_TOXIC_DOCS = 200_000, 3
-PRIOR_DOCS, DRIFT, WEIGHT_RANGE, MAX_E = 50.0, 0.75, (-3.0, 6.0), 0.1
-_BATCH = 256
-_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+MAX_LABELS = 200_000
+PSEUDO, PRIOR_DOCS, DRIFT, WEIGHT_RANGE, MAX_E = 1.0, 25.0, 1.5, (-3.0, 6.0), 0.1
+#: Bytes of text, and tokens whose counts are kept, at a time.
+_BYTES, _TOKENS = 1 << 20, 2_000_000
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Runs of letters, A-Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+def tokens(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all tokens in order, and how many each text has."""
+    return hashed(texts, _NO_LETTER)
 
 
 @dataclass
 class Model:
-    weights: dict[bytes, float] = field(default_factory=dict)
-    unseen: float = -DRIFT
+    """``known`` tokens, sorted, with the labelled documents of either kind that hold them."""
+
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    clean: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Tokens of toxic and clean documents, counted once a document; how many are distinct; documents.
+    totals: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0)
     lam: float = 1.0
     k: float = 1.0
     curve: tuple[float, float] | None = None
     prior: float = 0.0
 
-    def segments(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """All maximal scoring segments (start, end, sum)."""
-        get, unseen = self.weights.get, self.unseen
-        w = np.array([get(x, unseen) for x in words])
-        return maximal_segments(w)
-
-    def passages(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """Significant segments (start, end, E-value)."""
-        n = len(words)
-        found = ((a, b, self.k * n * math.exp(-self.lam * s)) for a, b, s in self.segments(words))
+    def log_odds(self, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+        n_toxic, n_clean, types, docs = self.totals
+        share = PRIOR_DOCS / docs
+        every = PSEUDO * types + share * (n_toxic + n_clean)
+        own = PSEUDO + share * (toxic + clean)
+        odds = np.log((toxic + own) / (n_toxic + every - toxic - own)) - np.log((clean + own) / (n_clean + every - clean - own))
+        return np.clip(odds, *WEIGHT_RANGE)
+
+    def weights(self, numbers: np.ndarray, left_out: int | None = None) -> np.ndarray:
+        """Of tokens; ``left_out`` is the kind of a training row that they come from."""
+        if not len(self.known):
+            return np.full(len(numbers), -DRIFT)
+        at = np.minimum(np.searchsorted(self.known, numbers), len(self.known) - 1)
+        toxic, clean = (x[at] - float(left_out == kind) for x, kind in ((self.toxic, 1), (self.clean, 0)))
+        found = (self.known[at] == numbers) & (toxic > 0)
+        return np.where(found, self.log_odds(np.maximum(toxic, 0), np.maximum(clean, 0)), 0.0) - DRIFT
+
+    def passages(self, w: np.ndarray) -> list[tuple[int, int, float]]:
+        """Significant segments (start, end, E-value) of a text's weights."""
+        n = len(w)
+        found = ((a, b, self.k * n * math.exp(-self.lam * s)) for a, b, s in maximal_segments(w))
         return [x for x in found if x[2] < MAX_E]
 
-    def evidence(self, words: list[bytes]) -> float:
-        return sum(-math.log10(max(e, 1e-300)) for _, _, e in self.passages(words))
-
     def probability(self, evidence: float) -> float:
         if self.curve is None:
             return self.prior
@@ -81,6 +105,10 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def evidence(passages: list[tuple[int, int, float]]) -> float:
+    return sum(-math.log10(max(e, 1e-300)) for _, _, e in passages)
+
+
 def maximal_segments(w: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments of a row of weights, in linear time.
 
@@ -117,28 +145,37 @@ def labelled(labels: DataFrame, held_out: Column) -> DataFrame:
     return own
 
 
-def _counts(rows: DataFrame, known: dict[bytes, int] | None) -> DataFrame:
-    """(token, toxic, n): in how many documents of each kind; of ``known`` tokens only, and their number as token ''."""
+def _of_kinds(batch: pa.RecordBatch):
+    """(kind, numbers, how many each text has) of runs of rows (text, toxic)."""
+    for lo, hi in slices(batch.column(0), _BYTES):
+        part = batch.slice(lo, hi - lo)
+        for kind in (0, 1):
+            yield kind, *tokens(part.column(0).filter(pa.array(part.column(1).to_numpy() == kind)))
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(token, toxic, clean): the documents of each kind that hold a token."""
 
     def run(batches):
-        count: tuple[Counter, Counter] = (Counter(), Counter())
-        total = [0, 0]
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(tokens(text))
-                total[toxic] += len(own)
-                count[toxic].update(own if known is None else own & known.keys())
-            if len(count[0]) + len(count[1]) > 400_000:
-                yield out(count)
-        count[0][b""], count[1][b""] = total
-        yield out(count)
+        kept: tuple[list, list] = ([], [])
 
-    def out(count):
-        rows = [(k, t, n) for t in (0, 1) for k, n in count[t].items()]
-        count[0].clear(), count[1].clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2))], names=["token", "toxic", "n"])
+        def out():
+            for kind in (0, 1):
+                found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *kept[kind]]), return_counts=True)
+                kept[kind].clear()
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *(pa.array(n if kind == k else np.zeros_like(n)) for k in (1, 0))], names=["token", "toxic", "clean"])
 
-    return rows.select("text", "toxic").mapInArrow(lean(run), "token binary, toxic long, n long").groupBy("token", "toxic").agg(F.sum("n").alias("n"))
+        held = 0
+        for batch in batches:
+            for kind, numbers, each in _of_kinds(batch):
+                kept[kind].extend(map(np.unique, np.split(numbers, np.cumsum(each)[:-1])))
+                held += len(numbers)
+                if held > _TOKENS:
+                    yield from out()
+                    held = 0
+        yield from out()
+
+    return rows.select("text", "toxic").mapInArrow(lean(run), "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
@@ -146,27 +183,18 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
     workers_import(docs.sparkSession)
     own = labelled(labels, held_out)
     # bounded by MAX_LABELS rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id").select("text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
     size = dict(rows.groupBy("toxic").agg(F.count(F.lit(1))).collect())
     model = Model(prior=size.get(1, 0) / max(1, sum(size.values())))
     if len(size) < 2:
         return model
-    frequent = _counts(rows.where("toxic = 1"), None).where((F.col("n") >= MIN_TOXIC_DOCS) & (F.col("token") != F.lit(b"")))
-    # Arrow, since a row object for each token would be several times as large
-    known = dict.fromkeys(frequent.select("token").toArrow().column(0).to_pylist(), 0)
-    toxic, clean = Counter(), Counter()
-    for token, kind, n in zip(*(c.to_pylist() for c in _counts(rows, known).toArrow().columns), strict=True):
-        (toxic if kind else clean)[token] = n
-    n_toxic, n_clean = toxic.pop(b"", 0), clean.pop(b"", 0)
-    scale = PRIOR_DOCS / size[0] if size[0] else 1.0
-
-    def log_odds(t: float, c: float) -> float:
-        prior = (t + c) * scale * 0.5 + 0.5
-        odds = lambda x, n: math.log((x + prior) / (n + PRIOR_DOCS - x))
-        return min(WEIGHT_RANGE[1], max(WEIGHT_RANGE[0], odds(t, n_toxic) - odds(c, n_clean)))
-
-    model.weights = {w: log_odds(toxic[w], clean[w]) - DRIFT for w in known}
-    model.unseen = min(0.0, log_odds(0, 0)) - DRIFT
+    counts = written(_counts(rows), "counts")
+    total = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0)), F.count(F.lit(1))).first()
+    model.totals = (float(total[0]), float(total[1]), float(total[2] + 1), float(sum(size.values())))
+    found = counts.where("toxic > 0").toArrow()
+    known, toxic, clean = (found.column(i).to_numpy() for i in range(3))
+    order = np.argsort(known.view(np.uint64))
+    model.known, model.toxic, model.clean = known.view(np.uint64)[order], toxic[order].astype(np.float32), clean[order].astype(np.float32)
     return _calibrate(model, rows)
 
 
@@ -178,14 +206,17 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
         best, n = 0.0, 0
         lengths = 0.0
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = tokens(text)
-                if toxic or not words:
+            for kind, numbers, each in _of_kinds(batch):
+                if kind:
                     continue
-                seen.update(round(model.weights.get(x, model.unseen), 1) for x in words)
-                best += max((s for _, _, s in model.segments(words)), default=0.0)
-                lengths += math.log(len(words))
-                n += 1
+                w = model.weights(numbers, left_out=0)
+                rounded, many = np.unique(np.round(w, 1), return_counts=True)
+                seen.update(dict(zip(rounded.tolist(), many.tolist(), strict=True)))
+                for x in np.split(w, np.cumsum(each)[:-1]):
+                    if len(x):
+                        best += max((s for _, _, s in maximal_segments(x)), default=0.0)
+                        lengths += math.log(len(x))
+                        n += 1
         yield pa.RecordBatch.from_pydict({"w": [*map(float, seen), -99.0, -98.0, -97.0], "n": [*map(float, seen.values()), best, lengths, float(n)]})
 
     sums = {r[0]: r[1] for r in rows.mapInArrow(lean(weights_of), "w double, n double").groupBy("w").agg(F.sum("n")).collect()}
@@ -193,7 +224,7 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
     total = sum(sums.values())
     if n and total:
         w, p = np.array(list(sums)), np.array(list(sums.values())) / total
-        lo, hi = 1e-3, 5.0
+        lo, hi = 1e-3, 64.0
         for _ in range(60):  # the positive root: below it the mean is under 1
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if (p * np.exp(mid * w)).sum() < 1 else (lo, mid)
@@ -204,8 +235,9 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
     def binned(batches):
         count: Counter = Counter()
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                count[round(math.log1p(model.evidence(tokens(text))) / step), toxic] += 1
+            for kind, numbers, each in _of_kinds(batch):
+                w = model.weights(numbers, left_out=kind)
+                count.update((round(math.log1p(evidence(model.passages(x))) / step), kind) for x in np.split(w, np.cumsum(each)[:-1]) if len(each))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([k[0] for k in count], [k[1] for k in count], list(count.values()))], names=["bin", "toxic", "n"])
 
     bins = rows.mapInArrow(lean(binned), "bin long, toxic long, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect()
@@ -228,24 +260,46 @@ def _logistic(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[float, float
     return float(beta[0]), max(1e-6, float(beta[1]))
 
 
+_PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+
+
+def _scored(model: Model, texts: pa.Array) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
+    """Probability and significant passages of each text."""
+    numbers, each = tokens(texts)
+    found = [model.passages(w) for w in np.split(model.weights(numbers), np.cumsum(each)[:-1])] if len(each) else []
+    return [model.probability(evidence(p)) for p in found], found
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` and toxic_score, toxic_passages (array of token start, end)."""
     workers_import(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            probability, passages = [], []
-            for text in batch.column(0).to_pylist():
-                found = model.passages(tokens(text))
-                probability.append(model.probability(sum(-math.log10(max(e, 1e-300)) for _, _, e in found)))
-                passages.append([(a, b) for a, b, _ in found])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            found = pa.array([[{"start": a, "end": b} for a, b in p] for p in passages], kind)
-            arrays = [pa.array(probability, pa.float64()), found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], names=[*names, "toxic_score", "toxic_passages"])
+            for lo, hi in slices(batch.column(0), _BYTES):
+                part = batch.slice(lo, hi - lo)
+                probability, passages = _scored(model, part.column(0))
+                spans = pa.array([[{"start": a, "end": b} for a, b, _ in p] for p in passages], _PASSAGES)
+                yield pa.RecordBatch.from_arrays([*(part.column(1 + i) for i in own), pa.array(probability, pa.float64()), spans], names=names)
+
+    ours = ["toxic_score", "toxic_passages"]
+    own = [i for i, c in enumerate(docs.columns) if c.lower() not in ours]
+    names = [*(docs.columns[i] for i in own), *ours]
+    more = [T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_passages", T.ArrayType(_SPAN))]
+    return by_place(docs, "text").mapInArrow(lean(run), T.StructType([*(docs.schema.fields[i] for i in own), *more]))
+
+
+def clean(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose probability is less than ``below``, with all of their columns."""
+    workers_import(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in slices(batch.column(0), _BYTES):
+                part = batch.slice(lo, hi - lo)
+                keep = pa.array(np.array(_scored(model, part.column(0))[0]) < below)
+                yield pa.RecordBatch.from_arrays(part.columns[1:], names=names).filter(keep)
 
     names = docs.columns
-    rows = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in names])
-    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    more = [T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_passages", T.ArrayType(span))]
-    return rows.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *more]))
+    return by_place(docs, "text").mapInArrow(lean(run), docs.schema)

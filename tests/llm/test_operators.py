@@ -137,11 +137,53 @@ def test_pii_over_documents(make, odd):
         assert [s for s in spans if s[0] in pii.BASE_KINDS] == reference_spans(r["text"] or "")
         if (r["doc_id"] or 0) >= 2000:
             assert any(s[0] == "secret" for s in spans)
-    hidden = rows_of(pii.find(docs, model, redact=True))
+    hidden = rows_of(pii.redact(docs, model))
     assert not any(reference_spans(re.sub(r"\[[A-Z]+\]", " ", r["text"] or "")) for r in hidden)
     assert pii.find(docs.limit(0), pii.fit(docs.limit(0))).count() == 0
 
 
+def brute_added(text, model):
+    """All pairs of candidates and base spans."""
+    found = pii.candidates(text)
+    base, out, last = [x for x in found if x[0] in pii.BASE_KINDS], [], -1
+    for kind, a, b in found:
+        if kind in pii.BASE_KINDS or a < last or any(a < y and x < b for _, x, y in base):
+            continue
+        if model.probability(pii.judge(text, kind, a, b)[1]) >= 0.5:
+            out.append((kind, a, b))
+            last = b
+    return sorted(base + out, key=lambda x: (x[1], pii.KINDS.index(x[0]), x[2]))
+
+
+def test_added_spans_against_all_pairs(make):
+    rng = random.Random(14)
+    bits = ["a@b.com", "10.0.0.1", "4111 1111 1111 1111", "+1 212 555 0100 22", "212-555-0199", "joe at host dot com", "999.1.2.3", "token=", "0123456789abcdefABCDEF0123456789", " ", " ", "x"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(400)]
+    model = pii.fit(make([(i, t) for i, t in enumerate(texts)]))
+    assert model.weights and any(x[0] not in pii.BASE_KINDS for t in texts for x in model.spans(t))
+    for t in texts:
+        assert model.spans(t) == brute_added(t, model)
+    # the time of one long text grows with its length
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        long = "a@b.com 212-555-0199 x " * n
+        start = time.perf_counter()
+        assert len(model.spans(long)) >= n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0]
+
+
+def test_pii_keeps_columns_of_any_name(make, odd):
+    docs = make([r[:2] for r in odd]).withColumn("pii_spans", F.lit("theirs")).withColumn("__text", F.lit("t")).withColumn("kind", F.lit(1))
+    model = pii.fit(docs)
+    hidden = pii.redact(docs, model)
+    assert hidden.schema == docs.schema and {(r.pii_spans, r["__text"], r.kind) for r in hidden.collect()} == {("theirs", "t", 1)}
+    found = pii.find(docs, model)
+    assert [c for c in found.columns if c != "pii_spans"] == [c for c in docs.columns if c != "pii_spans"] and found.count() == len(odd)
+
+
 def test_reliabilities_are_recovered():
     rng = np.random.default_rng(5)
     truth = rng.random(20_000) < 0.4
@@ -574,5 +616,84 @@ def test_all_tokens_of_toxic_documents_are_kept(spark, make):
     rows = [(i, " ".join(neutral)) for i in range(4)] + [(i, " ".join(rare)) for i in (4, 5, 6)] + [(7 + i, " ".join(neutral)) for i in range(7)]
     marks = spark.createDataFrame([(i, int(i < 7)) for i in range(14)], "doc_id long, toxic int")
     model = toxicity.fit(make(rows), marks, F.lit(False))
-    assert model.weights.keys() == {w.encode() for w in words}
-    assert min(model.weights[w.encode()] for w in rare) > max(model.weights[w.encode()] for w in neutral)
+    assert set(model.known.tolist()) == set(toxicity.tokens(words)[0].tolist())
+    assert model.weights(toxicity.tokens(rare)[0]).min() > model.weights(toxicity.tokens(neutral)[0]).max()
+
+
+def brute_scores(rows, labels, held):
+    """The model by its definition, token by token: weights with a Dirichlet prior, E-values, curve."""
+    split = lambda t: [w for w in re.split(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+", t or "") if w]
+    low = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in split(t)]
+    train = [(low(t), labels[d]) for d, t in rows if d in labels and not held(d)]
+    docs, count = len(train), {0: Counter(), 1: Counter()}
+    for words, kind in train:
+        count[kind].update(set(words))
+    total = {k: sum(c.values()) for k, c in count.items()}
+    share = toxicity.PRIOR_DOCS / docs
+    types = len(count[0] | count[1]) + 1
+    prior_mass = toxicity.PSEUDO * types + share * (total[0] + total[1])
+
+    def weight(w, kind=None):
+        t, c = count[1][w] - (kind == 1), count[0][w] - (kind == 0)
+        if t <= 0:
+            return -toxicity.DRIFT
+        c = max(c, 0)
+        a = toxicity.PSEUDO + share * (t + c)
+        lo, hi = toxicity.WEIGHT_RANGE
+        return min(hi, max(lo, math.log((t + a) / (total[1] + prior_mass - t - a)) - math.log((c + a) / (total[0] + prior_mass - c - a)))) - toxicity.DRIFT
+
+    def segments(w, lo, hi):
+        best = max(((sum(w[i:j]), -(j - i), i, j) for i in range(lo, hi) if w[i] > 0 for j in range(i + 1, hi + 1) if w[j - 1] > 0), default=(0, 0, 0, 0))
+        return [] if best[0] <= 0 else [*segments(w, lo, best[2]), best[0], *segments(w, best[3], hi)]
+
+    sums = lambda words, kind=None: segments([weight(x, kind) for x in words], 0, len(words))
+    clean = [w for w, kind in train if not kind and w]
+    hist = Counter(round(weight(x, 0), 1) for w in clean for x in w)
+    n = sum(hist.values())
+    lo, hi = 1e-3, 64.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(m / n * math.exp(mid * w) for w, m in hist.items()) < 1 else (lo, mid)
+    k = math.exp(lo * np.mean([max(sums(w, 0), default=0.0) for w in clean]) - np.mean([math.log(len(w)) for w in clean]) - 0.5772156649)
+    e_values = lambda words, kind=None: [e for s in sums(words, kind) if (e := k * len(words) * math.exp(-lo * s)) < toxicity.MAX_E]
+    evidence = lambda words, kind=None: math.log1p(sum(-math.log10(e) for e in e_values(words, kind)))
+    x = np.array([0.1 * round(evidence(w, kind) / 0.1) for w, kind in train])
+    y = np.array([float(kind) for _, kind in train])
+    beta = np.zeros(2)
+    for _ in range(4000):  # a plain ascent with halved steps, to the same optimum
+        z = beta[0] + beta[1] * x
+        p = 1 / (1 + np.exp(-z))
+        g = np.array([(y - p).sum(), ((y - p) * x).sum()]) - 1e-3 * beta
+        h = np.array([[(p * (1 - p)).sum() + 1e-3, (p * (1 - p) * x).sum()], [0, (p * (1 - p) * x * x).sum() + 1e-3]])
+        h[1, 0] = h[0, 1]
+        beta += 0.2 * np.clip(np.linalg.solve(h, g), -2, 2)
+    return {d: 1 / (1 + math.exp(-(beta[0] + beta[1] * evidence(low(t))))) for d, t in rows}
+
+
+def test_toxicity_against_brute_force(spark, make):
+    rng = random.Random(13)
+    words = ["".join(rng.choices("aeinorst", k=3)) for _ in range(60)]
+    rows, labels = [(900, None), (901, ""), (902, "é1É 77 x")], {}
+    for i in range(120):
+        text = rng.choices(words, k=rng.randint(0, 25))
+        bad = i % 3 == 0
+        for _ in range(3 if bad else rng.random() < 0.1):
+            text.insert(rng.randint(0, len(text)), rng.choice(["Idiot", "moron!", "scüm,"]))
+        rows.append((i, rng.choice([" ", "-"]).join(text)))
+        if i % 7:
+            labels[i] = int(bad)
+    rows += [(200, rows[5][1]), (201, "moron " * 40)]
+    # every row twice over in the table's extra columns: names of results among them
+    docs = make(rows).withColumn("toxic_score", F.lit(7.0)).withColumn("Toxic_passages", F.lit("theirs")).withColumn("token", F.lit(1)).repartition(3)
+    marks = spark.createDataFrame([*labels.items()], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, F.col("doc_id") % 5 == 0)
+    want = brute_scores(rows, labels, lambda d: d % 5 == 0)
+    out = rows_of(toxicity.score(docs, model))
+    assert len(out) == len(rows) and all(r["toxic_score"] == pytest.approx(want[r["doc_id"]], abs=2e-3) for r in out)
+    kept = toxicity.clean(docs, model)
+    assert kept.columns == docs.columns
+    got = rows_of(kept)
+    assert {r["doc_id"] for r in got} == {d for d, p in want.items() if p < 0.5} and all(r["toxic_score"] == 7.0 and r["Toxic_passages"] == "theirs" for r in got)
+    twice = docs.unionByName(docs)
+    assert toxicity.score(twice, toxicity.fit(twice, marks, F.lit(False))).count() == 2 * len(rows)
+    assert toxicity.clean(docs.limit(0), toxicity.fit(docs.limit(0), marks, F.lit(False))).count() == 0
