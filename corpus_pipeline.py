@@ -2,7 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a table that is written and
 read again as the next one's documents; all but the last keep the columns of
-``documents``.  Rows with equal ids are one document and stay or go together.
+``documents``.
+
+Nulls: a null text is an empty document, which no stage rejects for that; the
+mix leaves documents without words out, since there is nothing to take.  Rows
+with equal ids are one document for near-duplicates and stay or go together;
+null ids are kept.  Repeated rows are scored, mixed and packed each.  Very long
+texts are handled whole.  Empty tables give empty tables.  Columns beside those
+of ``documents``, whatever their names, are kept by all stages but the last,
+which returns pieces.
 """
 
 from __future__ import annotations
@@ -21,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic is below one half."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels, held_out=F.lit(False))
-    return toxicity.score(docs, model).where("toxic_score < 0.5").select(*docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data replaced by the name of its kind."""
-    found = pii.find(docs, pii.fit(docs), redact=True).drop("pii_spans")
-    return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
+    return pii.redact(docs, pii.fit(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
