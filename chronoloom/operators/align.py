@@ -23,11 +23,12 @@ def sample_frames(frames: DataFrame, slots: DataFrame, bucket_ns: int = clock.DA
         fresh = F.col("slot_pts") - stale_after <= F.col("pts")
         out = out.withColumn("frame_id", F.when(fresh, F.col("frame_id"))).withColumn("pts", F.when(fresh, F.col("pts")))
     if last_once:
-        ends = frames.groupBy("input_id").agg(F.max("pts").alias("last_pts"))
-        first = slots.select("slot_pts").crossJoin(ends).where("slot_pts >= last_pts").groupBy("input_id", "last_pts").agg(F.min("slot_pts").alias("last_slot"))
+        # the last frame's one slot is the first that found it
+        ends = frames.groupBy("input_id").agg(F.max("pts").alias("pts"))
+        first = out.join(ends, ["input_id", "pts"], "left_semi").groupBy("input_id").agg(F.min("slot_pts").alias("last_slot"))
         out = out.join(first, "input_id", "left")
         shown = F.col("last_slot").isNull() | (F.col("slot_pts") <= F.col("last_slot"))
-        out = out.withColumn("frame_id", F.when(shown, F.col("frame_id"))).withColumn("pts", F.when(shown, F.col("pts"))).drop("last_pts", "last_slot")
+        out = out.withColumn("frame_id", F.when(shown, F.col("frame_id"))).withColumn("pts", F.when(shown, F.col("pts"))).drop("last_slot")
     return out.select("slot_pts", "input_id", "frame_id", "pts")
 
 
@@ -86,6 +87,25 @@ def with_pauses(slots: DataFrame, pauses: DataFrame, bucket_ns: int = clock.DAY)
     return at.select("input_id", "slot_pts", inside.alias("paused"), (F.col("slot_pts") - gone).alias("played"))
 
 
+def frozen(slots: DataFrame, frames: DataFrame, pauses: DataFrame, bucket_ns: int = clock.DAY) -> DataFrame:
+    """What an input with pauses shows: (input_id, slot_pts, paused, frame_id, pts).
+
+    In a pause the frame of its beginning is shown again and again, its time
+    moving on with the slots; ``slots``: (input_id, slot_pts).
+    """
+    at = as_of(slots.select("input_id", "slot_pts"), pauses, ["input_id"], "slot_pts", "start_pts", ["end_pts"], bucket_ns)
+    paused = F.coalesce(F.col("slot_pts") < F.col("end_pts"), F.lit(False))
+    at = at.withColumn("paused", paused).withColumn("look", F.when(F.col("paused"), F.col("start_pts")).otherwise(F.col("slot_pts"))).drop("end_pts", "start_pts")
+    found = as_of(at, frames, ["input_id"], "look", "pts", ["frame_id"], bucket_ns, tie="frame_id")
+    return found.select("input_id", "slot_pts", "paused", "frame_id", (F.col("pts") + F.col("slot_pts") - F.col("look")).alias("pts"))
+
+
+def silenced(chunks: DataFrame, pauses: DataFrame, bucket_ns: int = clock.DAY) -> DataFrame:
+    """Batches of audio by chunk without those of chunks in a pause: ``chunks`` has input_id, chunk_pts."""
+    at = as_of(chunks, pauses, ["input_id"], "chunk_pts", "start_pts", ["end_pts"], bucket_ns)
+    return at.where(F.col("end_pts").isNull() | (F.col("chunk_pts") >= F.col("end_pts"))).drop("start_pts", "end_pts")
+
+
 def epochs(frames: DataFrame, keys: list[str], bucket: str, max_jump: int, order: list[str] | None = None) -> DataFrame:
     """Split streams where time jumps by more than ``max_jump`` either way: adds epoch (from 0) and epoch_pts.
 
@@ -100,6 +120,21 @@ def epochs(frames: DataFrame, keys: list[str], bucket: str, max_jump: int, order
     return out.join(anchors, [*keys, "epoch"]).withColumn("epoch_pts", F.col("pts") - F.col("__anchor")).drop("__anchor")
 
 
+def restarted(packets: DataFrame, keys: list[str], bucket: str, max_jump: int = 10 * clock.NS, order: list[str] | None = None) -> DataFrame:
+    """Streams cut where time jumps, each part from its first key packet on: adds epoch and epoch_pts.
+
+    Packets of a part before its first key packet are dropped, corrupt ones
+    (where there is a column ``is_corrupt``) everywhere.
+    """
+    order = order or ["arrival", "frame_id"]
+    if "is_corrupt" in packets.columns:
+        packets = packets.where(~F.coalesce("is_corrupt", F.lit(False)))
+    out = epochs(packets, keys, bucket, max_jump, order).drop("epoch_pts")
+    place = F.struct(*order)
+    first = out.where("is_key").groupBy(*keys, "epoch").agg(F.min(place).alias("__key"), F.min_by("pts", place).alias("__zero"))
+    return out.join(first, [*keys, "epoch"]).where(place >= F.col("__key")).withColumn("epoch_pts", F.greatest(F.lit(0).cast("long"), F.col("pts") - F.col("__zero"))).drop("__key", "__zero")
+
+
 def key_epochs(frames: DataFrame, keys: list[str], bucket: str, order: list[str], min_step: int = 100 * clock.MS, max_jump: int = 2 * clock.NS) -> DataFrame:
     """New epochs at key frames only: time went back, or a long step along with a jump against arrival."""
     out = with_lag(frames.withColumn("__off", F.col("pts") - F.col("arrival_pts")), keys, bucket, order, {"__p": "pts", "__o": "__off"})
@@ -128,7 +163,7 @@ def offset_lock(frames: DataFrame, keys: list[str], bucket: str, order: list[str
     ``epsilon``, or ``limit`` after the first row.
     """
     rows = frames.withColumn("__off", F.col("pts") - F.col("arrival_pts"))
-    rows = with_running_max(rows, keys, bucket, order, "__top", F.col("__off"))
+    rows = with_running_max(rows, keys, bucket, order, {"__top": F.col("__off")})
     rises = (F.col("__top").isNull() | (F.col("__off") > F.col("__top") + epsilon)).cast("long")
     rows = with_running_sum(rows.withColumn("__rise", rises), keys, bucket, order, {"__run": F.col("__rise"), "__n": F.lit(1)})
     runs = rows.groupBy(*keys, "__run").agg(F.min("__n").alias("__from"))
@@ -138,10 +173,29 @@ def offset_lock(frames: DataFrame, keys: list[str], bucket: str, order: list[str
     return start.join(settled, keys, "left").select(*keys, F.least(F.coalesce("__settled", F.col("__limit")), "__limit").alias("lock_arrival"))
 
 
-def track_starts(tracks: DataFrame) -> DataFrame:
-    """Tracks of an input play one after the other: adds start_pts from the lengths before."""
-    w = Window.partitionBy("input_id").orderBy("track_id").rowsBetween(Window.unboundedPreceding, -1)
-    return tracks.withColumn("start_pts", F.coalesce(F.sum("length").over(w), F.lit(0)))
+def track_starts(tracks: DataFrame, pending: int = 5) -> DataFrame:
+    """Tracks of an input play one after the other: adds start_pts from the lengths before, and queued_at.
+
+    At most ``pending`` tracks wait: one more is taken in only when the track
+    that many places before it starts.  With a column ``abort_pts`` a track may
+    be cut short: it ends there if it would play longer.  ``tracks``: input_id,
+    track_id, length.
+    """
+    w = Window.partitionBy("input_id").orderBy("track_id")
+    out = tracks.withColumn("start_pts", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return out.withColumn("queued_at", F.coalesce(F.lag("start_pts", pending).over(w), F.lit(0)))
+
+
+def aborted(tracks: DataFrame, aborts: DataFrame, bucket_ns: int = clock.DAY) -> DataFrame:
+    """Lengths of tracks after forced ends: a track that plays at an abort ends there, what follows moves up.
+
+    ``tracks``: input_id, track_id, length, start_pts; ``aborts``: input_id,
+    abort_pts, by the clock without aborts; of several in one track the first counts.
+    """
+    hit = as_of(aborts, tracks, ["input_id"], "abort_pts", "start_pts", ["track_id", "length"], bucket_ns, tie="track_id")
+    cut = hit.where(F.col("abort_pts") < F.col("start_pts") + F.col("length")).groupBy("input_id", "track_id").agg(F.min(F.col("abort_pts") - F.col("start_pts")).alias("__played"))
+    out = tracks.drop("start_pts", "queued_at").join(cut, ["input_id", "track_id"], "left")
+    return track_starts(out.withColumn("length", F.least("length", F.coalesce("__played", "length"))).drop("__played"))
 
 
 def seek(samples: DataFrame, seek_pts: int) -> DataFrame:
@@ -177,35 +231,67 @@ def trimmed(frames: DataFrame, start: int) -> DataFrame:
     return frames.where(F.col("pts") >= start).unionByName(frames.join(keep, ["input_id", "pts", "frame_id"], "left_semi"))
 
 
-def ready_at(slots: DataFrame, arrivals: DataFrame, bucket_ns: int = clock.DAY) -> DataFrame:
-    """(slot_pts, input_id, ready): when each input first had something newer than the slot, null if never.
+def ready_at(slots: DataFrame, arrivals: DataFrame, closed: DataFrame | None = None, bucket_ns: int = clock.DAY, time: str = "pts", beyond: int = 0, strict: bool = True) -> DataFrame:
+    """(slot_pts, input_id, ready): when each input was first ready for the slot, null if never.
 
-    ``arrivals``: (input_id, pts, arrival_pts).  With the time axis turned
-    around this is an as-of lookup into the least arrival of all rows so far.
+    An input is ready when it has something newer than the slot, or once it is
+    closed.  ``arrivals``: (input_id, pts, arrival_pts); ``closed``: (input_id,
+    closed_at).  ``time``, ``beyond`` and ``strict``: which time has to pass
+    the slot, by how much, and whether it may be equal.  With the time axis
+    turned around this is an as-of lookup into the least arrival of all rows so far.
     """
-    rows = arrivals.withColumn("neg", -F.col("pts")).withColumn("bucket", F.floor(F.col("neg") / bucket_ns).cast("long"))
-    rows = with_running_max(rows, ["input_id"], "bucket", ["neg", "arrival_pts"], "__m", -F.col("arrival_pts"))
+    rows = arrivals.withColumn("neg", -F.col(time)).withColumn("bucket", F.floor(F.col("neg") / bucket_ns).cast("long"))
+    rows = with_running_max(rows, ["input_id"], "bucket", ["neg", "arrival_pts"], {"__m": -F.col("arrival_pts")})
     rows = rows.withColumn("ready", -F.greatest(F.coalesce("__m", -F.col("arrival_pts")), -F.col("arrival_pts")))
-    probes = slots.select("slot_pts").crossJoin(arrivals.select("input_id").distinct()).withColumn("at", -F.col("slot_pts"))
+    inputs = arrivals.select("input_id")
+    if closed is not None:
+        inputs = inputs.unionByName(closed.select("input_id"))
+    probes = slots.select("slot_pts").crossJoin(inputs.distinct()).withColumn("at", -(F.col("slot_pts") + beyond))
     # of rows at one time the one with the least arrival so far is the last
-    found = as_of(probes, rows.withColumn("order", -F.col("ready")), ["input_id"], "at", "neg", ["ready"], bucket_ns, tie="order", strict=True)
+    found = as_of(probes, rows.withColumn("order", -F.col("ready")), ["input_id"], "at", "neg", ["ready"], bucket_ns, tie="order", strict=strict)
+    if closed is not None:
+        found = found.join(closed.groupBy("input_id").agg(F.min("closed_at").alias("closed_at")), "input_id", "left").withColumn("ready", F.least("ready", "closed_at"))
     return found.select("slot_pts", "input_id", "ready")
 
 
-def emitted(slots: DataFrame, arrivals: DataFrame, required: list[str], ahead: bool = False, bucket_ns: int = clock.DAY) -> DataFrame:
+def chunk_ready_at(chunks: DataFrame, batches: DataFrame, closed: DataFrame | None = None, bucket_ns: int = clock.DAY) -> DataFrame:
+    """:func:`ready_at` for audio: a batch must end at the chunk's end and the stretch or later.
+
+    ``chunks``: slot_pts (their starts); ``batches``: (input_id, end_pts, arrival_pts).
+    """
+    return ready_at(chunks, batches, closed, bucket_ns, time="end_pts", beyond=clock.CHUNK + clock.STRETCH, strict=False)
+
+
+def emitted(slots: DataFrame, ready: DataFrame, required: list[str], ahead: bool = False, bucket_ns: int = clock.DAY) -> DataFrame:
     """When each slot is sent out: (slot_pts, sent_at, complete).
 
-    A slot is ready once every input has something newer.  Required inputs hold
-    it back, others only up to the slot's own time.  Unless ``ahead``, nothing
-    is sent before its time.  A slot whose required inputs never get there is
-    not sent (null).
+    ``ready``: (slot_pts, input_id, ready), as :func:`ready_at` gives.  A slot
+    whose inputs are all ready is sent.  Required inputs hold it back, others
+    only up to the slot's own time.  Unless ``ahead``, nothing is sent before
+    its time.  Slots leave in order: none before the one ahead of it, and none
+    after one whose required inputs never get there (null).
     """
     must = F.col("input_id").isin(required)
-    by = ready_at(slots, arrivals, bucket_ns).groupBy("slot_pts").agg(
+    by = ready.groupBy("slot_pts").agg(
         F.max("ready").alias("last"), F.coalesce(F.max(F.when(must, F.col("ready"))), F.lit(0)).alias("must"),
         F.count_if(F.col("ready").isNull()).alias("open"), F.count_if(must & F.col("ready").isNull()).alias("must_open"),
     )
-    waits = F.greatest("must", F.when(F.col("open") == 0, F.least("last", F.greatest("slot_pts", "must"))).otherwise(F.col("slot_pts")))
-    at = waits if ahead else F.greatest(waits, F.col("slot_pts"))
-    sent = F.when(F.col("must_open") == 0, at)
-    return by.select("slot_pts", sent.alias("sent_at"), F.coalesce((F.col("open") == 0) & (F.col("last") <= sent), F.lit(False)).alias("complete"))
+    by = slots.select("slot_pts").join(by, "slot_pts", "left").fillna(0, ["must", "open", "must_open"])
+    waits = F.greatest("must", F.when(F.col("open") == 0, F.least(F.coalesce("last", F.lit(0)), F.greatest("slot_pts", "must"))).otherwise(F.col("slot_pts")))
+    own = waits if ahead else F.greatest(waits, F.col("slot_pts"))
+    by = by.withColumn("__own", F.when(F.col("must_open") == 0, own)).withColumn("__key", F.lit(0)).withColumn("__b", F.floor(F.col("slot_pts") / bucket_ns).cast("long"))
+    by = with_running_max(by, ["__key"], "__b", ["slot_pts"], {"__before": F.col("__own"), "__stuck": F.col("__own").isNull().cast("int")})
+    sent = F.when(F.coalesce(F.col("__stuck"), F.lit(0)) == 0, F.greatest(F.col("__own"), F.coalesce("__before", "__own")) + F.col("__own") * 0)
+    by = by.withColumn("sent_at", sent)
+    return by.select("slot_pts", "sent_at", F.coalesce((F.col("open") == 0) & (F.coalesce("last", F.lit(0)) <= F.col("sent_at")), F.lit(False)).alias("complete"))
+
+
+def delivered(batches: DataFrame) -> DataFrame:
+    """When an output takes each batch: adds delivered_at, null if it is dropped.
+
+    ``batches``: slot_pts, sent_at, accept_at (when the output has room),
+    required.  A required batch waits for room; any other is dropped if there
+    is none by its own time, or by the time it is sent if that is later.
+    """
+    in_time = F.col("required") | (F.col("accept_at") <= F.greatest("slot_pts", "sent_at"))
+    return batches.withColumn("delivered_at", F.when(in_time, F.greatest("sent_at", "accept_at")))

@@ -60,69 +60,6 @@ def converged(packets: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return fold(packets, keys, order, ["pts", "target"], [("size", T.LongType()), ("out_pts", T.LongType())], Convergence)
 
 
-class ClockSync:
-    """Offset of a sender's clock: towards the last report's by at most ``rate`` of media time, at once beyond ``snap`` seconds."""
-
-    def __init__(self, rate: float = 0.01, snap: float = 0.3, clock: float = 90_000.0):
-        self.rate, self.snap, self.clock, self.offset, self.first, self.top = rate, snap, clock, None, None, None
-
-    def __call__(self, stamp: int, arrival: float, target: float | None) -> tuple[float]:
-        if self.offset is None:
-            self.offset, self.first, self.top = arrival, stamp, stamp
-        elif target is not None and target == target:
-            if abs(target - self.offset) > self.snap:
-                self.offset = target
-            else:
-                most = max(0, stamp - self.top) / self.clock * self.rate
-                self.offset = max(self.offset - most, min(self.offset + most, target))
-        self.top = max(self.top, stamp)
-        return (max(0.0, (stamp - self.first) / self.clock + self.offset),)
-
-
-def synchronised(packets: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add pts_secs. ``packets``: stamp (unwrapped), arrival (seconds), target (offset from the newest report, null before one)."""
-    return fold(packets, keys, order, ["stamp", "arrival", "target"], [("pts_secs", T.DoubleType())], ClockSync)
-
-
-class AdaptiveDelay:
-    """A target delay that grows quickly when packets come late and shrinks slowly when all is well.
-
-    Late by more than what the delay covers: a jump, at most once in
-    ``jump_gap``.  Margins below ``low`` grow it for a while (a latch of
-    ``hold``), margins above ``high`` for a streak of ``streak`` shrink it.
-    Rates are parts of media time.
-    """
-
-    def __init__(self, least: int = 20_000_000, most: int = 2_000_000_000, low: int = 20_000_000, high: int = 120_000_000, hold: int = 5_000_000_000, streak: int = 20_000_000_000, grow: float = 0.01, shrink: float = 0.003, jump: int = 1_000_000_000, jump_gap: int = 4_000_000_000):
-        self.least, self.most, self.low, self.high, self.hold, self.streak = least, most, low, high, hold, streak
-        self.grow, self.shrink, self.jump, self.jump_gap = grow, shrink, jump, jump_gap
-        self.size, self.last, self.until, self.calm, self.jumped = least, None, None, None, None
-
-    def __call__(self, pts: int, arrival: int) -> tuple[int]:
-        step = max(0, arrival - self.last) if self.last is not None else 0
-        self.last = arrival if self.last is None else max(self.last, arrival)
-        margin = pts + self.size - arrival
-        if margin < 0 and (self.jumped is None or arrival - self.jumped >= self.jump_gap):
-            self.size, self.jumped, self.calm = self.size + min(self.jump, -margin + self.low), arrival, None
-        elif margin < self.low:
-            self.until, self.calm = arrival + self.hold, None
-        elif margin > self.high:
-            self.calm = arrival if self.calm is None else self.calm
-        else:
-            self.calm = None
-        if self.until is not None and arrival <= self.until:
-            self.size += int(step * self.grow)
-        elif self.calm is not None and arrival - self.calm >= self.streak:
-            self.size -= int(step * self.shrink)
-        self.size = max(self.least, min(self.most, self.size))
-        return (self.size,)
-
-
-def adaptive(packets: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add target: the delay that packets so far call for. ``packets``: pts, arrival (ns)."""
-    return fold(packets, keys, order, ["pts", "arrival"], [("target", T.LongType())], AdaptiveDelay)
-
-
 def paired(left: list[int], right: list[int]) -> list[tuple[int | None, int | None]]:
     """Two rising rows of times walked together, always to the nearest next pair; of equals both move."""
     if not left and not right:

@@ -3,7 +3,9 @@
 A window over one input's rows alone puts that input into one task, however
 long it is.  These helpers cut each stream into buckets of time, run the window
 inside buckets, and carry what crosses a bucket's edge through a table with one
-row for each bucket.  ``bucket`` names a column that rises with the order.
+row for each bucket.  ``bucket`` names a column that rises with the order.  A
+key's buckets are carried in one task: with some thousand rows to a bucket that
+holds up to about 10**9 rows a key, beyond which buckets must be longer.
 """
 
 from __future__ import annotations
@@ -51,13 +53,16 @@ def with_running_sum(df: DataFrame, keys: Names, bucket: str, order: Names, sums
     return out.drop(*[f"__c_{n}" for n in sums])
 
 
-def with_running_max(df: DataFrame, keys: Names, bucket: str, order: Names, name: str, value: Column) -> DataFrame:
-    """Add the greatest value of all rows before this one."""
-    top = df.groupBy(*keys, bucket).agg(F.max(value).alias("__m"))
+def with_running_max(df: DataFrame, keys: Names, bucket: str, order: list, tops: dict[str, Column]) -> DataFrame:
+    """Add, for each ``new: expression``, its greatest value of all rows before this one."""
+    top = df.groupBy(*keys, bucket).agg(*[F.max(e).alias(f"__m_{n}") for n, e in tops.items()])
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carry = top.select(*keys, bucket, F.max("__m").over(before).alias("__cm"))
+    carry = top.select(*keys, bucket, *[F.max(f"__m_{n}").over(before).alias(f"__cm_{n}") for n in tops])
     w = _within(keys, bucket, order).rowsBetween(Window.unboundedPreceding, -1)
-    return _join_carry(df, carry, keys, bucket).withColumn(name, F.greatest(F.col("__cm"), F.max(value).over(w))).drop("__cm")
+    out = _join_carry(df, carry, keys, bucket)
+    for name, e in tops.items():
+        out = out.withColumn(name, F.greatest(F.col(f"__cm_{name}"), F.max(e).over(w)))
+    return out.drop(*[f"__cm_{n}" for n in tops])
 
 
 def as_of(probes: DataFrame, builds: DataFrame, keys: Names, probe_time: str, build_time: str, values: Names, bucket_ns: int, tie: str | None = None, strict: bool = False) -> DataFrame:

@@ -1,47 +1,34 @@
-"""Numbered packets: unwrapping counters, ordering, loss, release."""
+"""Numbered packets: unwrapping counters, display order, units.  Order, loss and release: :mod:`jitter`."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import as_of, with_lag, with_running_max, with_running_sum
+from .ordered import with_lag, with_running_max, with_running_sum
 
 
-def unwrap(packets: DataFrame, keys: list[str], bucket: str, order: list[str], counter: str, bits: int, name: str, first_turn: int = 0) -> DataFrame:
-    """Add the full number of a counter that wraps at ``bits`` bits.
+def unwrap(packets: DataFrame, keys: list[str], bucket: str, order: list[str], counters: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """Add full numbers of counters that wrap: ``name: (counter, bits, turns at the start)``, all in one pass.
 
     A step of half the range or more is a turn, forward if the number fell and
     back if it rose; turns never go below zero.  A running sum that is held at
     zero equals the plain sum less its least value so far, which keeps this a
     sum and a maximum instead of a fold.
     """
-    half = ((1 << bits) - 1) // 2
-    out = with_lag(packets, keys, bucket, order, {"__prev": counter})
-    turn = F.when(F.abs(F.col("__prev") - F.col(counter)) >= half, F.when(F.col("__prev") > F.col(counter), 1).otherwise(-1)).otherwise(0)
-    out = out.withColumn("__turn", F.coalesce(turn, F.lit(0)).cast("long"))
-    out = with_running_sum(out, keys, bucket, order, {"__turns": F.col("__turn")})
-    out = out.withColumn("__turns", F.col("__turns") + first_turn)
-    out = with_running_max(out, keys, bucket, order, "__under", -F.col("__turns"))
-    under = F.greatest(F.lit(0).cast("long"), F.coalesce("__under", F.lit(0)), -F.col("__turns"))
-    return out.withColumn(name, (F.col("__turns") + under) * F.lit(1 << bits) + F.col(counter)).drop("__prev", "__turn", "__turns", "__under")
-
-
-def reordered(packets: DataFrame, keys: list[str], bucket: str, order: list[str], number: str, hold: int) -> DataFrame:
-    """Packets in order of their number, adding ``late``: true for those that come too late to be released.
-
-    A packet waits until one numbered ``hold`` higher has come; what comes
-    after a higher number than that was seen ``hold`` before is dropped.
-    """
-    out = with_running_max(packets, keys, bucket, order, "__top", F.col(number))
-    return out.withColumn("late", F.coalesce(F.col(number) < F.col("__top") - hold, F.lit(False))).drop("__top")
-
-
-def lost(packets: DataFrame, keys: list[str], bucket: str, number: str) -> DataFrame:
-    """One row for each number missing between released packets."""
-    out = with_lag(packets, keys, bucket, [number], {"__prev": number})
-    gap = F.col(number) - F.col("__prev") > 1
-    return out.where(gap).select(*keys, F.explode(F.sequence(F.col("__prev") + 1, F.col(number) - 1)).alias(number))
+    out = with_lag(packets, keys, bucket, order, {f"__prev_{n}": c for n, (c, _, _) in counters.items()})
+    for name, (counter, bits, _) in counters.items():
+        last, half = F.col(f"__prev_{name}"), ((1 << bits) - 1) // 2
+        turn = F.when(F.abs(last - F.col(counter)) >= half, F.when(last > F.col(counter), 1).otherwise(-1)).otherwise(0)
+        out = out.withColumn(f"__turn_{name}", F.coalesce(turn, F.lit(0)).cast("long"))
+    out = with_running_sum(out, keys, bucket, order, {f"__turns_{n}": F.col(f"__turn_{n}") for n in counters})
+    out = out.withColumns({f"__turns_{n}": F.col(f"__turns_{n}") + start for n, (_, _, start) in counters.items()})
+    out = with_running_max(out, keys, bucket, order, {f"__under_{n}": -F.col(f"__turns_{n}") for n in counters})
+    for name, (counter, bits, _) in counters.items():
+        turns = F.col(f"__turns_{name}")
+        under = F.greatest(F.lit(0).cast("long"), F.coalesce(f"__under_{name}", F.lit(0)), -turns)
+        out = out.withColumn(name, (turns + under) * F.lit(1 << bits) + F.col(counter))
+    return out.drop(*[f"__{x}_{n}" for n in counters for x in ("prev", "turn", "turns", "under")])
 
 
 def picture_order(frames: DataFrame, keys: list[str], bucket: str, order: list[str]) -> DataFrame:
@@ -61,23 +48,6 @@ def payload_groups(packets: DataFrame, keys: list[str], bucket: str, order: list
     return out.groupBy(*keys, "unit").agg(F.count(F.lit(1)).alias("n"), parts.alias("__parts")).select(*keys, "unit", "n", F.array_join(F.col("__parts.__p"), "").alias("payload"))
 
 
-def released(packets: DataFrame, keys: list[str], bucket: str, order: list[str], size: int) -> DataFrame:
-    """When a packet leaves a buffer that holds a window of time: adds released_at (arrival), null if it stays.
-
-    A packet leaves as soon as one has arrived whose time is ``size`` or more
-    above its own.
-    """
-    out = with_running_max(packets, keys, bucket, order, "__top", F.col("pts"))
-    step = F.greatest(F.col("pts"), F.coalesce("__top", F.col("pts")))
-    tops = out.select(*keys, step.alias("top"), "arrival").groupBy(*keys, "top").agg(F.min("arrival").alias("at"))
-    # the first arrival whose top reaches pts + size, found as of the time axis turned around
-    builds = tops.select(*keys, (-F.col("top")).alias("neg"), "at")
-    probes = packets.withColumn("__need", -(F.col("pts") + size))
-    width = max(1, size * 64)
-    found = as_of(probes, builds, keys, "__need", "neg", ["at"], width)
-    return found.withColumn("released_at", F.when(F.col("at").isNotNull(), F.greatest("at", "arrival"))).drop("neg", "at", "__need")
-
-
 def from_fixed_point(ntp: Column) -> Column:
     """Seconds of a 64-bit time with 32 fraction bits."""
     return ntp.cast("decimal(20,0)") / F.lit(1 << 32)

@@ -55,7 +55,7 @@ def flag_intervals(rows: DataFrame, keys: list[str], bucket: str, ix: str, flag:
 
 def merged_intervals(spans: DataFrame, keys: list[str], bucket: str) -> DataFrame:
     """Overlapping or touching half-open spans as one: (keys, start, end)."""
-    out = with_running_max(spans, keys, bucket, ["start", "end"], "__top", F.col("end"))
+    out = with_running_max(spans, keys, bucket, ["start", "end"], {"__top": F.col("end")})
     new = F.coalesce((F.col("start") > F.col("__top")).cast("long"), F.lit(0))
     out = with_running_sum(out.withColumn("__new", new), keys, bucket, ["start", "end"], {"__run": F.col("__new")})
     return out.groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")

@@ -242,7 +242,7 @@ def transition_progress(s, d):
     return rows.select("id", F.round(state, 6).alias("state"))
 
 
-@query("SELECT l_orderkey AS a, l_linenumber AS b, count(*) AS n, round(sum(l_quantity + (l_extendedprice - l_quantity) * l_discount), 7) AS mid, CAST(sum(trunc(l_partkey + (l_suppkey - l_partkey) * l_discount)) AS BIGINT) AS whole FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2")
+@query("SELECT l_orderkey AS a, l_linenumber AS b, count(*) AS n, round(sum(l_quantity + (l_extendedprice - l_quantity) * l_discount), 7) AS mid, CAST(sum(trunc(l_partkey + (l_suppkey - l_partkey) * l_discount)) AS BIGINT) AS whole FROM lineitem GROUP BY 1, 2")
 def interpolate(s, d):
     li = tables.table(s, d, "lineitem")
     mid = easing.lerp(F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"))
@@ -421,7 +421,7 @@ def emit_once(s, d):
     return lifecycle.first_events(f, f.where("frame_id % 500 = 0").select("input_id", "pts"))
 
 
-@query(f"WITH {EV} SELECT DISTINCT unnest([pts, pts + {H}]) AS pts FROM ev WHERE frame_id % 40 = 0")
+@query(f"WITH {EV} SELECT DISTINCT unnest([pts, pts + {H}]) AS pts FROM ev")
 def offline_timeline(s, d):
     f = tables.frames(s, d)
     return lifecycle.timeline(f.select(F.col("pts").alias("start_pts"), (F.col("pts") + H).alias("end_pts")))

@@ -11,7 +11,7 @@ from ..sources import tables
 
 H, D = clock.HOUR, clock.DAY
 EV = "ev AS (SELECT event_id AS frame_id, event_type AS input_id, user_id, value AS payload, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) * 1000 AS pts FROM events)"
-SLOTS = f"slots AS (SELECT range AS slot_ix, range * {H} AS slot_pts FROM range(720))"
+SLOTS = f"slots AS (SELECT range AS slot_ix, range * {H} AS slot_pts FROM range((SELECT max(pts) // {H} + 1 FROM ev)))"
 GRID = f"WITH {EV}, {SLOTS}, inputs AS (SELECT DISTINCT input_id FROM ev), grid AS (SELECT slot_pts, input_id FROM slots, inputs), shown AS (SELECT g.slot_pts, g.input_id, e.frame_id, e.pts FROM grid g ASOF LEFT JOIN ev e ON g.input_id = e.input_id AND g.slot_pts >= e.pts)"
 
 Q: dict = {}
@@ -28,8 +28,10 @@ def query(sql: str | None = None):
     return add
 
 
-def _slots(s: SparkSession) -> DataFrame:
-    return clock.period_grid(s, 0, 720 * H, H)
+def _slots(s: SparkSession, d: str, period: int = H, more: int = 0) -> DataFrame:
+    """A slot each period up to the last frame, and ``more`` beyond it."""
+    last = _frames(s, d).agg(F.max("pts")).first()[0] or 0
+    return clock.period_grid(s, 0, (last // period + 1 + more) * period, period)
 
 
 def _frames(s: SparkSession, d: str) -> DataFrame:
@@ -42,26 +44,26 @@ def _daily(df: DataFrame, column: str = "pts") -> DataFrame:
 
 @query(f"{GRID} SELECT * FROM shown")
 def frame_sampler(s, d):
-    return align.sample_frames(_frames(s, d), _slots(s))
+    return align.sample_frames(_frames(s, d), _slots(s, d))
 
 
 @query(f"{GRID} SELECT slot_pts, input_id, CASE WHEN slot_pts - {H // 2} <= pts THEN frame_id END AS frame_id, CASE WHEN slot_pts - {H // 2} <= pts THEN pts END AS pts FROM shown")
 def frame_sampler_stale(s, d):
-    return align.sample_frames(_frames(s, d), _slots(s), stale_after=H // 2)
+    return align.sample_frames(_frames(s, d), _slots(s, d), stale_after=H // 2)
 
 
 @query(
     f"{GRID}, ends AS (SELECT input_id, max(pts) AS last_pts FROM ev GROUP BY 1), stop AS (SELECT e.input_id, min(slot_pts) AS last_slot FROM ends e JOIN slots ON slot_pts >= last_pts GROUP BY 1) "
     "SELECT slot_pts, input_id, CASE WHEN last_slot IS NULL OR slot_pts <= last_slot THEN frame_id END AS frame_id, CASE WHEN last_slot IS NULL OR slot_pts <= last_slot THEN pts END AS pts FROM shown LEFT JOIN stop USING (input_id)"
-    .replace("range(720)", "range(760)")
+    .replace("+ 1 FROM ev", "+ 41 FROM ev")
 )
 def frame_sampler_last_once(s, d):
-    return align.sample_frames(_frames(s, d), clock.period_grid(s, 0, 760 * H, H), last_once=True)
+    return align.sample_frames(_frames(s, d), _slots(s, d, more=40), last_once=True)
 
 
 @query(f"{GRID} SELECT slot_pts, count(frame_id) AS n, coalesce(string_agg(input_id || '=' || frame_id, ',' ORDER BY input_id), '') AS frames FROM shown GROUP BY 1")
 def frame_sets(s, d):
-    sets = align.frame_sets(align.sample_frames(_frames(s, d), _slots(s)))
+    sets = align.frame_sets(align.sample_frames(_frames(s, d), _slots(s, d)))
     entries = F.array_sort(F.map_entries("frames"))
     return sets.select("slot_pts", F.size(entries).cast("long").alias("n"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("frames"))
 
@@ -192,8 +194,7 @@ UNWRAPPED = PACKETS + (
 
 def _packets(s, d) -> DataFrame:
     p = tables.packets(s, d).withColumn("block", F.floor(F.col("arrival") / 2000).cast("long"))
-    p = sequence.unwrap(p, ["track"], "block", ["arrival", "frame_id"], "seq", 16, "number")
-    return sequence.unwrap(p, ["track"], "block", ["arrival", "frame_id"], "rtp_ts", 32, "full_ts", first_turn=1)
+    return sequence.unwrap(p, ["track"], "block", ["arrival", "frame_id"], {"number": ("seq", 16, 0), "full_ts": ("rtp_ts", 32, 1)})
 
 
 @query(UNWRAPPED + " SELECT frame_id, number, full_ts FROM n")
@@ -201,25 +202,6 @@ def seq_unwrap(s, d):
     return _packets(s, d).select("frame_id", "number", "full_ts")
 
 
-@query(UNWRAPPED + ", q AS (SELECT number, lag(number) OVER (ORDER BY number) AS prev FROM n) SELECT 'track' AS track, unnest(range(prev + 1, number)) AS number FROM q WHERE number - prev > 1")
-def loss_expand(s, d):
-    p = _packets(s, d).withColumn("block", F.floor(F.col("number") / 2000).cast("long"))
-    return sequence.lost(p, ["track"], "block", "number")
-
-
-@query(UNWRAPPED + " SELECT frame_id, number, coalesce(number < max(number) OVER (ORDER BY arrival, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 2, false) AS late FROM n")
-def reorder(s, d):
-    return sequence.reordered(_packets(s, d), ["track"], "block", ["arrival", "frame_id"], "number", hold=2).select("frame_id", "number", "late")
-
-
-@query(
-    PACKETS + f" SELECT x.frame_id, min(y.arrival) AS released_at FROM p x LEFT JOIN (SELECT arrival, max(pts) OVER (ORDER BY arrival, frame_id) AS top FROM p) y ON y.top >= x.pts + {H} AND y.arrival >= x.arrival GROUP BY 1"
-)
-def window_release(s, d):
-    p = tables.packets(s, d).withColumn("block", F.floor(F.col("arrival") / 2000).cast("long"))
-    return sequence.released(p, ["track"], "block", ["arrival", "frame_id"], H).select("frame_id", "released_at")
-
-
 @query(f"WITH {EV}, g AS (SELECT *, CAST(sum(CASE WHEN frame_id % 30 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY frame_id) AS BIGINT) AS grp FROM ev) SELECT frame_id, grp AS \"group\", row_number() OVER (PARTITION BY grp ORDER BY (frame_id * 7) % 30, frame_id) AS display_ix FROM g")
 def picture_order(s, d):
     f = _frames(s, d).withColumn("track", F.lit("t")).withColumn("is_idr", F.col("frame_id") % 30 == 0).withColumn("poc", (F.col("frame_id") * 7) % 30)
@@ -233,7 +215,7 @@ def payload_units(s, d):
     return sequence.payload_groups(f, ["track"], "block", ["frame_id"]).select("unit", "n", "payload")
 
 
-@query(f"WITH {EV} SELECT pts, CASE WHEN input_id = (SELECT min(input_id) FROM ev) THEN 0 ELSE 1 END AS stream, frame_id FROM ev WHERE input_id IN (SELECT DISTINCT input_id FROM ev ORDER BY 1 LIMIT 2)")
+@query(f"WITH {EV} SELECT pts, CAST(dense_rank() OVER (ORDER BY input_id) - 1 AS INTEGER) AS stream, frame_id FROM ev")
 def k_way_merge(s, d):
     f = _frames(s, d)
     streams = [F.col("input_id").eqNullSafe(F.lit(r[0])) for r in f.select("input_id").distinct().orderBy("input_id").collect()]
@@ -251,7 +233,7 @@ def pause_clock(s, d):
     p = f.where("frame_id % 400 = 0").select("input_id", F.col("pts").alias("start_pts"), (F.col("pts") + H).alias("end_pts"))
     nxt = F.lead("start_pts").over(Window.partitionBy("input_id").orderBy("start_pts"))
     p = p.withColumn("end_pts", F.least("end_pts", F.coalesce(nxt, "end_pts")))
-    return align.with_pauses(_slots(s).select("slot_pts").crossJoin(f.select("input_id").distinct()), p)
+    return align.with_pauses(_slots(s, d).select("slot_pts").crossJoin(f.select("input_id").distinct()), p)
 
 
 @query(f"WITH {EV} SELECT frame_id, t AS track_id, pts + t * {30 * D} AS pts FROM ev, (VALUES (0), (1), (2)) v(t)")
@@ -283,10 +265,27 @@ def start_trim(s, d):
     return align.trimmed(_frames(s, d), 15 * D).select("frame_id", "input_id")
 
 
-@query(f"WITH {EV}, l AS (SELECT user_id, input_id, max(pts) - min(pts) AS length FROM ev GROUP BY 1, 2) SELECT user_id AS input_id, input_id AS track_id, CAST(coalesce(sum(length) OVER (PARTITION BY user_id ORDER BY input_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_pts FROM l")
+TRACK_LENGTHS = f"WITH {EV}, l AS (SELECT user_id AS input_id, input_id AS track_id, max(pts) - min(pts) AS length FROM ev GROUP BY 1, 2), "
+STARTS = "SELECT input_id, track_id, CAST(coalesce(sum(length) OVER (PARTITION BY input_id ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_pts, length FROM "
+
+
+def _track_lengths(s, d) -> DataFrame:
+    return _frames(s, d).groupBy(F.col("user_id").alias("input_id"), F.col("input_id").alias("track_id")).agg((F.max("pts") - F.min("pts")).alias("length"))
+
+
+@query(f"{TRACK_LENGTHS} s AS ({STARTS} l) SELECT input_id, track_id, start_pts, coalesce(lag(start_pts, 2) OVER (PARTITION BY input_id ORDER BY track_id), 0) AS queued_at FROM s")
 def track_switching(s, d):
-    t = _frames(s, d).groupBy(F.col("user_id").alias("input_id"), F.col("input_id").alias("track_id")).agg((F.max("pts") - F.min("pts")).alias("length"))
-    return align.track_starts(t).select("input_id", "track_id", "start_pts")
+    return align.track_starts(_track_lengths(s, d), pending=2).select("input_id", "track_id", "start_pts", "queued_at")
+
+
+@query(
+    f"{TRACK_LENGTHS} s AS ({STARTS} l), a AS (SELECT DISTINCT user_id AS input_id, {20 * D} + user_id * {H} AS abort_pts FROM ev WHERE user_id % 3 = 0), "
+    "c AS (SELECT input_id, track_id, min(abort_pts - start_pts) AS played FROM s JOIN a USING (input_id) WHERE abort_pts >= start_pts AND abort_pts < start_pts + length GROUP BY 1, 2), "
+    f"n AS (SELECT l.input_id, l.track_id, least(length, coalesce(played, length)) AS length FROM l LEFT JOIN c USING (input_id, track_id)) {STARTS} n"
+)
+def track_aborts(s, d):
+    aborts = _frames(s, d).select(F.col("user_id").alias("input_id")).distinct().where("input_id % 3 = 0").withColumn("abort_pts", F.lit(20 * D) + F.col("input_id") * H)
+    return align.aborted(align.track_starts(_track_lengths(s, d)), aborts).select("input_id", "track_id", "start_pts", "length")
 
 
 @query(
@@ -344,24 +343,58 @@ def average_frame_rate(s, d):
     return stats.frame_rate(_frames(s, d), ["input_id"], "pts").withColumn("frame_rate", F.round("frame_rate", 9))
 
 
-ARRIVED = f"WITH {EV}, a AS (SELECT input_id, pts, pts + (frame_id * 7919 % 41) * {H} AS arrival FROM ev), r AS (SELECT slot_pts, i.input_id, min(arrival) AS ready FROM (SELECT range * {D} AS slot_pts FROM range(32)) s CROSS JOIN (SELECT DISTINCT input_id FROM ev) i LEFT JOIN a ON a.input_id = i.input_id AND a.pts > slot_pts GROUP BY 1, 2)"
+ARRIVED = (
+    f"WITH {EV}, a AS (SELECT frame_id, input_id, pts, pts + (frame_id * 7919 % 41) * {H} AS arrival FROM ev), c AS (SELECT input_id, max(arrival) + {H} AS closed_at FROM a GROUP BY 1 HAVING min(frame_id) % 2 = 1), "
+    f"r AS (SELECT slot_pts, i.input_id, least(min(arrival), any_value(closed_at)) AS ready FROM (SELECT range * {D} AS slot_pts FROM range((SELECT max(pts) // {D} + 4 FROM ev))) s CROSS JOIN (SELECT DISTINCT input_id FROM ev) i "
+    "LEFT JOIN a ON a.input_id = i.input_id AND a.pts > slot_pts LEFT JOIN c ON c.input_id = i.input_id GROUP BY 1, 2)"
+)
 
 
 def _arrivals(s, d) -> DataFrame:
     return _frames(s, d).withColumn("arrival_pts", F.col("pts") + (F.col("frame_id") * 7919 % 41) * H)
 
 
+def _ready(s, d) -> DataFrame:
+    rows = _arrivals(s, d)
+    closed = rows.groupBy("input_id").agg((F.max("arrival_pts") + H).alias("closed_at"), F.min("frame_id").alias("first")).where("first % 2 = 1").drop("first")
+    return align.ready_at(_slots(s, d, D, 3), rows, closed)
+
+
 @query(f"{ARRIVED} SELECT * FROM r")
 def slot_readiness(s, d):
-    return align.ready_at(clock.period_grid(s, 0, 32 * D, D), _arrivals(s, d))
+    return _ready(s, d)
 
 
 @query(
+    f"WITH {EV}, b AS (SELECT input_id, pts // 1000000 + {15 * clock.MS} AS end_pts, pts // 1000000 + (frame_id * 7919 % 41) * {clock.MS} AS arrival FROM ev), c AS (SELECT input_id, max(arrival) + {100 * clock.MS} AS closed_at FROM b GROUP BY 1 HAVING length(input_id) % 2 = 0) "
+    f"SELECT slot_pts, i.input_id, least(min(arrival), any_value(closed_at)) AS ready FROM (SELECT range * {clock.CHUNK} AS slot_pts FROM range((SELECT max(end_pts) // {clock.CHUNK} + 3 FROM b))) s CROSS JOIN (SELECT DISTINCT input_id FROM ev) i "
+    f"LEFT JOIN b ON b.input_id = i.input_id AND b.end_pts >= slot_pts + {clock.CHUNK + clock.STRETCH} LEFT JOIN c ON c.input_id = i.input_id GROUP BY 1, 2"
+)
+def chunk_readiness(s, d):
+    f = _frames(s, d).withColumn("start", F.floor(F.col("pts") / 1_000_000).cast("long"))
+    b = f.select("input_id", (F.col("start") + 15 * clock.MS).alias("end_pts"), (F.col("start") + (F.col("frame_id") * 7919 % 41) * clock.MS).alias("arrival_pts"))
+    closed = b.groupBy("input_id").agg((F.max("arrival_pts") + 100 * clock.MS).alias("closed_at")).where("length(input_id) % 2 = 0")
+    last = b.agg(F.max("end_pts")).first()[0] or 0
+    return align.chunk_ready_at(clock.period_grid(s, 0, (last // clock.CHUNK + 3) * clock.CHUNK, clock.CHUNK), b, closed, bucket_ns=clock.NS)
+
+
+SENT = (
     f"{ARRIVED}, b AS (SELECT slot_pts, max(ready) AS last, coalesce(max(ready) FILTER (input_id IN ('click', 'view')), 0) AS must, count(*) FILTER (ready IS NULL) AS open, count(*) FILTER (ready IS NULL AND input_id IN ('click', 'view')) AS must_open FROM r GROUP BY 1), "
-    "t AS (SELECT *, CASE WHEN must_open = 0 THEN greatest(slot_pts, must, CASE WHEN open = 0 THEN least(last, greatest(slot_pts, must)) ELSE slot_pts END) END AS sent_at FROM b) SELECT slot_pts, sent_at, coalesce(open = 0 AND last <= sent_at, false) AS complete FROM t"
+    "o AS (SELECT *, CASE WHEN must_open = 0 THEN greatest(slot_pts, must, CASE WHEN open = 0 THEN least(last, greatest(slot_pts, must)) ELSE slot_pts END) END AS own FROM b), "
+    "t AS (SELECT *, CASE WHEN count(*) FILTER (own IS NULL) OVER w = 0 THEN max(own) OVER w END AS sent_at FROM o WINDOW w AS (ORDER BY slot_pts ROWS UNBOUNDED PRECEDING)) "
 )
+
+
+@query(f"{SENT} SELECT slot_pts, sent_at, coalesce(open = 0 AND last <= sent_at, false) AS complete FROM t")
 def slot_emission(s, d):
-    return align.emitted(clock.period_grid(s, 0, 32 * D, D), _arrivals(s, d), ["click", "view"])
+    return align.emitted(_slots(s, d, D, 3), _ready(s, d), ["click", "view"])
+
+
+@query(f"{SENT}, d AS (SELECT slot_pts, sent_at, slot_pts + (slot_pts // {D} * 7 % 5) * {12 * H} AS accept_at, slot_pts // {D} % 3 = 0 AS required FROM t WHERE sent_at IS NOT NULL) SELECT slot_pts, CASE WHEN required OR accept_at <= greatest(slot_pts, sent_at) THEN greatest(sent_at, accept_at) END AS delivered_at FROM d")
+def output_drop(s, d):
+    day = F.floor(F.col("slot_pts") / D).cast("long")
+    sent = align.emitted(_slots(s, d, D, 3), _ready(s, d), ["click", "view"]).where("sent_at is not null")
+    return align.delivered(sent.withColumn("accept_at", F.col("slot_pts") + (day * 7 % 5) * (12 * H)).withColumn("required", day % 3 == 0)).select("slot_pts", "delivered_at")
 
 
 @query(f"SELECT range AS id, range * 33333333 AS pts, 'video' AS kind, 0 AS rank FROM range(600) UNION ALL SELECT range, range * 20000000, 'audio', 1 FROM range(1000) UNION ALL SELECT event_id, event_id % 500 * 40000000, 'event', 2 FROM events")

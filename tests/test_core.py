@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoloom import clock
 from chronoloom.functions import colors, media
-from chronoloom.operators import align, folds, lifecycle, mix, ordered, scene, sequence
+from chronoloom.operators import align, folds, jitter, lifecycle, mix, ordered, scene, sequence
 from chronoloom.plans.engine import Engine, RequestError, view
 
 MS = clock.MS
@@ -58,7 +58,7 @@ def test_ordered_helpers_against_a_plain_loop(spark):
     df = spark.createDataFrame(unique, "k string, t long, v long").withColumn("b", F.floor(F.col("t") / 37).cast("long"))
     out = ordered.with_lag(df, ["k"], "b", ["t"], {"prev": "v"})
     out = ordered.with_running_sum(out, ["k"], "b", ["t"], {"total": F.col("v")})
-    out = ordered.with_running_max(out, ["k"], "b", ["t"], "top", F.col("v"))
+    out = ordered.with_running_max(out, ["k"], "b", ["t"], {"top": F.col("v")})
     want, state = [], {}
     for k, t, v in unique:
         prev, total, top = state.get(k, (None, 0, None))
@@ -80,7 +80,7 @@ def test_unwrap_holds_at_zero(spark):
             turns = turns + 1 if last > n else max(0, turns - 1)
         want.append((i, turns * 65_536 + n))
         last = n
-    out = sequence.unwrap(df, ["track"], "b", ["i"], "seq", 16, "full")
+    out = sequence.unwrap(df, ["track"], "b", ["i"], {"full": ("seq", 16, 0)})
     assert values(out, "i", "full") == sorted(want, key=repr)
 
 
@@ -121,11 +121,121 @@ def test_delays_converge_and_snap(spark):
     rows = [("t", i, i * 100 * MS, 0 if i < 2 else (100 * MS if i < 5 else 900 * MS)) for i in range(7)]
     out = folds.converged(spark.createDataFrame(rows, "track string, i long, pts long, target long"), ["track"], ["i"]).orderBy("i").collect()
     assert [r["size"] // MS for r in out] == [0, 0, 4, 8, 12, 900, 900]
-    sync = folds.ClockSync(clock=1000.0)
+    sync = jitter.ClockSync(clock=1000.0)
     assert sync(0, 5.0, None) == (5.0,) and sync(1000, 6.0, 5.2)[0] == pytest.approx(6.01) and sync(2000, 7.0, 9.0)[0] == pytest.approx(11.0)
-    delay = folds.AdaptiveDelay()
-    sizes = [delay(i * 20 * MS, i * 20 * MS + (500 * MS if i == 10 else 0))[0] for i in range(20)]
-    assert sizes[9] == 20 * MS and sizes[10] > 400 * MS
+    # a sender that resumes without a gap in its stamps, and a report that is only seen once
+    sync = jitter.ClockSync(clock=1000.0, resume=10.0)
+    assert [round(sync(*x)[0], 6) for x in ((0, 5.0, None), (1000, 6.0, 5.1), (2000, 40.0, None), (3000, 41.0, None))] == [5.0, 6.01, 40.01, 41.01]
+    # late by more than the delay: grows, and jumps once the first seconds are over
+    delay = jitter.AdaptiveDelay(low=80 * MS, high=500 * MS)
+    sizes = [delay(i * 100 * MS, i * 100 * MS + 490 * MS)[0] for i in range(60)]
+    assert sizes[0] == 500 * MS and 560 * MS < sizes[39] < 570 * MS and any(b - a == clock.NS for a, b in zip(sizes, sizes[1:], strict=False))
+    # above the comfortable zone from the start, far above it after two seconds: twenty seconds later it shrinks, then faster
+    delay = jitter.AdaptiveDelay()
+    sizes = [delay(i * clock.NS, max(0, i - 5) * clock.NS)[0] for i in range(40)]
+    assert sizes[19] == 500 * MS and sizes[21] == pytest.approx(500 * MS * 0.997**2, abs=2) and sizes[39] == pytest.approx(sizes[21] * 0.99**18, abs=20)
+
+
+def test_jitter_buffer_against_a_plain_one(spark):
+    """Events of random packets, repeats among them, by a buffer that is searched whole each time."""
+    rng = random.Random(21)
+
+    def plain(packets, size):
+        held, expected, out = {}, None, []
+
+        def leave():
+            nonlocal expected
+            first = min(held)
+            if expected is not None and first != expected:
+                out.append(("lost", expected, None))
+                expected += 1
+            else:
+                out.append(("packet", first, held.pop(first)[1]))
+                expected = first + 1
+
+        for number, pts, row in packets:
+            if expected is not None and number < expected:
+                out.append(("late", number, row))
+                continue
+            if number in held:
+                out.append(("replaced", number, held[number][1]))
+            held[number] = pts, row
+            while held and (min(held) == expected or max(p for p, _ in held.values()) - min(p for p, _ in held.values()) >= size):
+                leave()
+        while held:
+            leave()
+        return out
+
+    rows, want = [], {}
+    for track in range(6):
+        packets = [(n + rng.choice([0, 0, 0, 2, -3, -9]), n * 10 + rng.randint(-15, 15), 1000 * track + i) for i, n in enumerate(sorted(rng.choices(range(150), k=120)))]
+        rows += [(track, n, p, r, i) for i, (n, p, r) in enumerate(packets)]
+        want[track] = plain(packets, 60)
+    df = spark.createDataFrame(rows, "track long, number long, pts long, frame_id long, arrival long")
+    out = jitter.jitter(df, ["track"], 60).orderBy("track", "nth").collect()
+    for track, events in want.items():
+        assert [(r.event, r.number, r.frame_id) for r in out if r.track == track] == events
+    assert jitter.jitter(df.limit(0), ["track"], 60).count() == 0
+
+
+def test_synchronised_tracks_against_a_loop(spark):
+    rng = random.Random(22)
+    packets, reports = [], []
+    for source in range(2):
+        for track in range(2):
+            at = 5.0 + source + 0.3 * track
+            for i in range(80):
+                at += 0.5 + rng.uniform(-0.05, 0.05) + (30 if (source, track, i) == (1, 0, 50) else 0)
+                packets.append((source, track, 45_000 * (i + 1), round(at, 6), 1000 * source + 100 * track + i))
+                if i % 13 == 5:
+                    reports.append((source, track, 45_000 * (i + 1) + 100, 1e6 + 0.5 * i * (1 + 0.02 * track), round(at + 0.01, 6)))
+    p = spark.createDataFrame(packets, "source long, track long, stamp long, arrival double, frame_id long")
+    r = spark.createDataFrame(reports, "source long, track long, stamp long, ntp double, arrival double")
+    got = {x.frame_id: x.pts_secs for x in jitter.synchronised(p, r, resume=10.0, bucket=7.0).collect()}
+    for source in range(2):
+        anchor, state = None, {}
+        events = sorted([(a, 0, t, s, f) for so, t, s, a, f in packets if so == source] + [(a, 1, t, s, n) for so, t, s, n, a in reports if so == source])
+        for at, kind, track, stamp, x in events:
+            if kind == 0:
+                if track not in state:
+                    state[track] = {"first": stamp, "came": at, "offset": at, "top": stamp, "target": None, "at": at}
+                z = state[track]
+                gap = (stamp - z["top"]) / 90_000
+                if stamp > z["top"] and at - z["at"] - gap > 10:
+                    z["offset"] = z["target"] = z["offset"] + at - z["at"] - gap
+                if z["target"] is not None:
+                    z["offset"] += max(-0.01 * gap, min(0.01 * gap, z["target"] - z["offset"]))
+                z["top"], z["at"] = max(z["top"], stamp), at
+                assert got[x] == pytest.approx((stamp - z["first"]) / 90_000 + z["offset"], abs=1e-6)
+            elif track in state:
+                z = state[track]
+                sent = x + (z["first"] - stamp) / 90_000
+                anchor = sent - z["came"] if anchor is None else anchor
+                z["target"] = sent - anchor
+                if abs(z["target"] - z["offset"]) > 0.3:
+                    z["offset"] = z["target"]
+
+
+def test_queue_of_one_open_and_one_ended_input(spark):
+    """Frames at 0, 15, ... 75 ms from 60 ms on; then the stream stays open, or ends after two."""
+    slots = clock.period_grid(spark, 60 * MS, 160 * MS, 20 * MS)
+    frames = [("a", i, (60 + 15 * i) * MS, i) for i in range(6)]
+    df = spark.createDataFrame(frames, "input_id string, frame_id long, pts long, arrival_pts long")
+    assert values(align.sample_frames(df, slots.where("slot_pts < 140000000")), "slot_pts", "frame_id") == sorted([(60 * MS, 0), (80 * MS, 1), (100 * MS, 2), (120 * MS, 4)], key=repr)
+    ready = align.ready_at(slots, df)
+    sent = {r.slot_pts // MS: r.sent_at for r in align.emitted(slots, ready, ["a"], ahead=True).collect()}
+    assert [t for t, at in sent.items() if at is not None] == [60, 80, 100, 120]
+    closed = spark.createDataFrame([("a", 9)], "input_id string, closed_at long")
+    short = df.where("frame_id < 2")
+    sent = {r.slot_pts // MS: (r.sent_at, r.complete) for r in align.emitted(slots, align.ready_at(slots, short, closed), ["a"], ahead=True).collect()}
+    assert sent == {60: (1, True), 80: (9, True), 100: (9, True), 120: (9, True), 140: (9, True)}
+    # no inputs at all: every slot leaves at its time
+    none = align.emitted(slots, ready.limit(0), []).collect()
+    assert all(r.sent_at == r.slot_pts and r.complete for r in none) and len(none) == 5
+    # audio: a batch has to reach 80 ms beyond the chunk's end
+    batches = spark.createDataFrame([("a", (15 + 15 * i) * MS, i) for i in range(8)], "input_id string, end_pts long, arrival_pts long")
+    got = {r.slot_pts // MS: r.ready for r in align.chunk_ready_at(clock.period_grid(spark, 0, 60 * MS, 20 * MS), batches).collect()}
+    assert got == {0: 6, 20: 7, 40: None}
 
 
 def test_empty_and_unknown_conditions(spark):
