@@ -16,10 +16,13 @@ from pyspark.sql import types as T
 from ..session import workers_import
 
 
+#: Numbers that may be null.
+_PANDAS = {T.LongType: "Int64", T.DoubleType: "Float64"}
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], added: list[tuple[str, T.DataType]], start: Callable[[], object]) -> DataFrame:
     """Add columns computed in order: ``start()`` makes a stream's state, called with the row's ``columns``."""
     workers_import(df.sparkSession)
-    names = [n for n, _ in added]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream, state = None, None
@@ -29,7 +32,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], a
                 if own != stream:
                     stream, state = own, start()
                 out.append(state(*values))
-            yield rows.assign(**{n: [o[i] for o in out] for i, n in enumerate(names)})
+            yield rows.assign(**{n: pd.array([o[i] for o in out], dtype=_PANDAS[type(t)]) if type(t) in _PANDAS else [o[i] for o in out] for i, (n, t) in enumerate(added)})
 
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in added]])
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

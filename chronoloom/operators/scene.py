@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def _tile_width(n_columns: Column, n_rows: Column) -> Column:
     """Width of a tile in a grid of that many columns and rows; needs width, height, aspect_w, aspect_h, margin, padding."""
@@ -136,58 +138,105 @@ def flex(parents: DataFrame, children: DataFrame) -> DataFrame:
 
 
 _MASK = "array<struct<top:double,left:double,width:double,height:double,radius:double>>"
+_CROP = "struct<top:double,left:double,width:double,height:double>"
+_SHADOWS = "array<struct<offset_x:double,offset_y:double,blur:double>>"
+_OPTIONAL = {"crop": _CROP, "shadows": _SHADOWS, "radius": "double", "source_width": "double", "source_height": "double"}
 
 
-def flatten(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """Nested rectangles in coordinates of the output: adds abs_top, abs_left, abs_width, abs_height, abs_rotation, abs_border, masks, depth, path.
+def flatten(nodes: DataFrame) -> DataFrame:
+    """Nested rectangles in coordinates of the output, each node and each of its shadows a row.
 
     ``nodes``: output_id, node_id, parent_id (null for a root), child_ix, top,
     left, width, height, scale_x, scale_y, rotation, border, mask (struct or
-    null).  ``path`` orders nodes as they are drawn.  One join a level, until a
-    level is empty or ``max_depth`` is reached.
+    null); optional: crop (of what its children show, in their coordinates),
+    shadows (offset_x, offset_y, blur), radius, source_width and source_height
+    (of a picture that fills the node).  Adds abs_top, abs_left, abs_width,
+    abs_height, abs_rotation, abs_border, abs_radius, masks, source_crop, depth,
+    shadow_ix (null for the node itself), abs_blur and path, which orders rows
+    as they are drawn: shadows of all children of a node come before them.
+
+    Scaling and clipping of all ancestors add up to one scale and one window
+    on each axis, so nodes are placed from the roots down, one join a level
+    until a level is empty; each level is written once.
     """
     one, zero = F.lit(1.0), F.lit(0.0)
-    order = lambda: F.lpad(F.col("child_ix").cast("string"), 6, "0")
-
-    def placed(df: DataFrame) -> DataFrame:
-        """From the parent's place, scales and masks (p_...) to the node's own."""
-        unified = F.least("p_sx", "p_sy")
+    nodes = nodes.withColumns({c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in nodes.columns})
+    columns = list(nodes.columns)
+    number = lambda c: F.lpad(c.cast("string"), 12, "0")
+
+    def placed(df: DataFrame, top: Column, left: Column) -> DataFrame:
+        """From the parent's scales and windows (p_...) to a rectangle of the node."""
+        axis = {"top": ("p_y", "p_sy", "height", top), "left": ("p_x", "p_sx", "width", left)}
+        out = df
+        for side, (origin, scale, size, own) in axis.items():
+            out = out.withColumn(f"__{side}", F.col(origin) + own * F.col(scale)).withColumn(f"__{size}", F.col(size) * F.col(scale))
+            low, high = F.greatest(F.col(f"__{side}"), F.col(f"p_{side}_lo")), F.least(F.col(f"__{side}") + F.col(f"__{size}"), F.col(f"p_{side}_hi"))
+            out = out.withColumn(f"abs_{side}", low).withColumn(f"abs_{size}", high - low)
+        return out.withColumns({"abs_rotation": F.col("p_rotation") + F.col("rotation"), "masks": F.col("p_masks")})
+
+    def with_inner(df: DataFrame) -> DataFrame:
+        """What the node hands on to its children."""
+        sx, sy = F.col("p_sx") * F.col("scale_x"), F.col("p_sy") * F.col("scale_y")
+        cut = F.col("crop").isNotNull()
         moved = F.when(
             F.col("mask").isNotNull(),
-            F.array(F.struct((F.col("p_top") + F.col("mask.top") * F.col("p_sy")).alias("top"), (F.col("p_left") + F.col("mask.left") * F.col("p_sx")).alias("left"),
-                             (F.col("mask.width") * F.col("p_sx")).alias("width"), (F.col("mask.height") * F.col("p_sy")).alias("height"), (F.col("mask.radius") * unified).alias("radius"))),
+            F.array(F.struct((F.col("p_mask_y") + F.col("mask.top") * F.col("p_sy")).alias("top"), (F.col("p_mask_x") + F.col("mask.left") * F.col("p_sx")).alias("left"),
+                             (F.col("mask.width") * F.col("p_sx")).alias("width"), (F.col("mask.height") * F.col("p_sy")).alias("height"), (F.col("mask.radius") * F.col("p_unified")).alias("radius"))),
         ).otherwise(F.array().cast(_MASK))
-        return df.withColumns(
+        window = lambda side, scale, size: {
+            f"i_{side}_lo": F.when(cut, F.greatest(F.col(f"p_{side}_lo"), F.col(f"__{side}"))).otherwise(F.col(f"p_{side}_lo")),
+            f"i_{side}_hi": F.when(cut, F.least(F.col(f"p_{side}_hi"), F.col(f"__{side}") + F.col(f"crop.{size}") * scale)).otherwise(F.col(f"p_{side}_hi")),
+        }
+        inner = {
+            "i_sx": sx, "i_sy": sy, "i_unified": F.col("p_unified") * F.least("scale_x", "scale_y"), "i_rotation": F.col("abs_rotation"), "i_masks": F.concat("p_masks", moved.cast(_MASK)),
+            "i_y": F.col("__top") - F.when(cut, F.col("crop.top") * sy).otherwise(0.0), "i_x": F.col("__left") - F.when(cut, F.col("crop.left") * sx).otherwise(0.0),
+            "i_mask_y": F.col("p_mask_y") + F.col("top") * F.col("p_sy"), "i_mask_x": F.col("p_mask_x") + F.col("left") * F.col("p_sx"),
+        } | window("top", sy, "height") | window("left", sx, "width")
+        return df.withColumns(inner)
+
+    def out_of(level: DataFrame, depth: int) -> DataFrame:
+        """The rows of a level: its nodes, and their shadows."""
+        share = lambda at, side, of: F.try_divide(F.col(f"abs_{side}") - F.col(f"__{side}"), F.col(f"__{of}")) * F.col(at)
+        source = F.struct(
+            share("source_height", "top", "height").alias("top"), share("source_width", "left", "width").alias("left"),
+            (F.try_divide("abs_width", "__width") * F.col("source_width")).alias("width"), (F.try_divide("abs_height", "__height") * F.col("source_height")).alias("height"),
+        )
+        keep = [*columns, "abs_top", "abs_left", "abs_width", "abs_height", "abs_rotation", "abs_border", "abs_radius", "masks", "source_crop", "depth", "shadow_ix", "abs_blur", "path"]
+        own = level.withColumns(
             {
-                "abs_top": F.col("p_top") + F.col("top") * F.col("p_sy"), "abs_left": F.col("p_left") + F.col("left") * F.col("p_sx"),
-                "abs_width": F.col("width") * F.col("p_sx"), "abs_height": F.col("height") * F.col("p_sy"),
-                "abs_rotation": F.col("p_rotation") + F.col("rotation"), "abs_border": F.col("border") * F.col("p_unified"),
-                "masks": F.col("p_masks"), "__inner": F.concat("p_masks", moved.cast(_MASK)),
-                "__sx": F.col("p_sx") * F.col("scale_x"), "__sy": F.col("p_sy") * F.col("scale_y"), "__unified": F.col("p_unified") * F.least("scale_x", "scale_y"),
+                "abs_border": F.col("border") * F.col("p_unified"), "abs_radius": F.col("radius") * F.col("p_unified"), "source_crop": F.when(F.col("source_width").isNotNull(), source),
+                "depth": F.lit(depth), "shadow_ix": F.lit(None).cast("int"), "abs_blur": F.lit(None).cast("double"),
             }
         )
-
-    root = nodes.where("parent_id is null").withColumns({"p_top": zero, "p_left": zero, "p_sx": one, "p_sy": one, "p_unified": one, "p_rotation": zero, "p_masks": F.array().cast(_MASK)})
-    level = placed(root).withColumn("depth", F.lit(0)).withColumn("path", order())
-    out = level
-    for depth in range(1, max_depth + 1):
-        up = level.select(
-            "output_id", F.col("node_id").alias("parent_id"), F.col("abs_top").alias("p_top"), F.col("abs_left").alias("p_left"), F.col("__sx").alias("p_sx"), F.col("__sy").alias("p_sy"),
-            F.col("__unified").alias("p_unified"), F.col("abs_rotation").alias("p_rotation"), F.col("__inner").alias("p_masks"), F.col("path").alias("p_path"),
+        cast = level.select(*columns, *[c for c in level.columns if c.startswith("p_")], F.posexplode("shadows").alias("shadow_ix", "s"))
+        cast = placed(cast, F.col("top") + F.col("s.offset_y"), F.col("left") + F.col("s.offset_x")).withColumns(
+            {
+                "abs_border": F.lit(0.0), "abs_radius": (F.coalesce("radius", F.lit(0.0)) + F.col("s.blur") / 2) * F.col("p_unified"), "source_crop": F.lit(None).cast(_CROP), "depth": F.lit(depth),
+                "abs_blur": F.col("s.blur") * F.col("p_unified"), "path": F.concat("p_path", F.lit("0/"), number(F.col("child_ix")), F.lit("."), number(F.col("shadow_ix"))),
+            }
         )
-        level = placed(nodes.join(up, ["output_id", "parent_id"]).select(*nodes.columns, *[c for c in up.columns if c not in ("output_id", "parent_id")]))
-        level = level.withColumn("depth", F.lit(depth)).withColumn("path", F.concat_ws("/", "p_path", order()))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level, allowMissingColumns=True)
-    keep = [*nodes.columns, "abs_top", "abs_left", "abs_width", "abs_height", "abs_rotation", "abs_border", "masks", "depth", "path"]
-    return out.select(*keep)
+        return own.select(*keep).unionByName(cast.select(*keep))
+
+    low, high, none = F.lit(float("-inf")), F.lit(float("inf")), F.array().cast(_MASK)
+    start = {"p_y": zero, "p_x": zero, "p_mask_y": zero, "p_mask_x": zero, "p_sx": one, "p_sy": one, "p_unified": one, "p_rotation": zero, "p_masks": none, "p_path": F.lit(""), "p_top_lo": low, "p_top_hi": high, "p_left_lo": low, "p_left_hi": high}
+    level, out, depth = nodes.where("parent_id is null").withColumns(start), None, 0
+    while True:
+        level = with_inner(placed(level, F.col("top"), F.col("left"))).withColumn("path", F.concat("p_path", F.lit("1/"), number(F.col("child_ix"))))
+        level = written(level, f"level-{depth}")
+        if depth and level.isEmpty():
+            return out
+        rows = out_of(level, depth)
+        out = rows if out is None else out.unionByName(rows)
+        inner = [c for c in level.columns if c.startswith("i_")]
+        up = level.select("output_id", F.col("node_id").alias("parent_id"), F.concat("path", F.lit("/")).alias("p_path"), *[F.col(c).alias("p" + c[1:]) for c in inner])
+        level, depth = nodes.join(up, ["output_id", "parent_id"]).select(*columns, *[c for c in up.columns if c not in ("output_id", "parent_id")]), depth + 1
 
 
 def drawn(layouts: DataFrame, width: float, height: float) -> DataFrame:
     """Layouts that can change the output: not empty, not beyond its right or lower edge, not transparent.
 
-    Needs abs_ columns, kind (color, child, shadow), alpha, border_alpha.
+    Needs abs_ columns, kind (color, child, shadow), alpha, border_alpha; of a
+    child with a source_crop, what its crop leaves must lie in the picture.
     Borders thinner than one are none; masks that hold the whole layout go.
     """
     visible = (F.col("abs_width") > 0) & (F.col("abs_height") > 0) & (F.col("abs_top") <= height) & (F.col("abs_left") <= width)
@@ -196,6 +245,10 @@ def drawn(layouts: DataFrame, width: float, height: float) -> DataFrame:
         (m["top"] + m["radius"] <= F.col("abs_top")) & (m["left"] + m["radius"] <= F.col("abs_left"))
         & (m["left"] + m["width"] - m["radius"] >= F.col("abs_left") + F.col("abs_width")) & (m["top"] + m["height"] - m["radius"] >= F.col("abs_top") + F.col("abs_height"))
     )
+    if "source_crop" in layouts.columns:
+        c = F.col("source_crop")
+        outside = (c["left"] > F.col("source_width")) | (c["top"] > F.col("source_height")) | (c["top"] + c["height"] < 0) | (c["left"] + c["width"] < 0)
+        visible &= ~F.coalesce((F.col("kind") == "child") & outside, F.lit(False))
     border = F.when(F.col("abs_border") < 1, 0.0).otherwise(F.col("abs_border"))
     return layouts.where(visible & ~transparent).withColumn("abs_border", border).withColumn("masks", F.filter("masks", cuts))
 
@@ -206,6 +259,35 @@ def capped(layouts: DataFrame, most: int = 100, masks: int = 20) -> DataFrame:
     return layouts.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n").withColumn("masks", F.slice("masks", 1, masks))
 
 
+def bound(leaves: DataFrame, samples: DataFrame) -> DataFrame:
+    """Leaves of scenes with the frame that their input shows: adds frame_id, and stub where there is none.
+
+    ``leaves``: slot_pts, output_id, node_id, input_id; ``samples``: slot_pts,
+    input_id, frame_id.  An input that isn't there or shows nothing gives an empty stub.
+    """
+    shown = samples.where("frame_id is not null").select("slot_pts", "input_id", "frame_id")
+    return leaves.join(shown, ["slot_pts", "input_id"], "left").withColumn("stub", F.col("frame_id").isNull())
+
+
+def resample_plan(crop_left: Column, crop_width: Column, width: Column, crop_top: Column, crop_height: Column, height: Column) -> Column:
+    """Struct (passes, first, levels_x, levels_y, shift) of the filter passes that bring a crop to a size.
+
+    An axis that keeps its scale and begins on a whole pixel needs no pass, its
+    ``shift`` rides along with the other's; two passes begin with the axis that
+    shrinks more.  ``levels``: halvings before the filter, so that at most a
+    factor of four is left to it.
+    """
+    same = lambda a, b: F.abs(a - b) < 0.001
+    direct = lambda offset, size, to: same(size, to) & same(offset, F.round(offset))
+    x, y = direct(crop_left, crop_width, width), direct(crop_top, crop_height, height)
+    sx, sy = F.try_divide(crop_width, width), F.try_divide(crop_height, height)
+    levels = lambda s: F.when(s.isNull() | F.isnan(s) | (s <= 4), 0).otherwise(F.least(F.lit(16), F.ceil(F.log2(s / 4)).cast("int")))
+    first = F.when(x & y, F.lit(None)).when(y, "horizontal").when(x, "vertical").when(sy > sx, "vertical").otherwise("horizontal")
+    shift = F.when(x & ~y, F.round(crop_left)).when(y & ~x, F.round(crop_top)).otherwise(0).cast("int")
+    passes = F.when(x & y, 0).when(x | y, 1).otherwise(2)
+    return F.struct(passes.alias("passes"), first.alias("first"), levels(sx).alias("levels_x"), levels(sy).alias("levels_y"), shift.alias("shift"))
+
+
 def first_inputs(nodes: DataFrame, most: int = 16) -> DataFrame:
     """The first inputs of each shader node, in order; the rest isn't bound."""
     w = Window.partitionBy("output_id", "node_id").orderBy("input_ix")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import clock
 from ..functions import colors, easing
-from ..operators import lifecycle, mix, scene
+from ..operators import align, lifecycle, mix, scene
 from ..sources import tables
-from .timing import EV, H
+from .timing import EV, SLOTS, H, _slots
 
 D = clock.DAY
 Q: dict = {}
@@ -131,57 +131,98 @@ def fit_into_tile(s, d):
 
 
 def _nodes(s, d) -> DataFrame:
-    """region > nation > supplier as a scene of three levels, one output a region."""
-    region, nation, supplier = (tables.table(s, d, t) for t in ("region", "nation", "supplier"))
-    r, n, k = F.col("r_regionkey").cast("long"), F.col("n_nationkey").cast("long"), F.col("s_suppkey").cast("long")
-    dbl = lambda c: c.cast("double")
+    """Events below their users below ten outputs as scenes of three levels, with crops, masks and shadows."""
+    f = tables.frames(s, d)
+    u, e = F.col("user_id"), F.col("frame_id")
+    dbl = lambda c: (c if hasattr(c, "cast") else F.lit(c)).cast("double")
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    no_mask = F.lit(None).cast("struct<top:double,left:double,width:double,height:double,radius:double>")
-    mask = F.struct(F.lit(1.0).alias("top"), F.lit(2.0).alias("left"), dbl(100 + n).alias("width"), F.lit(60.0).alias("height"), F.lit(4.0).alias("radius"))
+    rect = lambda **x: F.struct(*[dbl(v).alias(k) for k, v in x.items()])
 
-    def node(df, output, own, parent, ix, top, left, width, height, scale, border, m):
+    def node(df, own, parent, ix, top, left, width, height, scale, border, mask=None, crop=None, shadows=None, source=None):
         return df.select(
-            output.alias("output_id"), own.alias("node_id"), parent.alias("parent_id"), ix.alias("child_ix"), dbl(top).alias("top"), dbl(left).alias("left"), dbl(width).alias("width"), dbl(height).alias("height"),
-            dbl(scale).alias("scale_x"), dbl(scale).alias("scale_y"), F.lit(0.0).alias("rotation"), dbl(border).alias("border"), m.alias("mask"),
+            (u % 10).alias("output_id"), own.alias("node_id"), (F.lit(None).cast("string") if parent is None else parent).alias("parent_id"), ix.cast("long").alias("child_ix"), dbl(top).alias("top"), dbl(left).alias("left"),
+            dbl(width).alias("width"), dbl(height).alias("height"), dbl(scale).alias("scale_x"), dbl(scale).alias("scale_y"), F.lit(0.0).alias("rotation"), dbl(border).alias("border"),
+            (F.lit(None) if mask is None else mask).cast("struct<top:double,left:double,width:double,height:double,radius:double>").alias("mask"), (F.lit(None) if crop is None else crop).cast(scene._CROP).alias("crop"),
+            (F.lit(None) if shadows is None else shadows).cast(scene._SHADOWS).alias("shadows"), dbl(F.lit(None) if source is None else source).alias("source_width"), dbl(F.lit(None) if source is None else source).alias("source_height"),
         )
 
-    one = F.lit(1.0)
-    roots = node(region, r, text("r", r), F.lit(None).cast("string"), r, F.lit(0), F.lit(0), F.lit(1280), F.lit(720), F.lit(0.5), F.lit(2), no_mask)
-    mids = node(nation, F.col("n_regionkey").cast("long"), text("n", n), text("r", F.col("n_regionkey").cast("long")), n, 10 * n, 20 * n, 100 + n, F.lit(80), F.lit(2.0), F.lit(1.5), mask)
-    leaves = node(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")), F.col("n_regionkey").cast("long"), text("s", k), text("n", n), k, k, 3 * k, k - 5, F.lit(20), one, F.lit(0.4), no_mask)
+    users = f.select("user_id").distinct()
+    k = e % 40
+    roots = node(users.groupBy((u % 10).alias("user_id")).agg(F.count(F.lit(1))), text("r", u), None, F.lit(0), 0, 0, 1280, 720, 0.5, 2, crop=F.when(u % 3 == 1, rect(top=10, left=20, width=600, height=300)))
+    mids = node(users, text("n", u), text("r", u % 10), u, 10 * (u % 25), 20 * (u % 25), 100 + u % 25, 80, 2.0, 1.5, rect(top=1, left=2, width=100 + u, height=60, radius=4), F.when(u % 4 == 0, rect(top=5, left=6, width=60, height=40)))
+    shadow = F.when(e % 7 == 0, F.array(F.struct(F.lit(2.0).alias("offset_x"), F.lit(3.0).alias("offset_y"), F.lit(4.0).alias("blur"))))
+    leaves = node(f, text("s", e), text("n", u), e, k, 3 * k, k - 5, 20, 1.0, 0.4, shadows=shadow, source=F.when(e % 2 == 0, F.lit(640)))
     return roots.unionByName(mids).unionByName(leaves)
 
 
-FLAT = """WITH f AS (SELECT CAST(r_regionkey AS BIGINT) AS output_id, 'r' || r_regionkey AS node_id, 0.0::DOUBLE AS t, 0.0::DOUBLE AS l, 1280.0::DOUBLE AS w, 720.0::DOUBLE AS h, 2.0::DOUBLE AS b, 0 AS depth, 0 AS masks FROM region
- UNION ALL SELECT n_regionkey, 'n' || n_nationkey, 5.0 * n_nationkey, 10.0 * n_nationkey, (100 + n_nationkey) * 0.5, 40, 0.75, 1, 0 FROM nation
- UNION ALL SELECT n_regionkey, 's' || s_suppkey, 5.0 * n_nationkey + s_suppkey, 10.0 * n_nationkey + 3 * s_suppkey, s_suppkey - 5, 20, 0.4, 2, 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+#: Three levels written out: root (scale 1/2), user (scale 2 inside it), event; a shadow is one more rectangle of its event.
+FLAT = f"""WITH {EV}, us AS (SELECT DISTINCT user_id AS u FROM ev), ro AS (SELECT DISTINCT u % 10 AS o FROM us), inf AS (SELECT 'infinity'::DOUBLE AS big),
+ m AS (SELECT u, u % 10 AS o, 5.0 * (u % 25) - CASE WHEN u % 10 % 3 = 1 THEN 5 ELSE 0 END AS t, 10.0 * (u % 25) - CASE WHEN u % 10 % 3 = 1 THEN 10 ELSE 0 END AS l, (100 + u % 25) * 0.5 AS w, 40.0 AS h,
+  CASE WHEN u % 10 % 3 = 1 THEN 0.0 ELSE -big END AS tlo, CASE WHEN u % 10 % 3 = 1 THEN 150.0 ELSE big END AS thi, CASE WHEN u % 10 % 3 = 1 THEN 0.0 ELSE -big END AS llo, CASE WHEN u % 10 % 3 = 1 THEN 300.0 ELSE big END AS lhi FROM us, inf),
+ c AS (SELECT u, o, t - CASE WHEN u % 4 = 0 THEN 5 ELSE 0 END AS y, l - CASE WHEN u % 4 = 0 THEN 6 ELSE 0 END AS x, CASE WHEN u % 4 = 0 THEN greatest(tlo, t) ELSE tlo END AS tlo, CASE WHEN u % 4 = 0 THEN least(thi, t + 40) ELSE thi END AS thi,
+  CASE WHEN u % 4 = 0 THEN greatest(llo, l) ELSE llo END AS llo, CASE WHEN u % 4 = 0 THEN least(lhi, l + 60) ELSE lhi END AS lhi FROM m),
+ e AS (SELECT o, frame_id, u, 's' || frame_id AS node_id, x + 3 * (frame_id % 40) + dx AS l, y + frame_id % 40 + dy AS t, (frame_id % 40 - 5)::DOUBLE AS w, 20.0 AS h, tlo, thi, llo, lhi, six, blur,
+  CASE WHEN six IS NULL AND frame_id % 2 = 0 THEN 640.0 END AS src FROM ev JOIN c ON c.u = ev.user_id, (VALUES (0.0, 0.0, NULL, NULL), (2.0, 3.0, 0, 4.0)) v(dx, dy, six, blur) WHERE six IS NULL OR frame_id % 7 = 0),
+ a AS (SELECT o, 'r' || o AS node_id, 0.0 AS t0, 0.0 AS l0, 1280.0 AS w0, 720.0 AS h0, -big AS tlo, big AS thi, -big AS llo, big AS lhi, 2.0 AS b, 0 AS depth, 0 AS masks, NULL::INTEGER AS six, NULL::DOUBLE AS blur, NULL::DOUBLE AS src, '1/' || lpad('0', 12, '0') AS path FROM ro, inf
+  UNION ALL SELECT o, 'n' || u, t, l, w, h, tlo, thi, llo, lhi, 0.75, 1, 0, NULL, NULL, NULL, '1/' || lpad('0', 12, '0') || '/1/' || lpad(u::VARCHAR, 12, '0') FROM m
+  UNION ALL SELECT o, node_id, t, l, w, h, tlo, thi, llo, lhi, CASE WHEN six IS NULL THEN 0.4 ELSE 0 END, 2, 1, six, blur, src, '1/' || lpad('0', 12, '0') || '/1/' || lpad(u::VARCHAR, 12, '0') || CASE WHEN six IS NULL THEN '/1/' ELSE '/0/' END || lpad(frame_id::VARCHAR, 12, '0') || CASE WHEN six IS NULL THEN '' ELSE '.' || lpad('0', 12, '0') END FROM e),
+ f AS (SELECT o AS output_id, node_id, greatest(t0, tlo) AS t, greatest(l0, llo) AS l, least(l0 + w0, lhi) - greatest(l0, llo) AS w, least(t0 + h0, thi) - greatest(t0, tlo) AS h, b::DOUBLE AS b, depth, masks, six, blur, src,
+  CASE WHEN h0 <> 0 THEN (greatest(t0, tlo) - t0) / h0 * src END AS ct, CASE WHEN w0 <> 0 THEN (greatest(l0, llo) - l0) / w0 * src END AS cl, CASE WHEN h0 <> 0 THEN (least(t0 + h0, thi) - greatest(t0, tlo)) / h0 * src END AS ch, CASE WHEN w0 <> 0 THEN (least(l0 + w0, lhi) - greatest(l0, llo)) / w0 * src END AS cw, path FROM a)"""
 
 
-@query(f"{FLAT} SELECT output_id, node_id, t AS top, l AS \"left\", w AS width, h AS height, b AS border, depth, masks FROM f")
+@query(f"{FLAT} SELECT output_id, node_id, six AS shadow_ix, round(t, 6) + 0 AS top, round(l, 6) + 0 AS \"left\", round(w, 6) + 0 AS width, round(h, 6) + 0 AS height, b AS border, blur, depth, masks, round(cl, 6) + 0 AS crop_left, round(cw, 6) + 0 AS crop_width, path FROM f")
 def layout_flatten(s, d):
     out = scene.flatten(_nodes(s, d))
-    return out.select("output_id", "node_id", F.col("abs_top").alias("top"), F.col("abs_left").alias("left"), F.col("abs_width").alias("width"), F.col("abs_height").alias("height"), F.col("abs_border").alias("border"), "depth", F.size("masks").alias("masks"))
+    named = {"top": "abs_top", "left": "abs_left", "width": "abs_width", "height": "abs_height", "crop_left": "source_crop.left", "crop_width": "source_crop.width"}
+    return out.select("output_id", "node_id", "shadow_ix", *[(F.round(F.col(c), 6) + F.lit(0.0)).alias(n) for n, c in named.items()], F.col("abs_border").alias("border"), F.col("abs_blur").alias("blur"), "depth", F.size("masks").alias("masks"), "path")
 
 
 def _flat_colored(s, d) -> DataFrame:
     number = F.regexp_extract("node_id", "[0-9]+", 0).cast("long")
-    return scene.flatten(_nodes(s, d)).withColumns({"kind": F.when(F.col("depth") == 2, "shadow").otherwise("color"), "alpha": (number % 2 * 255).cast("int"), "border_alpha": F.lit(0)})
+    kind = F.when(F.col("shadow_ix").isNotNull(), "shadow").when(F.col("source_width").isNotNull(), "child").otherwise("color")
+    return scene.flatten(_nodes(s, d)).withColumns({"kind": kind, "alpha": (number % 3 * 100).cast("int"), "border_alpha": F.lit(0)})
 
 
-DRAWN = f"{FLAT}, v AS (SELECT *, CAST(substr(node_id, 2) AS BIGINT) AS k FROM f), dr AS (SELECT * FROM v WHERE w > 0 AND h > 0 AND t <= 150 AND l <= 200 AND NOT (k % 2 = 0 AND CASE WHEN depth = 2 THEN true ELSE b <= 0 END))"
+DRAWN = (
+    f"{FLAT}, v AS (SELECT *, CAST(substr(node_id, 2) AS BIGINT) AS k, CASE WHEN six IS NOT NULL THEN 'shadow' WHEN src IS NOT NULL THEN 'child' ELSE 'color' END AS kind FROM f), "
+    "dr AS (SELECT * FROM v WHERE w > 0 AND h > 0 AND t <= 150 AND l <= 200 AND NOT (k % 3 = 0 AND CASE kind WHEN 'color' THEN b <= 0 ELSE kind = 'shadow' END) AND NOT coalesce(kind = 'child' AND (cl > src OR ct > src OR ct + ch < 0 OR cl + cw < 0), false))"
+)
 
 
-@query(f"{DRAWN} SELECT output_id, node_id, CASE WHEN b < 1 THEN 0 ELSE b END AS border FROM dr")
+@query(f"{DRAWN} SELECT output_id, node_id, kind, CASE WHEN b < 1 THEN 0 ELSE b END AS border FROM dr")
 def layout_cull(s, d):
-    return scene.drawn(_flat_colored(s, d), 200.0, 150.0).select("output_id", "node_id", F.col("abs_border").alias("border"))
+    return scene.drawn(_flat_colored(s, d), 200.0, 150.0).select("output_id", "node_id", "kind", F.col("abs_border").alias("border"))
+
+
+@query(f"{DRAWN} SELECT output_id, node_id, kind FROM dr QUALIFY row_number() OVER (PARTITION BY output_id ORDER BY path) <= 100")
+def layout_cap(s, d):
+    return scene.capped(scene.drawn(_flat_colored(s, d), 200.0, 150.0)).select("output_id", "node_id", "kind")
 
 
 @query(
-    f"{DRAWN}, o AS (SELECT dr.*, CASE depth WHEN 0 THEN lpad(CAST(output_id AS VARCHAR), 6, '0') WHEN 1 THEN lpad(CAST(output_id AS VARCHAR), 6, '0') || '/' || lpad(CAST(k AS VARCHAR), 6, '0') ELSE lpad(CAST(output_id AS VARCHAR), 6, '0') || '/' || lpad(CAST(s_nationkey AS VARCHAR), 6, '0') || '/' || lpad(CAST(k AS VARCHAR), 6, '0') END AS path FROM dr LEFT JOIN supplier ON depth = 2 AND s_suppkey = k) "
-    "SELECT output_id, node_id FROM o QUALIFY row_number() OVER (PARTITION BY output_id ORDER BY path) <= 5"
+    f"WITH {EV}, {SLOTS}, sh AS (SELECT slot_pts, i.input_id, ev.frame_id FROM slots CROSS JOIN (SELECT DISTINCT input_id FROM ev) i ASOF JOIN ev ON ev.input_id = i.input_id AND slot_pts >= ev.pts), l AS (SELECT DISTINCT user_id % 10 AS output_id, 'n' || user_id AS node_id, CASE WHEN user_id % 11 = 0 THEN 'nobody' ELSE input_id END AS input_id FROM ev WHERE frame_id < 500) "
+    "SELECT s.slot_pts, l.output_id, l.node_id, l.input_id, sh.frame_id, sh.frame_id IS NULL AS stub FROM slots s CROSS JOIN l LEFT JOIN sh ON sh.slot_pts = s.slot_pts AND sh.input_id = l.input_id WHERE s.slot_ix % 24 = 0"
 )
-def layout_cap(s, d):
-    return scene.capped(scene.drawn(_flat_colored(s, d), 200.0, 150.0), most=5).select("output_id", "node_id")
+def leaf_inputs(s, d):
+    """What the leaves of the scenes that change once a day show; the scenes are made from the first events."""
+    f, slots = tables.frames(s, d), _slots(s, d)
+    leaves = f.where("frame_id < 500").select((F.col("user_id") % 10).alias("output_id"), F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("node_id"), F.when(F.col("user_id") % 11 == 0, "nobody").otherwise(F.col("input_id")).alias("input_id")).distinct()
+    asked = slots.where("slot_ix % 24 = 0").select("slot_pts").crossJoin(leaves)
+    return scene.bound(asked, align.sample_frames(f, slots)).select("slot_pts", "output_id", "node_id", "input_id", "frame_id", "stub")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS id, (p_partkey % 9) * 0.5::DOUBLE AS x, (100 + p_size * 37)::DOUBLE AS cw, CASE WHEN p_partkey % 4 = 0 THEN 100 + p_size * 37 ELSE 20 + p_size * 3 END AS w, (p_partkey % 5)::DOUBLE AS y, (90 + p_size * 11)::DOUBLE AS ch, CASE WHEN p_partkey % 3 = 0 THEN 90 + p_size * 11 ELSE 5 + p_partkey % 200 END AS h FROM part),
+ q AS (SELECT *, abs(cw - w) < 0.001 AND abs(x - round(x)) < 0.001 AS dx, abs(ch - h) < 0.001 AND abs(y - round(y)) < 0.001 AS dy, cw / w AS sx, ch / h AS sy FROM p)
+ SELECT id, CASE WHEN dx AND dy THEN 0 WHEN dx OR dy THEN 1 ELSE 2 END AS passes, CASE WHEN dx AND dy THEN NULL WHEN dy THEN 'horizontal' WHEN dx THEN 'vertical' WHEN sy > sx THEN 'vertical' ELSE 'horizontal' END AS first,
+  CAST(CASE WHEN sx <= 4 THEN 0 ELSE ceil(log2(sx / 4)) END AS INTEGER) AS levels_x, CAST(CASE WHEN sy <= 4 THEN 0 ELSE ceil(log2(sy / 4)) END AS INTEGER) AS levels_y, CAST(CASE WHEN dx AND NOT dy THEN round(x) WHEN dy AND NOT dx THEN round(y) ELSE 0 END AS INTEGER) AS shift FROM q"""
+)
+def resample_passes(s, d):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    cw, ch = (100 + n * 37).cast("double"), (90 + n * 11).cast("double")
+    w, h = F.when(k % 4 == 0, cw).otherwise((20 + n * 3).cast("double")), F.when(k % 3 == 0, ch).otherwise((5 + k % 200).cast("double"))
+    plan = scene.resample_plan((k % 9) * F.lit(0.5), cw, w, (k % 5).cast("double"), ch, h)
+    return tables.table(s, d, "part").select(k.alias("id"), plan.alias("p")).select("id", "p.*")
 
 
 @query("SELECT n_regionkey::BIGINT AS output_id, 'c' || n_nationkey % 4 AS component_id, 'duplicate id' AS problem FROM nation GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT min(n_regionkey)::BIGINT, 'i' || n_nationkey % 6, 'shared page' FROM nation GROUP BY 2 HAVING count(DISTINCT n_regionkey) > 1")
@@ -232,16 +273,71 @@ def easing_bezier(s, d):
     return _steps(s).select("id", F.round(easing.cubic_bezier(F.col("t"), 0.25, 0.1, 0.25, 1.0), 9).alias("state"))
 
 
+#: Cardano's formulas: all options, of which the first inside the range counts.
+WIDE = """WITH k AS (SELECT p_partkey AS id, (p_partkey % 101) / 100.0::DOUBLE AS p, (p_partkey % 7 - 2) * 0.5::DOUBLE AS x1, (p_partkey % 5) * 0.3::DOUBLE AS y1, (p_partkey % 11 - 4) * 0.25::DOUBLE AS x2, 1.0 - (p_partkey % 3) * 0.2::DOUBLE AS y2 FROM part),
+ c AS (SELECT *, 3 * (-p - 2 * (x1 - p) + x2 - p) AS a, 3 * (x1 - p + p) AS b, -p AS c, p + 3 * (x1 - x2) + 1 - p AS d FROM k),
+ n AS (SELECT *, CASE WHEN abs(d) >= 1e-7 THEN a / d END AS a1, CASE WHEN abs(d) >= 1e-7 THEN b / d END AS b1, CASE WHEN abs(d) >= 1e-7 THEN c / d END AS c1 FROM c),
+ q AS (SELECT *, (3 * b1 - a1 * a1) / 9 AS q, (2 * a1 * a1 * a1 - 9 * a1 * b1 + 27 * c1) / 54 AS r FROM n), e AS (SELECT *, r * r + q * q * q AS rest FROM q),
+ o AS (SELECT *, CASE WHEN abs(d) < 1e-7 THEN CASE WHEN abs(a) < 1e-7 THEN CASE WHEN abs(b) < 1e-7 THEN [] ELSE [-c / b] END WHEN b * b - 4 * a * c < 0 THEN [] ELSE [(sqrt(b * b - 4 * a * c) - b) / (2 * a), (-sqrt(b * b - 4 * a * c) - b) / (2 * a)] END
+  WHEN rest < 0 THEN list_transform([0, 1, 2], lambda n: 2 * sqrt(-q) * cos((acos(greatest(-1.0, least(1.0, -r / sqrt(-q * q * q)))) + n * 2 * pi()) / 3) - a1 / 3) WHEN rest = 0 THEN [-2 * cbrt(r) - a1 / 3, cbrt(r) - a1 / 3] ELSE [cbrt(sqrt(rest) - r) - cbrt(sqrt(rest) + r) - a1 / 3] END AS ts FROM e),
+ t AS (SELECT *, greatest(0.0, least(1.0, list_filter(ts, lambda t: t >= -1e-7 AND t <= 1 + 1e-7)[1])) AS t, len(list_filter(ts, lambda t: t >= -1e-7 AND t <= 1 + 1e-7)) AS n FROM o)
+ SELECT id, round(CASE WHEN abs(p) < 1e-7 THEN 0 WHEN abs(p - 1) < 1e-7 THEN 1 WHEN n = 0 THEN 1 ELSE greatest(0.0, least(1.0, 3 * (1 - t) * (1 - t) * t * y1 + 3 * (1 - t) * t * t * y2 + t * t * t)) END, 6)::DOUBLE AS state FROM t"""
+
+
+@query(WIDE)
+def easing_bezier_wide(s, d):
+    k = F.col("p_partkey")
+    points = (k % 7 - 2) * F.lit(0.5), (k % 5) * F.lit(0.3), (k % 11 - 4) * F.lit(0.25), 1.0 - (k % 3) * F.lit(0.2)
+    return tables.table(s, d, "part").select(k.alias("id"), F.round(easing.cubic_bezier_any((k % 101) / F.lit(100.0), *points), 6).alias("state"))
+
+
 @query(
-    f"""WITH x AS (SELECT range AS id, least(1, greatest(0, 0.3::DOUBLE + ((range * 20000000 - 1000000000) / 2000000000.0)::DOUBLE * 0.7)) AS p FROM range(200)), b AS (SELECT id, p AS t, p FROM x), o AS (SELECT {BOUNCE.replace('t', 'q.t')} AS s0 FROM (SELECT 0.3::DOUBLE AS t) q)
- SELECT id, round(({BOUNCE} - s0) / (1 - s0), 6)::DOUBLE AS state FROM b, o""".replace("q.then", "then").replace("q.tHEN", "THEN")
+    f"""WITH x AS (SELECT range AS id, least(1, greatest(0, 0.3::DOUBLE + ((range * 20000000 - 1000000000) / 2000000000.0)::DOUBLE * 0.7)) AS p FROM range(200)), b AS (SELECT id, p AS t, p FROM x), o AS (SELECT {BOUNCE} AS s0 FROM (SELECT 0.3::DOUBLE AS t) q)
+ SELECT id, round((p - s0) / (1 - s0), 6)::DOUBLE AS state FROM b, o"""
 )
 def transition_progress(s, d):
+    """A straight transition that takes over from one that bounced."""
     rows = s.range(200).select("id", (F.col("id") * 20_000_000).alias("pts"))
-    state = easing.transition_state(F.lit("bounce"), F.col("pts"), F.lit(1_000_000_000), F.lit(2_000_000_000.0), F.lit(0.3))
+    state = easing.transition_state(F.lit("linear"), F.col("pts"), F.lit(1_000_000_000), F.lit(2_000_000_000.0), F.lit(0.3), begun_kind=F.lit("bounce"))
     return rows.select("id", F.round(state, 6).alias("state"))
 
 
+def _curve(kind: str, t: str) -> str:
+    return f"CASE WHEN {kind} = 'bounce' THEN {BOUNCE.replace('THEN', '#').replace('t', t).replace('#', 'THEN')} ELSE {t} END"
+
+
+@query(
+    f"""WITH RECURSIVE {EV}, v AS (SELECT user_id, frame_id, pts, CASE WHEN frame_id % 3 > 0 THEN (1 + frame_id % 5) * {6 * H} END AS duration, CASE WHEN frame_id % 2 = 0 THEN 'bounce' ELSE 'linear' END AS kind, frame_id % 4 <> 0 AS changed, frame_id % 5 = 0 AS interrupt, row_number() OVER (PARTITION BY user_id ORDER BY pts, frame_id) AS i FROM ev),
+ r(user_id, i, frame_id, pts, start_pts, length, curve, "offset", begun_kind) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR) FROM v
+  UNION ALL SELECT user_id, i, frame_id, pts, CASE WHEN goes OR fresh THEN pts END, CASE WHEN goes THEN rest WHEN fresh THEN duration END, CASE WHEN goes THEN coalesce(CASE WHEN duration IS NOT NULL THEN kind END, old) WHEN fresh THEN kind END, CASE WHEN goes THEN 1 - rest / olen::DOUBLE WHEN fresh THEN 0 END, CASE WHEN goes THEN old END
+  FROM (SELECT v.*, r.length AS olen, r.curve AS old, r.start_pts + r.length - v.pts AS rest, coalesce(r.start_pts + r.length > v.pts, false) AND NOT (v.changed AND v.interrupt) AS goes, v.changed AND v.duration IS NOT NULL AS fresh FROM r JOIN v ON v.user_id = r.user_id AND v.i = r.i + 1)),
+ s AS (SELECT *, least(1.0, "offset" + {H} / length::DOUBLE * (1 - "offset")) AS p FROM r WHERE frame_id IS NOT NULL)
+ SELECT frame_id, start_pts, length, curve, round("offset", 9) AS "offset", round((({_curve("curve", "p")}) - CASE WHEN "offset" = 0 THEN 0 ELSE {_curve("begun_kind", '"offset"')} END) / (1 - CASE WHEN "offset" = 0 THEN 0 ELSE {_curve("begun_kind", '"offset"')} END), 6) AS state FROM s"""
+)
+def transition_chain(s, d):
+    e = F.col("frame_id")
+    v = tables.frames(s, d).select("user_id", "frame_id", "pts", F.when(e % 3 > 0, (1 + e % 5) * (6 * H)).alias("duration"), F.when(e % 2 == 0, "bounce").otherwise("linear").alias("kind"), (e % 4 != 0).alias("changed"), (e % 5 == 0).alias("interrupt"))
+    out = easing.chained(v, ["user_id"], ["pts", "frame_id"])
+    state = easing.transition_state(F.col("curve"), F.col("pts") + H, F.col("start_pts"), F.col("length"), F.col("offset"), begun_kind=F.col("begun_kind"))
+    return out.select("frame_id", "start_pts", "length", "curve", F.round("offset", 9).alias("offset"), F.round(state, 6).alias("state"))
+
+
+@query(
+    """WITH k AS (SELECT p_partkey AS id, (p_partkey % 11) / 10.0::DOUBLE AS st, p_partkey % 5 > 0 AS same, CASE WHEN p_partkey % 7 > 0 THEN p_size::DOUBLE END AS w1, p_retailprice::DOUBLE AS w2, p_partkey % 3 > 0 AS sameside, p_size * 2.0::DOUBLE AS x1, p_size * 5.0::DOUBLE AS x2, p_partkey % 3 AS n1, p_partkey % 4 AS n2 FROM part)
+ SELECT id, round(CASE WHEN same AND w1 IS NOT NULL THEN w1 + (w2 - w1) * st ELSE w2 END, 6) AS width, round(CASE WHEN same AND sameside THEN x1 + (x2 - x1) * st ELSE x2 END, 6) AS x, round(w2 * (1 + st), 6) AS border_width,
+  CAST(n2 AS INTEGER) AS n_shadows, CASE WHEN n2 > 0 THEN round(CASE WHEN n1 > 0 THEN x1 + (x2 - x1) * st ELSE x2 END, 6) END AS first_blur FROM k"""
+)
+def component_transition(s, d):
+    k, n = F.col("p_partkey"), F.col("p_size").cast("double")
+    place = lambda kind, w, side, x: F.struct(kind.alias("kind"), w.alias("width"), F.lit(9.0).alias("height"), side.alias("x_side"), x.alias("x"), F.lit("top").alias("y_side"), F.lit(1.0).alias("y"), F.lit(0.0).alias("rotation"))
+    cast = lambda many, blur: F.transform(F.slice(F.array(*[F.lit(i) for i in range(4)]), F.lit(1), many.cast("int")), lambda i: F.struct(F.lit(0.0).alias("offset_x"), F.lit(0.0).alias("offset_y"), blur.alias("blur"), F.lit("c").alias("color")))
+    state = lambda place, border, shadows: F.struct(place.alias("position"), F.lit(0.0).alias("radius"), border.alias("border_width"), F.lit(0.0).alias("padding"), shadows.alias("shadows"))
+    start = state(place(F.when(k % 5 > 0, "static").otherwise("absolute"), F.when(k % 7 > 0, n), F.lit("left"), n * 2), F.col("p_retailprice"), cast(k % 3, n * 2))
+    end = state(place(F.lit("static"), F.col("p_retailprice"), F.when(k % 3 > 0, "left").otherwise("right"), n * 5), F.col("p_retailprice") * 2, cast(k % 4, n * 5))
+    out = tables.table(s, d, "part").select(k.alias("id"), easing.lerp_component(start, end, (k % 11) / F.lit(10.0)).alias("c"))
+    return out.select("id", F.round("c.position.width", 6).alias("width"), F.round("c.position.x", 6).alias("x"), F.round("c.border_width", 6).alias("border_width"), F.size("c.shadows").alias("n_shadows"), F.round(F.get("c.shadows", F.lit(0))["blur"], 6).alias("first_blur"))
+
+
 @query("SELECT l_orderkey AS a, l_linenumber AS b, count(*) AS n, round(sum(l_quantity + (l_extendedprice - l_quantity) * l_discount), 7) AS mid, CAST(sum(trunc(l_partkey + (l_suppkey - l_partkey) * l_discount)) AS BIGINT) AS whole FROM lineitem GROUP BY 1, 2")
 def interpolate(s, d):
     li = tables.table(s, d, "lineitem")
