@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import inspect
 import struct
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import PandasUDFType
 
 
@@ -63,6 +65,26 @@ def spectrum(samples: pd.Series) -> pd.Series:
     return pd.Series([(np.abs(np.fft.rfft(s)) / max(1, len(s))).tolist() for s in samples])
 
 
+@batched("struct<average:double,median:double,level:double,frequency:double>")
+def spectrum_levels(samples: pd.Series, rate: pd.Series) -> pd.DataFrame:
+    """Mean, median and greatest magnitude of a spectrum under a Hann window, and the frequency of the greatest."""
+    rows = []
+    for s, r in zip(samples, rate, strict=True):
+        x = np.asarray(s, float)
+        if not len(x):
+            rows.append((0.0, 0.0, 0.0, 0.0))
+            continue
+        bins = np.abs(np.fft.rfft(x * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(len(x)) / len(x)))))
+        rows.append((bins.mean(), np.median(bins), bins.max(), float(bins.argmax()) * r / len(x)))
+    return pd.DataFrame(rows, columns=["average", "median", "level", "frequency"])
+
+
+def same_levels(actual: Column, expected: Column, average: float, median: float, level: float) -> Column:
+    """Whether two structs of spectrum levels agree within tolerances."""
+    near = lambda f, t: F.abs(actual[f] - expected[f]) <= t
+    return near("average", average) & near("median", median) & near("level", level)
+
+
 def _swizzle(order: tuple[int, ...]):
     def run(pixels: pd.Series) -> pd.Series:
         return pd.Series([np.frombuffer(b, np.uint8).reshape(-1, 4)[:, order].tobytes() for b in pixels])
@@ -108,6 +130,57 @@ def units(data: bytes) -> list[bytes]:
     return [u for u in out if u]
 
 
+#: Kinds of units that can only come before a picture's first slice.
+_OPENERS, _SLICES = frozenset({6, 7, 8, 9, 14, 15, 16, 17, 18}), frozenset({1, 5})
+
+
+def access_units(data: bytes) -> list[bytes]:
+    """A stream's pictures, each with the units that belong to it, after start codes of four bytes.
+
+    A picture begins with what opens one, or with a slice that starts at its
+    first block, once the one before has a slice.
+    """
+    out: list[list[bytes]] = []
+    has_slice = True
+    for unit in units(data):
+        kind = unit[0] & 31
+        first = kind in _SLICES and len(unit) > 1 and unit[1] >= 128  # block number 0 is a single set bit
+        if not out or has_slice and (kind in _OPENERS or first):
+            out.append([])
+            has_slice = False
+        has_slice |= kind in _SLICES
+        out[-1].append(unit)
+    return [b"".join(b"\0\0\0\1" + u for u in picture) for picture in out]
+
+
+@batched("array<binary>")
+def split_pictures(data: pd.Series) -> pd.Series:
+    return pd.Series([access_units(bytes(b)) for b in data])
+
+
+def messages(data: bytes) -> tuple[list[bytes], bytes]:
+    """Whole messages of a side channel, each after its length in four big-endian bytes, and what is left over."""
+    out, at = [], 0
+    while at + 4 <= len(data):
+        n = struct.unpack(">I", data[at : at + 4])[0]
+        if at + 4 + n > len(data):
+            break
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out, data[at:]
+
+
+def message(payload: bytes) -> bytes:
+    return struct.pack(">I", len(payload)) + payload
+
+
+@batched("array<struct<width:long,height:long,pts:long,rgba:binary>>")
+def frames_of(data: pd.Series) -> pd.Series:
+    """The frames in a recorded side channel."""
+    one = lambda b: dict(zip(("width", "height", "pts"), struct.unpack(">IIQ", b[:16]), strict=True), rgba=b[16:])
+    return pd.Series([[one(m) for m in messages(bytes(b))[0]] for b in data])
+
+
 @batched("binary")
 def start_codes_to_lengths(data: pd.Series) -> pd.Series:
     """Each unit after its length in four bytes."""
@@ -127,15 +200,34 @@ def lengths_to_start_codes(data: pd.Series) -> pd.Series:
     return pd.Series([one(bytes(b)) for b in data])
 
 
+def _fits(value: object, kind: object) -> bool:
+    """Whether a parameter has a type; a dict of types is a struct, a list of one type an array."""
+    if isinstance(kind, dict):
+        return isinstance(value, dict) and value.keys() == kind.keys() and all(_fits(value[k], t) for k, t in kind.items())
+    if isinstance(kind, list):
+        return isinstance(value, list) and all(_fits(v, kind[0]) for v in value)
+    return isinstance(value, kind) and not (kind is not bool and isinstance(value, bool))
+
+
 class Functions:
-    """A user's functions by name, each over batches, with the types of its parameters."""
+    """A user's functions by name, each over batches, with the types of its parameters.
+
+    A function is checked when it is registered: it must take its columns and
+    then its parameters by position, and its result type must be one of Spark's.
+    """
 
     def __init__(self):
-        self._known: dict[str, tuple[Callable, str, tuple[type, ...]]] = {}
+        self._known: dict[str, tuple[Callable, str, tuple]] = {}
 
-    def register(self, name: str, f: Callable, returns: str, params: tuple[type, ...] = ()) -> None:
+    def register(self, name: str, f: Callable, returns: str, params: tuple = (), columns: int | None = None) -> None:
         if name in self._known:
             raise ValueError(f"{name} is registered")
+        T.DataType.fromDDL(returns)
+        if columns is not None:
+            try:
+                inspect.signature(f).bind(*range(columns + len(params)))
+            except TypeError as wrong:
+                raise TypeError(f"{name}: {wrong}") from None
         self._known[name] = f, returns, params
 
     def unregister(self, name: str) -> None:
@@ -146,8 +238,8 @@ class Functions:
     def call(self, name: str, *columns: Column, params: tuple = ()) -> Column:
         """Apply a function; its parameters must have the registered types."""
         f, returns, kinds = self._known[name]
-        if len(params) != len(kinds) or not all(isinstance(p, k) for p, k in zip(params, kinds, strict=True)):
-            raise TypeError(f"{name} takes {[k.__name__ for k in kinds]}")
+        if len(params) != len(kinds) or not all(map(_fits, params, kinds)):
+            raise TypeError(f"{name} takes {kinds}")
 
         def run(*series: pd.Series) -> pd.Series:
             return f(*series, *params)

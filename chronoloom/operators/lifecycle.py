@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import clock
-from .ordered import as_of, with_running_sum
+from .ordered import as_of, with_running_max, with_running_sum
 
 
 def version_at(slots: DataFrame, versions: DataFrame, keys: list[str], values: list[str], bucket_ns: int = clock.DAY, tie: str = "version") -> DataFrame:
@@ -95,22 +95,64 @@ def anchored(packets: DataFrame, keys: list[str], start_at: int | None = None, s
     return packets.join(first, keys).withColumn("out_pts", F.col("pts") - F.col("__first")).drop("__first")
 
 
+def anchor_tracks(packets: DataFrame, tracks: DataFrame, keys: list[str], bucket: str, timeout: int = 500 * clock.MS) -> DataFrame:
+    """Times of outputs whose tracks begin one after the other: adds offset, resolved_at and out_pts.
+
+    The offset is the lowest time among the packets up to the one that brought
+    the last missing track, but packets wait at most until one is more than
+    ``timeout`` above the lowest so far; without either, until the end.
+    ``packets``: keys, track, pts, arrival; ``tracks``: keys, track, and
+    ended_at where a track ends without a packet.
+    """
+    first = packets.groupBy(*keys, "track").agg(F.min("arrival").alias("__first"))
+    met = tracks.join(first, [*keys, "track"], "left").withColumn("__at", F.coalesce("__first", "ended_at"))
+    met = met.groupBy(*keys).agg(F.max("__at").alias("__met"), F.count_if(F.col("__at").isNull()).alias("__open"))
+    rows = with_running_max(packets, keys, bucket, ["arrival"], {"__low": -F.col("pts")})
+    waited = rows.where(F.col("pts") + F.coalesce("__low", -F.col("pts")) > timeout).groupBy(*keys).agg(F.min("arrival").alias("__late"))
+    done = packets.groupBy(*keys).agg(F.max("arrival").alias("__end")).join(met, keys, "left").join(waited, keys, "left")
+    done = done.select(*keys, F.least(F.when(F.col("__open") == 0, F.col("__met")), "__late", "__end").alias("resolved_at"))
+    offsets = packets.join(done, keys).where(F.col("arrival") <= F.col("resolved_at")).groupBy(*keys).agg(F.min("pts").alias("offset"))
+    return packets.join(done, keys).join(offsets, keys).withColumn("out_pts", F.col("pts") - F.col("offset"))
+
+
 def segments(packets: DataFrame, keys: list[str], bucket: str, order: list[str], length: int, keep: int | None = None) -> DataFrame:
-    """Cut a stream into segments that begin at key packets, at least ``length`` apart: (keys, segment, start_pts, n).
+    """Cut streams into segments that begin at key packets: (keys, segment, start_pts, n).
 
-    A new segment begins at the first key packet in each period of ``length``
-    that has one; ``keep`` leaves a stream's last ones.
+    The k-th cut is at the first key packet that is k lengths or more after
+    the stream's start and follows the cut before; ``keep`` leaves a stream's
+    last ones.  With f the whole lengths that have passed at a key packet, and
+    j its number, the cuts made by then are j plus the least f - j so far, 0 at most.
     """
-    keyed = packets.where("is_key").groupBy(*keys, F.floor(F.col("pts") / length).alias("__period")).agg(F.min("pts").alias("__cut"))
-    marked = packets.join(keyed.select(*keys, F.col("__cut").alias("pts"), F.lit(1).alias("__new")), [*keys, "pts"], "left")
-    marked = marked.withColumn("__new", F.when(F.col("is_key"), F.coalesce("__new", F.lit(0))).otherwise(0))
-    out = with_running_sum(marked, keys, bucket, order, {"segment": F.col("__new")})
+    start = packets.groupBy(*keys).agg(F.min("pts").alias("__start"))
+    rows = packets.join(start, keys).withColumn("__key", F.col("is_key").cast("long"))
+    rows = with_running_sum(rows, keys, bucket, order, {"__j": F.col("__key")})
+    spare = F.when(F.col("is_key"), F.floor((F.col("pts") - F.col("__start")) / length) - F.col("__j"))
+    rows = with_running_max(rows.withColumn("__spare", spare), keys, bucket, order, {"__least": -F.col("__spare")})
+    least = F.least(F.coalesce(-F.col("__least"), F.lit(0)), F.coalesce("__spare", F.lit(0)), F.lit(0))
+    out = rows.withColumn("segment", (F.col("__j") + least).cast("long"))
     out = out.groupBy(*keys, "segment").agg(F.min("pts").alias("start_pts"), F.count(F.lit(1)).alias("n"))
     if keep is None:
         return out
     return out.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("segment")))).where(F.col("__r") <= keep).drop("__r")
 
 
+def started(slots: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Slots that outputs take part in: (output_id, slot_pts), those strictly after ``start_at`` where it is given."""
+    return slots.select("slot_pts").crossJoin(outputs.select("output_id", "start_at")).where("start_at is null or slot_pts > start_at").select("output_id", "slot_pts")
+
+
+def refused(updates: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Updates that don't fit their output, with the reason: (update_id, output_id, reason).
+
+    ``outputs``: output_id, has_video, has_audio; ``updates``: update_id,
+    output_id, video, audio (whether the update has a scene or a mix).
+    """
+    both = updates.join(outputs, "output_id", "left")
+    differ = (F.col("video") != F.col("has_video")) | (F.col("audio") != F.col("has_audio"))
+    reason = F.when(F.col("has_video").isNull(), "not registered").when(differ, "audio or video doesn't match").when(~F.col("video") & ~F.col("audio"), "no audio and no video")
+    return both.withColumn("reason", reason).where("reason is not null").select("update_id", "output_id", "reason")
+
+
 def animation_frame(pts: Column, start: Column, delays: list[int]) -> Column:
     """Index of a looping animation's frame nearest to the time since its start; of two equally near the first."""
     total = max(1, sum(delays))

@@ -55,6 +55,45 @@ def frame_rate(frames: DataFrame, keys: list[str], time: str) -> DataFrame:
     return d.select(*keys, F.when((F.col("n") > 1) & (span > 0), (F.col("n") - 1) / span).otherwise(0.0).alias("frame_rate"))
 
 
+def last_window(rows: DataFrame, keys: list[str], time: str, now: int, measures: dict[str, str], window_ns: int = 10 * 1_000_000_000, counts: dict[str, Column] | None = None) -> DataFrame:
+    """Least, mean and greatest of measures over the window that ends now, and counts; 0 where there is nothing.
+
+    One row for each key of ``rows``: (keys, name_min, name_avg, name_max ..., counts).
+    """
+    inside = (F.col(time) <= now) & (F.col(time) > now - window_ns)
+    kinds = {"min": F.min, "avg": F.avg, "max": F.max}
+    columns = [F.coalesce(f(F.when(inside, F.col(c))), F.lit(0)).cast("double").alias(f"{n}_{k}") for n, c in measures.items() for k, f in kinds.items()]
+    return rows.groupBy(*keys).agg(*columns, *[F.count_if(inside & c).alias(n) for n, c in (counts or {}).items()])
+
+
+#: What each protocol reports beside the rates of its tracks.
+BUFFERED, CONNECTED = ("rtp", "whip_input", "whep_input", "hls_input"), ("whip_output",)
+
+
+def protocol_report(rows: DataFrame, time: str, now: int) -> DataFrame:
+    """One nested row for each reference and track: bits a second over a second and a minute, and what its protocol adds.
+
+    ``rows``: ref, protocol, track, size (bytes), buffer (ns, null if it isn't
+    measured), connected.  Buffered protocols add a block of the last ten
+    seconds, some outputs whether they are connected; the other fields are null.
+    """
+    second = 1_000_000_000
+    bits = lambda n: F.floor(F.coalesce(F.sum(F.when((F.col(time) <= now) & (F.col(time) > now - n * second), F.col("size"))), F.lit(0)) * 8 / n).cast("long")
+    keys = ["ref", "protocol", "track"]
+    rates = rows.where(F.col(time) <= now).groupBy(*keys).agg(bits(1).alias("bitrate_1_second"), bits(60).alias("bitrate_1_minute"), F.max_by("connected", time).alias("c"), F.count(F.lit(1)).alias("received"))
+    recent = last_window(rows, keys, time, now, {"buffer": "buffer"}, counts={"packets": F.lit(True)})
+    block = F.struct(F.col("packets").alias("packets_received"), *[F.col(f"buffer_{k}").alias(f"effective_buffer_{k}") for k in ("min", "avg", "max")])
+    return rates.join(recent, keys).select(
+        *keys, "received", "bitrate_1_second", "bitrate_1_minute", F.when(F.col("protocol").isin(*BUFFERED), block).alias("last_10_seconds"), F.when(F.col("protocol").isin(*CONNECTED), F.col("c")).alias("is_connected")
+    )
+
+
+def snapshot(report: DataFrame) -> DataFrame:
+    """The whole of a protocol report as one ordered document a reference: (ref, report) with JSON text."""
+    tracks = F.array_sort(F.collect_list(F.struct("track", *[c for c in report.columns if c not in ("ref", "track")])))
+    return report.groupBy("ref").agg(F.to_json(F.struct(tracks.alias("tracks"))).alias("report")).orderBy("ref")
+
+
 def report(rows: DataFrame, keys: list[str], windows: list[DataFrame]) -> DataFrame:
     """One nested row for each key, ordered by key."""
     out = rows

@@ -9,7 +9,7 @@ from .. import clock
 from ..functions import colors, easing
 from ..operators import align, lifecycle, mix, scene
 from ..sources import tables
-from .timing import EV, SLOTS, H, _slots
+from .timing import EV, GROUPS, SLOTS, H, _groups, _slots
 
 D = clock.DAY
 Q: dict = {}
@@ -20,7 +20,7 @@ def query(sql: str | None = None):
     def add(f):
         Q[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace("{GROUPS}", GROUPS)
         return f
 
     return add
@@ -83,8 +83,8 @@ def rescaler_fit(s, d):
     return _round(out, "top", "left", "width", "height", digits=8)
 
 
-FLEX = """p AS (SELECT r_regionkey AS parent_id, CAST(600 + 100 * r_regionkey AS DOUBLE) AS vw, 400.0::DOUBLE AS vh, CASE WHEN r_regionkey % 2 = 0 THEN 'row' ELSE 'column' END AS dir, CAST(r_regionkey AS DOUBLE) AS border, 3.0::DOUBLE AS pt, 5.0::DOUBLE AS pl, CASE WHEN r_regionkey IN (1, 2) THEN 'fit' ELSE 'hidden' END AS ov FROM region),
- c AS (SELECT n_regionkey AS parent_id, n_nationkey AS child_ix, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE CAST(50 + 9 * n_nationkey AS DOUBLE) END AS width, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE CAST(40 + 7 * n_nationkey AS DOUBLE) END AS height FROM nation),
+FLEX = """p AS (SELECT r_regionkey AS parent_id, CAST(600 + 100 * r_regionkey AS DOUBLE) AS vw, 400.0::DOUBLE AS vh, CASE WHEN r_regionkey % 2 = 0 THEN 'row' ELSE 'column' END AS dir, CAST(r_regionkey AS DOUBLE) AS border, 3.0::DOUBLE AS pt, 5.0::DOUBLE AS pl, CASE WHEN r_regionkey IN (1, 2) THEN 'fit' ELSE 'hidden' END AS ov FROM (SELECT DISTINCT n_regionkey AS r_regionkey FROM {GROUPS})),
+ c AS (SELECT n_regionkey AS parent_id, n_nationkey AS child_ix, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE CAST(50 + 9 * n_nationkey AS DOUBLE) END AS width, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE CAST(40 + 7 * n_nationkey AS DOUBLE) END AS height FROM {GROUPS}),
  j AS (SELECT c.*, p.* EXCLUDE parent_id, vw - 2 * border AS w, vh - 2 * border AS h, CASE WHEN dir = 'row' THEN width ELSE height END AS main, CASE WHEN dir = 'row' THEN height ELSE width END AS crs FROM c JOIN p USING (parent_id)),
  t AS (SELECT *, sum(main) OVER q AS total, count(*) FILTER (main IS NULL) OVER q AS unknown, coalesce(max(crs) OVER q, 0) AS widest FROM j WINDOW q AS (PARTITION BY parent_id)),
  u AS (SELECT *, coalesce(main, CASE WHEN unknown > 0 THEN greatest(0, (CASE WHEN dir = 'row' THEN w - 2 * pl ELSE h - 2 * pt END - coalesce(total, 0)) / unknown) ELSE 0 END) AS size,
@@ -94,11 +94,11 @@ FLEX = """p AS (SELECT r_regionkey AS parent_id, CAST(600 + 100 * r_regionkey AS
 
 def _flex(s, d) -> DataFrame:
     r, n = F.col("r_regionkey"), F.col("n_nationkey")
-    parents = tables.table(s, d, "region").select(
+    parents = _groups(s, d).select(F.col("n_regionkey").alias("r_regionkey")).distinct().select(
         r.alias("parent_id"), (600 + 100 * r).cast("double").alias("view_width"), F.lit(400.0).alias("view_height"), F.when(r % 2 == 0, "row").otherwise("column").alias("direction"), r.cast("double").alias("border"),
         F.lit(3.0).alias("pad_top"), F.lit(5.0).alias("pad_right"), F.lit(3.0).alias("pad_bottom"), F.lit(5.0).alias("pad_left"), F.when(r.isin(1, 2), "fit").otherwise("hidden").alias("overflow"),
     )
-    children = tables.table(s, d, "nation").select(F.col("n_regionkey").alias("parent_id"), n.alias("child_ix"), F.when(n % 3 != 0, (50 + 9 * n).cast("double")).alias("width"), F.when(n % 4 != 0, (40 + 7 * n).cast("double")).alias("height"))
+    children = _groups(s, d).select(F.col("n_regionkey").alias("parent_id"), n.alias("child_ix"), F.when(n % 3 != 0, (50 + 9 * n).cast("double")).alias("width"), F.when(n % 4 != 0, (40 + 7 * n).cast("double")).alias("height"))
     return scene.flex(parents, children)
 
 
@@ -225,20 +225,20 @@ def resample_passes(s, d):
     return tables.table(s, d, "part").select(k.alias("id"), plan.alias("p")).select("id", "p.*")
 
 
-@query("SELECT n_regionkey::BIGINT AS output_id, 'c' || n_nationkey % 4 AS component_id, 'duplicate id' AS problem FROM nation GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT min(n_regionkey)::BIGINT, 'i' || n_nationkey % 6, 'shared page' FROM nation GROUP BY 2 HAVING count(DISTINCT n_regionkey) > 1")
+@query("SELECT n_regionkey::BIGINT AS output_id, 'c' || n_nationkey % 4 AS component_id, 'duplicate id' AS problem FROM {GROUPS} GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT min(n_regionkey)::BIGINT, 'i' || n_nationkey % 6, 'shared page' FROM {GROUPS} GROUP BY 2 HAVING count(DISTINCT n_regionkey) > 1")
 def scene_problems(s, d):
     n = F.col("n_nationkey")
-    nodes = tables.table(s, d, "nation").select(F.col("n_regionkey").cast("long").alias("output_id"), F.concat(F.lit("c"), (n % 4).cast("string")).alias("component_id"), F.lit("web_view").alias("type"), F.concat(F.lit("i"), (n % 6).cast("string")).alias("instance_id"))
+    nodes = _groups(s, d).select(F.col("n_regionkey").cast("long").alias("output_id"), F.concat(F.lit("c"), (n % 4).cast("string")).alias("component_id"), F.lit("web_view").alias("type"), F.concat(F.lit("i"), (n % 6).cast("string")).alias("instance_id"))
     return scene.problems(nodes)
 
 
 @query(
-    """WITH a AS (SELECT n_regionkey AS o, n_nationkey AS id, n_nationkey % 6 AS slot FROM nation WHERE n_nationkey % 5 < 4), e AS (SELECT n_regionkey AS o, n_nationkey AS id, (n_nationkey + 1) % 6 AS slot FROM nation WHERE n_nationkey % 4 > 0),
+    """WITH a AS (SELECT n_regionkey AS o, n_nationkey AS id, n_nationkey % 6 AS slot FROM {GROUPS} WHERE n_nationkey % 5 < 4), e AS (SELECT n_regionkey AS o, n_nationkey AS id, (n_nationkey + 1) % 6 AS slot FROM {GROUPS} WHERE n_nationkey % 4 > 0),
  x AS (SELECT e.o, e.id, e.slot, a.slot AS old FROM e LEFT JOIN a ON a.o = e.o AND a.id = e.id) SELECT CAST(o AS BIGINT) AS output_id, CAST(id AS BIGINT) AS tile_id, round(CASE WHEN old IS NULL THEN 10.0 * slot ELSE 10.0 * old + (10.0 * slot - 10.0 * old) * 0.25 END, 6)::DOUBLE AS "left" FROM x
  WHERE old IS NOT NULL OR NOT EXISTS (SELECT 1 FROM a JOIN e e2 ON e2.o = a.o AND e2.id = a.id WHERE a.o = x.o AND a.slot = x.slot)"""
 )
 def tile_transition(s, d):
-    n = tables.table(s, d, "nation").select(F.col("n_regionkey").cast("long").alias("output_id"), F.col("n_nationkey").cast("long").alias("tile_id"))
+    n = _groups(s, d).select(F.col("n_regionkey").cast("long").alias("output_id"), F.col("n_nationkey").cast("long").alias("tile_id"))
     at = lambda slot: {"top": F.lit(0.0), "left": (slot * 10).cast("double"), "width": F.lit(10.0), "height": F.lit(10.0)}
     start = n.where("tile_id % 5 < 4").withColumns(at(F.col("tile_id") % 6))
     end = n.where("tile_id % 4 > 0").withColumns(at((F.col("tile_id") + 1) % 6))
@@ -405,7 +405,7 @@ def mse(s, d):
 
 # ---- mixing ------------------------------------------------------------------
 
-MIX = f"WITH {EV}, r AS (SELECT input_id, row_number() OVER (PARTITION BY input_id ORDER BY pts, frame_id) - 1 AS ix, payload / 40 AS v FROM ev), sm AS (SELECT input_id, ix // 64 AS chunk_ix, ix % 64 AS ix, v AS l, -v / 2 AS r FROM r), mx AS (SELECT * FROM (VALUES ('a', 'click', 0.5), ('a', 'view', 0.25), ('a', 'view', 0.1), ('b', 'purchase', 0.05), ('b', 'click', 0.02), ('b', 'missing', 1.0)) m(output_id, input_id, volume)), sums AS (SELECT output_id, chunk_ix, ix, sum(l * volume) AS l, sum(r * volume) AS r FROM sm JOIN mx USING (input_id) GROUP BY 1, 2, 3)"
+MIX = f"WITH {EV}, r AS (SELECT input_id, row_number() OVER (PARTITION BY input_id ORDER BY pts, frame_id) - 1 AS ix, payload / 40 AS v FROM ev), sm AS (SELECT input_id, ix // 64 AS chunk_ix, ix % 64 AS ix, v AS l, -v / 2 AS r FROM r), mx AS (SELECT * FROM (VALUES ('a', 'click', 0.5), ('a', 'view', 0.25), ('a', 'view', 0.1), ('b', 'purchase', 0.05), ('b', 'click', 0.02), ('b', 'missing', 1.0)) m(output_id, input_id, volume)), sums AS (SELECT output_id, chunk_ix, ix, sum(CAST(round(l * volume * 1099511627776) AS HUGEINT))::DOUBLE / 1099511627776 AS l, sum(CAST(round(r * volume * 1099511627776) AS HUGEINT))::DOUBLE / 1099511627776 AS r FROM sm JOIN mx USING (input_id) GROUP BY 1, 2, 3)"
 
 
 def _mixed(s, d) -> DataFrame:
@@ -428,19 +428,20 @@ def mix_peaks(s, d):
     return mix.peaks(_mixed(s, d)).withColumn("peak", F.round("peak", 8))
 
 
-@query(
-    f"{MIX.replace('WITH ', 'WITH RECURSIVE ', 1)}, pk AS (SELECT output_id, chunk_ix, max(greatest(abs(l), abs(r))) AS peak, row_number() OVER (PARTITION BY output_id ORDER BY chunk_ix) AS n FROM sums GROUP BY 1, 2), "
+GAINS = (
+    f"{MIX.replace('WITH ', 'WITH RECURSIVE ', 1)}, pk AS (SELECT output_id, chunk_ix, max(greatest(abs(l), abs(r))) AS peak, count(*) AS size, row_number() OVER (PARTITION BY output_id ORDER BY chunk_ix) AS n FROM sums GROUP BY 1, 2), "
     "f(output_id, n, chunk_ix, old_gain, new_gain) AS (SELECT output_id, n, chunk_ix, 1.0::DOUBLE, CASE WHEN peak > 1.0 THEN 0.98 WHEN peak < 0.7 THEN 1.0 ELSE 1.0 END::DOUBLE FROM pk WHERE n = 1 UNION ALL SELECT p.output_id, p.n, p.chunk_ix, f.new_gain, CASE WHEN p.peak * f.new_gain > 1.0 THEN greatest(f.new_gain - 0.02::DOUBLE, 0) WHEN p.peak * f.new_gain < 0.7 THEN least(f.new_gain + 0.01::DOUBLE, 1) ELSE f.new_gain END FROM f JOIN pk p ON p.output_id = f.output_id AND p.n = f.n + 1) "
-    "SELECT output_id, chunk_ix, round(old_gain, 6) AS old_gain, round(new_gain, 6) AS new_gain FROM f"
 )
+
+
+@query(f"{GAINS} SELECT output_id, chunk_ix, round(old_gain, 6) AS old_gain, round(new_gain, 6) AS new_gain FROM f")
 def mix_gains(s, d):
     return _round(mix.gains(mix.peaks(_mixed(s, d))), "old_gain", "new_gain")
 
 
-@query()
+@query(f"{GAINS}, g AS (SELECT s.*, old_gain + (new_gain - old_gain) * ix / size AS gain FROM sums s JOIN f USING (output_id, chunk_ix) JOIN pk USING (output_id, chunk_ix)) SELECT output_id, chunk_ix, ix, round(greatest(-1, least(1, l * gain)), 9)::DOUBLE AS l, round(greatest(-1, least(1, r * gain)), 9)::DOUBLE AS r FROM g")
 def mix_sum_scale(s, d):
-    """An ordered fold with a ramp inside each chunk: rows only here, a scalar loop in the tests."""
-    return mix.scaled(_mixed(s, d))
+    return _round(mix.scaled(_mixed(s, d)), "l", "r", digits=9)
 
 
 @query(f"WITH {EV}, g AS (SELECT *, pts - lag(pts + {H // 2}) OVER (PARTITION BY input_id ORDER BY pts, frame_id) AS gap FROM ev) SELECT frame_id, CAST(floor(greatest(coalesce(gap, 0), 0) / 1e9::DOUBLE * 48000) AS BIGINT) AS zeros FROM g")
@@ -524,19 +525,19 @@ def offline_timeline(s, d):
 
 
 @query(
-    f"WITH x AS (SELECT n_regionkey::BIGINT AS show_id, n_nationkey::BIGINT AS slide_ix, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey::BIGINT * {clock.NS} END, CASE WHEN n_nationkey % 3 = 1 THEN {2 * clock.NS} END, {clock.NS}) AS len FROM nation) "
+    f"WITH x AS (SELECT n_regionkey::BIGINT AS show_id, n_nationkey::BIGINT AS slide_ix, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey::BIGINT * {clock.NS} END, CASE WHEN n_nationkey % 3 = 1 THEN {2 * clock.NS} END, {clock.NS}) AS len FROM {GROUPS}) "
     "SELECT show_id, slide_ix, CAST(coalesce(sum(len) OVER w, 0) AS BIGINT) AS start_pts, CAST(coalesce(sum(len) OVER w, 0) + len AS BIGINT) AS end_pts FROM x WINDOW w AS (PARTITION BY show_id ORDER BY slide_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 )
 def slide_show(s, d):
     n = F.col("n_nationkey").cast("long")
-    slides = tables.table(s, d, "nation").select(F.col("n_regionkey").cast("long").alias("show_id"), n.alias("slide_ix"), F.when(n % 3 == 0, n * clock.NS).alias("duration"), F.when(n % 3 == 1, F.lit(2 * clock.NS)).alias("child_duration"))
+    slides = _groups(s, d).select(F.col("n_regionkey").cast("long").alias("show_id"), n.alias("slide_ix"), F.when(n % 3 == 0, n * clock.NS).alias("duration"), F.when(n % 3 == 1, F.lit(2 * clock.NS)).alias("child_duration"))
     return lifecycle.slide_show(slides, ["show_id"]).select("show_id", "slide_ix", "start_pts", "end_pts")
 
 
-@query("SELECT n_nationkey::BIGINT AS id FROM nation WHERE CASE WHEN n_nationkey % 3 = 0 THEN 10 >= n_nationkey ELSE 10 >= n_nationkey % 7 * 3 AND (n_nationkey % 2 = 0 OR 10 < n_nationkey) END")
+@query("SELECT n_nationkey::BIGINT AS id FROM {GROUPS} WHERE CASE WHEN n_nationkey % 3 = 0 THEN 10 >= n_nationkey ELSE 10 >= n_nationkey % 7 * 3 AND (n_nationkey % 2 = 0 OR 10 < n_nationkey) END")
 def shown_items(s, d):
     n = F.col("n_nationkey").cast("long")
-    items = tables.table(s, d, "nation").select(n.alias("id"), F.lit(0).cast("long").alias("mounted_pts"), F.when(n % 3 == 0, n).alias("delay"), F.when(n % 3 != 0, n % 7 * 3).alias("start_pts"), F.when((n % 3 != 0) & (n % 2 == 1), n).alias("end_pts"))
+    items = _groups(s, d).select(n.alias("id"), F.lit(0).cast("long").alias("mounted_pts"), F.when(n % 3 == 0, n).alias("delay"), F.when(n % 3 != 0, n % 7 * 3).alias("start_pts"), F.when((n % 3 != 0) & (n % 2 == 1), n).alias("end_pts"))
     return lifecycle.shown(items, F.lit(10)).select("id")
 
 

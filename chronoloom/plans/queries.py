@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import buffers, layout, streams, timing  # noqa: F401 (buffers adds to timing)
+from . import buffers, layout, services, streams, timing  # noqa: F401 (buffers and services add to timing)
 
 QUERIES = timing.Q | layout.Q | streams.Q
 ORACLE_SQL = timing.SQL | layout.SQL | streams.SQL

@@ -31,11 +31,16 @@ def stream_newest(s, d):
 
 
 def stream_reorder(s, d):
-    packets = live.frames(s, d).where("frame_id % 97 <> 0").select(F.lit("track").alias("track"), F.col("frame_id").alias("number"))
+    packets = live.frames(s, d).where("frame_id % 97 <> 0").select(F.lit("track").alias("track"), F.col("frame_id").alias("number"), "at")
     return live.drain(live.in_order(packets, hold=50))
 
 
-Q |= {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_sessions, stream_newest, stream_reorder)}
+def stream_required(s, d):
+    """Slots that two required inputs have passed; the others give what they have."""
+    return live.drain(live.newest_when_ready(live.frames(s, d), ["click", "view"], 3_600_000_000, "1 hour"))
+
+
+Q |= {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_sessions, stream_newest, stream_reorder, stream_required)}
 SQL["stream_tumbling"] = f"WITH {_EV} SELECT input_id, us // {_DAY} * {_DAY} AS start_us, count(*) AS n, round(sum(payload), 4) AS total FROM ev GROUP BY input_id, us // {_DAY}, top HAVING (us // {_DAY} + 1) * {_DAY} <= top // 1000 * 1000 - 3600000000"
 SQL["stream_sliding"] = f"WITH {_EV}, w AS (SELECT *, (us // 21600000000 - k) * 21600000000 AS start_us FROM ev, (VALUES (0), (1)) v(k)) SELECT input_id, start_us, count(*) AS n, max(payload) AS high FROM w GROUP BY input_id, start_us, top HAVING start_us + 43200000000 <= top // 1000 * 1000 - 3600000000"
 SQL["stream_sessions"] = (
@@ -43,4 +48,8 @@ SQL["stream_sessions"] = (
     "SELECT user_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS n FROM g GROUP BY user_id, run, top HAVING max(us) + 21600000000 <= top // 1000 * 1000 - 3600000000"
 )
 SQL["stream_newest"] = f"WITH {_EV} SELECT input_id, (us // 3600000000 + 1) * 3600000000 AS slot_us, arg_max(frame_id, us) AS frame_id FROM ev GROUP BY input_id, us // 3600000000, top HAVING (us // 3600000000 + 1) * 3600000000 <= top // 1000 * 1000 - 3600000000"
-SQL["stream_reorder"] = "SELECT 'track' AS track, event_id AS number, false AS late FROM events WHERE event_id % 97 <> 0 AND event_id < (SELECT max(event_id) FROM events WHERE event_id % 97 <> 0) - 50"
+SQL["stream_reorder"] = "SELECT 'track' AS track, event_id AS number, false AS late FROM events WHERE event_id % 97 <> 0"
+SQL["stream_required"] = (
+    f"WITH {_EV}, m AS (SELECT min(t) // 1000 * 1000 - 3600000000 AS mark FROM (SELECT max(us) AS t FROM ev WHERE input_id IN ('click', 'view') GROUP BY input_id)) "
+    "SELECT input_id, (us // 3600000000 + 1) * 3600000000 AS slot_us, arg_max(frame_id, us) AS frame_id FROM ev, m GROUP BY input_id, us // 3600000000, mark HAVING (us // 3600000000 + 1) * 3600000000 <= mark"
+)

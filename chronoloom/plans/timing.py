@@ -14,6 +14,9 @@ EV = "ev AS (SELECT event_id AS frame_id, event_type AS input_id, user_id, value
 SLOTS = f"slots AS (SELECT range AS slot_ix, range * {H} AS slot_pts FROM range((SELECT max(pts) // {H} + 1 FROM ev)))"
 GRID = f"WITH {EV}, {SLOTS}, inputs AS (SELECT DISTINCT input_id FROM ev), grid AS (SELECT slot_pts, input_id FROM slots, inputs), shown AS (SELECT g.slot_pts, g.input_id, e.frame_id, e.pts FROM grid g ASOF LEFT JOIN ev e ON g.input_id = e.input_id AND g.slot_pts >= e.pts)"
 
+#: Parts in groups of twenty-five, as parents and numbered children.
+GROUPS = "(SELECT p_partkey // 25 AS n_regionkey, p_partkey % 25 AS n_nationkey FROM part)"
+
 Q: dict = {}
 SQL: dict[str, str] = {}
 
@@ -22,12 +25,17 @@ def query(sql: str | None = None):
     def add(f):
         Q[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace("{GROUPS}", GROUPS)
         return f
 
     return add
 
 
+def _groups(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return tables.table(s, d, "part").select(F.floor(k / 25).cast("long").alias("n_regionkey"), (k % 25).alias("n_nationkey"))
+
+
 def _slots(s: SparkSession, d: str, period: int = H, more: int = 0) -> DataFrame:
     """A slot each period up to the last frame, and ``more`` beyond it."""
     last = _frames(s, d).agg(F.max("pts")).first()[0] or 0
@@ -250,12 +258,12 @@ def seek_decode(s, d):
     return align.seek(f, 10 * D).select("track", "ix", "present")
 
 
-@query("""WITH e AS (SELECT n_regionkey AS track, n_nationkey AS ix, n_nationkey * 100 AS duration, CASE WHEN n_nationkey % 3 = 2 THEN n_nationkey ELSE -1 END AS media_time FROM nation),
+@query("""WITH e AS (SELECT n_regionkey AS track, n_nationkey AS ix, n_nationkey * 100 AS duration, CASE WHEN n_nationkey % 3 = 2 THEN n_nationkey ELSE -1 END AS media_time FROM {GROUPS}),
     m AS (SELECT track, min(ix) AS first, arg_min(media_time, ix) AS trim FROM e WHERE media_time >= 0 GROUP BY 1)
     SELECT CAST(t.track AS BIGINT) AS track, CAST(coalesce(sum(e.duration) FILTER (e.media_time < 0 AND (m.first IS NULL OR e.ix < m.first)), 0) AS BIGINT) AS delay, CAST(coalesce(max(m.trim), 0) AS BIGINT) AS trim
     FROM (SELECT DISTINCT track FROM e) t JOIN e ON e.track = t.track LEFT JOIN m ON m.track = t.track GROUP BY 1""")
 def edit_list(s, d):
-    n = tables.table(s, d, "nation")
+    n = _groups(s, d)
     e = n.select(F.col("n_regionkey").cast("long").alias("track"), F.col("n_nationkey").cast("long").alias("ix"), (F.col("n_nationkey") * 100).cast("long").alias("duration"), F.when(F.col("n_nationkey") % 3 == 2, F.col("n_nationkey")).otherwise(-1).cast("long").alias("media_time"))
     return align.edit_list(e)
 
@@ -313,15 +321,6 @@ def output_anchor(s, d):
     return lifecycle.anchored(_frames(s, d), ["input_id"]).select("frame_id", "out_pts")
 
 
-@query(
-    f"WITH {EV}, k AS (SELECT input_id, pts // {2 * D} AS period, min(pts) AS cut FROM ev WHERE frame_id % 5 = 0 GROUP BY 1, 2), m AS (SELECT e.*, CASE WHEN k.cut IS NOT NULL THEN 1 ELSE 0 END AS new FROM ev e LEFT JOIN k ON k.input_id = e.input_id AND k.cut = e.pts AND e.frame_id % 5 = 0), "
-    "s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY input_id ORDER BY pts, frame_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM m), g AS (SELECT input_id, segment, min(pts) AS start_pts, count(*) AS n FROM s GROUP BY 1, 2) SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY input_id ORDER BY segment DESC) <= 6"
-)
-def playlist_segments(s, d):
-    f = _daily(_frames(s, d)).withColumn("is_key", F.col("frame_id") % 5 == 0)
-    return lifecycle.segments(f, ["input_id"], "day", ["pts", "frame_id"], 2 * D, keep=6)
-
-
 @query(
     f"WITH {EV}, l AS (SELECT *, CASE WHEN pts - lag(pts) OVER w >= {2 * H} THEN 1 ELSE 0 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY pts, frame_id)), b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY pts, frame_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS burst FROM l) "
     'SELECT user_id, burst, min(pts) AS "start", max(pts) AS "end", count(*) AS n, arg_max(input_id, pts) AS input_id FROM b GROUP BY 1, 2'

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..clock import ns_of
@@ -66,6 +66,39 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def media_samples(samples: DataFrame, bucket: str, timescale: Column | int, delay: int = 0, seek: int = 0) -> DataFrame:
+    """Times of a file's samples from their durations: adds dts and pts (ns).
+
+    ``samples``: track, ix, duration and rendering_offset in units of the
+    timescale.  ``delay`` comes from leading empty edits, ``seek`` from the
+    point to play from; times don't go below zero.
+    """
+    from ..operators.ordered import with_running_sum
+
+    out = with_running_sum(samples, ["track"], bucket, ["ix"], {"__end": F.col("duration")})
+    start = F.col("__end") - F.col("duration")
+    ns = lambda x: F.round(x * F.lit(1e9) / (timescale if isinstance(timescale, Column) else F.lit(timescale))).cast("long")
+    pts = ns(start + F.col("rendering_offset")) + delay
+    return out.withColumn("dts", ns(start)).withColumn("pts", F.greatest(pts - seek, F.lit(0).cast("long"))).drop("__end")
+
+
+def nudged(packets: DataFrame, keys: list[str], bucket: str, order: list[str], step: int = 100_000, low: int = 6 * 1_000_000_000, high: int = 24 * 1_000_000_000) -> DataFrame:
+    """Live packets whose anchor moves a little with each one while the buffer is too long or too short: adds out_pts.
+
+    ``packets``: pts, buffered (ns).  The anchor starts at the stream's first
+    time and is never below zero: a running sum that is held there.
+    """
+    from ..operators.ordered import with_running_max, with_running_sum
+
+    first = packets.groupBy(*keys).agg(F.min_by("pts", F.struct(*order)).alias("__first"))
+    move = F.when(F.col("buffered") > high, step).when(F.col("buffered") < low, -step).otherwise(0).cast("long")
+    out = with_running_sum(packets.join(first, keys).withColumn("__move", move), keys, bucket, order, {"__moved": F.col("__move")})
+    out = out.withColumn("__at", F.col("__first") + F.col("__moved"))
+    out = with_running_max(out, keys, bucket, order, {"__under": -F.col("__at")})
+    anchor = F.col("__at") + F.greatest(F.lit(0).cast("long"), F.coalesce("__under", F.lit(0)), -F.col("__at"))
+    return out.withColumn("out_pts", F.greatest(F.lit(0).cast("long"), F.col("pts") - anchor)).drop("__first", "__move", "__moved", "__at", "__under")
+
+
 def files(spark: SparkSession, path: str, format: str = "parquet", schema: str | None = None, **options) -> DataFrame:
     reader = spark.read.format(format).options(**options)
     return (reader.schema(schema) if schema else reader).load(path)

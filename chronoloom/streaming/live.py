@@ -7,7 +7,6 @@ returns one; :func:`drain` runs it over what is there and returns the rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import workers_import
+from ..session import shared_dir, workers_import
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -52,40 +51,69 @@ def newest_at_slots(stream: DataFrame, period_us: int, delay: str) -> DataFrame:
     return own.agg(F.max(F.struct("pts", "frame_id")).alias("m")).select("input_id", F.unix_micros("w.end").alias("slot_us"), F.col("m.frame_id").alias("frame_id"))
 
 
-def in_order(stream: DataFrame, hold: int) -> DataFrame:
+def by_required(stream: DataFrame, required: list[str], delay: str) -> DataFrame:
+    """Frames under a watermark that only required inputs move, the slowest of them.
+
+    Each required input has a watermark of its own, of which the session takes
+    the least (the default policy); the rows of all others join without one and
+    count as long as they come in time.
+    """
+    out = None
+    for name in required:
+        own = stream.where(F.col("input_id") == name).withWatermark("at", delay)
+        out = own if out is None else out.unionByName(own)
+    return out.unionByName(stream.where(~F.col("input_id").isin(*required)))
+
+
+def newest_when_ready(stream: DataFrame, required: list[str], period_us: int, delay: str) -> DataFrame:
+    """:func:`newest_at_slots`, a slot being sent once every required input has newer frames."""
+    own = by_required(stream, required, delay).groupBy(F.window("at", f"{period_us} microseconds").alias("w"), "input_id")
+    return own.agg(F.max(F.struct("pts", "frame_id")).alias("m")).select("input_id", F.unix_micros("w.end").alias("slot_us"), F.col("m.frame_id").alias("frame_id"))
+
+
+def in_order(stream: DataFrame, hold: int, delay: str = "0 seconds") -> DataFrame:
     """Packets of each track by number: released once one ``hold`` higher was seen, dropped if too late.
 
-    ``stream``: track, number (unwrapped).  State is what waits, at most the
-    numbers within ``hold`` of the highest, and the next number to release.
+    ``stream``: track, number (unwrapped), at (event time).  State is what
+    waits, at most the numbers within ``hold`` of the highest, and the highest.
+    Once the watermark has passed a track's last packet, what waits is released.
     """
     workers_import(stream.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting, top = (set(state.get[0]), state.get[1]) if state.exists else (set(), -1)
         out: list[tuple] = []
-        for rows in batches:
-            for number in sorted(rows["number"].tolist()):
-                if number < top - hold:
-                    out.append((key[0], number, True))
-                    continue
-                waiting.add(number)
-                top = max(top, number)
-        ready = sorted(n for n in waiting if n < top - hold)
-        out += [(key[0], n, False) for n in ready]
-        state.update((sorted(waiting - set(ready)), top))
+        if state.hasTimedOut:
+            out, waiting = [(key[0], n, False) for n in sorted(waiting)], set()
+            state.update(([], top))
+        else:
+            last = 0
+            for rows in batches:
+                last = max(last, int(rows["at"].max().timestamp() * 1000))
+                for number in sorted(rows["number"].tolist()):
+                    if number < top - hold:
+                        out.append((key[0], number, True))
+                        continue
+                    waiting.add(number)
+                    top = max(top, number)
+            ready = sorted(n for n in waiting if n < top - hold)
+            out += [(key[0], n, False) for n in ready]
+            state.update((sorted(waiting - set(ready)), top))
+            state.setTimeoutTimestamp(max(last - 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["track", "number", "late"])
 
-    return stream.groupBy("track").applyInPandasWithState(step, "track string, number long, late boolean", "waiting array<long>, top long", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("track", "number", "at").withWatermark("at", delay)
+    return rows.groupBy("track").applyInPandasWithState(step, "track string, number long, late boolean", "waiting array<long>, top long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(stream: DataFrame, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Run a stream over all that is there now and return its rows as a table of the session."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drain(stream: DataFrame, transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Run a stream over all that is there now and return its rows, which go to a table in the shared folder."""
+    folder = shared_dir(stream.sparkSession, "drained")
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    out = stream.sparkSession.table(name)
+    out = stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
     return transform(out) if transform else out
 
 
