@@ -7,10 +7,12 @@ tasks by key.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import workers_import
@@ -82,13 +84,67 @@ def paired(left: list[int], right: list[int]) -> list[tuple[int | None, int | No
     return out
 
 
+class Walk:
+    """:func:`paired` over both streams as one, in order of time: holds the rows that one stream is ahead of the other."""
+
+    def __init__(self):
+        self.rows: tuple[deque[int], deque[int]] = deque(), deque()
+        self.ended = [False, False]
+        self.begun = False
+
+    def step(self) -> list[tuple[int | None, int | None]]:
+        """All pairs that can be told by now."""
+        out, (left, right) = [], self.rows
+        if not self.begun:
+            if (not left and not self.ended[0]) or (not right and not self.ended[1]):
+                return out
+            self.begun = True
+            if left or right:
+                out.append((left[0] if left else None, right[0] if right else None))
+        while True:
+            more = [len(r) > 1 for r in self.rows]
+            if not any(more) or any(not m and not e for m, e in zip(more, self.ended, strict=True)):
+                return out
+            if not all(more) or not left or not right:
+                move = (more[0], more[1]) if not all(more) else (True, False)
+            else:
+                nl, nr = left[1], right[1]
+                move = min(((abs(nl - nr), 0, (True, True)), (abs(nl - right[0]), 1, (True, False)), (abs(left[0] - nr), 2, (False, True))))[2]
+            for r, go in zip(self.rows, move, strict=True):
+                if go:
+                    r.popleft()
+            out.append((left[0] if left else None, right[0] if right else None))
+
+
 def pair_streams(left: DataFrame, right: DataFrame, key: str, time: str) -> DataFrame:
-    """(key, left_pts, right_pts) by a greedy walk over both; the two rows of times of a key meet in one task."""
+    """(key, left_pts, right_pts) by a greedy walk over both streams of each key.
+
+    Both come as one stream in order of time; a key's walk holds only what one
+    of them is ahead of the other.
+    """
     workers_import(left.sparkSession)
 
-    def walk(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        pairs = paired(sorted(a[time].tolist()), sorted(b[time].tolist()))
-        return pd.DataFrame({key: [k[0]] * len(pairs), "left_pts": pd.array([p[0] for p in pairs], dtype="Int64"), "right_pts": pd.array([p[1] for p in pairs], dtype="Int64")})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, walk = None, Walk()
 
+        def frame(pairs: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame({key: pd.Series([p[0] for p in pairs], dtype=object), "left_pts": pd.array([p[1] for p in pairs], dtype="Int64"), "right_pts": pd.array([p[2] for p in pairs], dtype="Int64")})
+
+        def close() -> list[tuple]:
+            walk.ended[:] = [True, True]
+            return [(own, *p) for p in walk.step()]
+
+        for rows in parts:
+            out: list[tuple] = []
+            for k, at, side in zip(rows[key], rows[time], rows["__side"], strict=True):
+                if k != own:
+                    out += close()
+                    own, walk = k, Walk()
+                walk.rows[side].append(at)
+                out += [(k, *p) for p in walk.step()]
+            yield frame(out)
+        yield frame(close())
+
+    both = left.select(key, time, F.lit(0).alias("__side")).unionByName(right.select(key, time, F.lit(1).alias("__side")))
     kind = left.schema[key].dataType.simpleString()
-    return left.select(key, time).groupBy(key).cogroup(right.select(key, time).groupBy(key)).applyInPandas(walk, f"{key} {kind}, left_pts long, right_pts long")
+    return both.repartition(key).sortWithinPartitions(key, time, "__side").mapInPandas(run, f"{key} {kind}, left_pts long, right_pts long")

@@ -74,9 +74,10 @@ def newest_when_ready(stream: DataFrame, required: list[str], period_us: int, de
 def in_order(stream: DataFrame, hold: int, delay: str = "0 seconds") -> DataFrame:
     """Packets of each track by number: released once one ``hold`` higher was seen, dropped if too late.
 
-    ``stream``: track, number (unwrapped), at (event time).  State is what
-    waits, at most the numbers within ``hold`` of the highest, and the highest.
-    Once the watermark has passed a track's last packet, what waits is released.
+    ``stream``: track, number (unwrapped), at (when it arrived, so that no
+    packet is behind the watermark).  State is what waits, at most the numbers
+    within ``hold`` of the highest, and the highest.  Once the watermark has
+    passed a track's last packet, what waits is released.
     """
     workers_import(stream.sparkSession)
 

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from chronoloom import clock
 from chronoloom.functions import colors, media
-from chronoloom.operators import align, folds, jitter, lifecycle, mix, ordered, scene, sequence
+from chronoloom.operators import align, folds, jitter, lifecycle, mix, ordered, scene, sequence, sessions
+from chronoloom.plans.components import SCHEMA as COMPONENTS
+from chronoloom.plans.components import component, rows
 from chronoloom.plans.engine import Engine, RequestError, view
+from chronoloom.sources import sinks, tables
+from chronoloom.streaming import live
 
 MS = clock.MS
 
@@ -281,6 +285,12 @@ def test_named_functions(spark):
     with pytest.raises(TypeError):
         known.call("scale", F.col("id"), params=("a",))
     assert [r[0] for r in spark.range(3).select(known.call("scale", F.col("id"), params=(2.0,))).collect()] == [0.0, 2.0, 4.0]
+    with pytest.raises(TypeError):
+        known.register("short", lambda x: x, "double", (float,), columns=1)
+    known.register("mixed", lambda x, p: x * p["a"][0], "double", ({"a": [float]},), columns=1)
+    with pytest.raises(TypeError):
+        known.call("mixed", F.col("id"), params=({"a": ["x"]},))
+    assert spark.range(1, 2).select(known.call("mixed", F.col("id"), params=({"a": [3.0]},))).first()[0] == 3.0
     known.unregister("scale")
     with pytest.raises(KeyError):
         known.unregister("scale")
@@ -302,7 +312,130 @@ def test_engine(spark):
     assert [s for _, s in values(e.scenes(100 * MS), "slot_pts", "scene")].count("two") == 2
     assert [r.input_id for r in e.stats().collect()] == ["a", "b"] and e.status()["started"]
     e.unregister_input("b")
-    assert e.status()["inputs"] == ["a"] and e.events().count() == 5
+    assert e.status()["inputs"] == ["a"] and e.events().count() == 5 and e.events(after=3).count() == 2
+    e.request_key_frame("o")
+    assert e.events(after=5).first().kind == "key_frame_requested"
+    for wrong in ({"scene": None}, {"scene": "x", "volumes": {"a": 1.0}}, {"scene": "x", "transition": {"easing": "cubic_bezier", "points": (1.5, 0, 0, 0)}}, {"scene": "x", "transition": {"duration_ms": -1}}):
+        with pytest.raises(RequestError):
+            e.update_output("o", **wrong)
+    e.register_output("sound", video=False, audio=True, start_at=40 * MS)
+    assert e.update_output("sound", volumes={"a": 2.0})
+    with pytest.raises(RequestError):
+        e.request_key_frame("sound")
+    with pytest.raises(RequestError):
+        e.register_output("nothing", video=False)
+    assert [t for t, _ in values(e.scenes(100 * MS).where("output_id = 'sound'"), "slot_pts", "scene")] == [60 * MS, 80 * MS]
+    e.register_asset("image", "logo", b"...")
+    with pytest.raises(RequestError):
+        e.register_asset("image", "logo", b"...")
+    e.unregister_asset("image", "logo")
+    assert sorted(r.pts for r in e.tap("a", offset=5).collect())[:2] == [5, 20 * MS + 5]
+    e.reset()
+    assert e.status() == {"started": False, "inputs": [], "outputs": []}
+
+
+def test_sinks_by_name(spark, tmp_path):
+    rows = spark.createDataFrame([("a", s, s * 10 + i, i) for s in range(5) for i in range(3)], "input_id string, segment long, pts long, arrival long")
+    with pytest.raises(sinks.NotRegistered):
+        sinks.open_sink("nowhere", rows)
+    with pytest.raises(sinks.AlreadyRegistered):
+        sinks.register("file", sinks.file)
+    back = spark.read.parquet(sinks.open_sink("file", rows, num=1, den=500_000_000))
+    assert {(r.pts, r.file_pts) for r in back.collect()} == {(p, (p + 1) // 2) for s in range(5) for p in range(s * 10, s * 10 + 3)}
+    kept = spark.read.parquet(sinks.open_sink("segments", rows, path=f"file://{tmp_path}/seg", keep=2))
+    assert values(kept.groupBy("segment").count(), "segment", "count") == [(3, 3), (4, 3)]
+    assert values(spark.read.parquet(sinks.open_sink("tap", rows.limit(1), offset=7, start_pts=3)), "pts")[0][0] >= 4
+    sinks.open_sink("none", rows)
+    (tmp_path / "pictures").mkdir()
+    (tmp_path / "pictures" / "a.png").write_bytes(b"png")
+    assert [(r.length, bytes(r.content)) for r in tables.open_source(spark, "assets", path=str(tmp_path / "pictures")).collect()] == [(3, b"png")]
+
+
+def test_streams_write_segments(spark, tmp_path):
+    folder = tmp_path / "in"
+    spark.createDataFrame([(i, i * 10) for i in range(20)], "frame_id long, pts long").coalesce(1).write.parquet(str(folder))
+    stream = spark.readStream.schema("frame_id long, pts long").parquet(str(folder))
+    live.write_segments(stream, str(tmp_path / "out"), 50, str(tmp_path / "state")).awaitTermination()
+    assert values(spark.read.parquet(str(tmp_path / "out")).groupBy("segment").count(), "segment", "count") == [(0, 5), (1, 5), (2, 5), (3, 5)]
+
+
+def test_late_packets_of_a_stream_and_its_end(spark, tmp_path):
+    folder = tmp_path / "in"
+    for n, numbers in enumerate(([1, 2, 5, 9], [3, 4, 12], [13, 11])):
+        rows = [("t", i, n * 10 + 10) for i in numbers]
+        spark.createDataFrame(rows, "track string, number long, s long").select("track", "number", F.timestamp_seconds("s").alias("at")).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema("track string, number long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    out = live.drain(live.in_order(stream, hold=4)).collect()
+    assert sorted(r.number for r in out) == [1, 2, 3, 4, 5, 9, 11, 12, 13] and {r.number for r in out if r.late} == {3, 4}
+
+
+def test_scene_builders(spark):
+    tile = component("tiles", component("input_stream", input_id="a"), component("rescaler", component("image", image_id="logo"), mode="fill"), id="t", width=100.0)
+    scene_rows = rows("o", 1, component("view", tile, component("text", text="hi", font_size=12.0), component("shader", shader_id="s", resolution=(1, 1)), component("web_view", instance_id="w"), direction="row", transition={"duration_ms": 5.0}))
+    df = spark.createDataFrame(scene_rows, COMPONENTS)
+    assert [(r.node_id, r.parent_id, r.type) for r in df.collect()] == [
+        ("0", None, "view"), ("0/0", "0", "tiles"), ("0/0/0", "0/0", "input_stream"), ("0/0/1", "0/0", "rescaler"), ("0/0/1/0", "0/0/1", "image"), ("0/1", "0", "text"), ("0/2", "0", "shader"), ("0/3", "0", "web_view")
+    ]
+    bad = [("view", (), {"colour": 1}), ("image", (), {}), ("rescaler", (), {}), ("view", (), {"top": 1, "bottom": 2}), ("view", (), {"direction": "up"}), ("text", (tile,), {"text": "", "font_size": 1}), ("nothing", (), {})]
+    for kind, children, props in bad:
+        with pytest.raises(RequestError):
+            component(kind, *children, **props)
+    with pytest.raises(RequestError):
+        rows("o", 1, component("view", component("view", id="x"), component("view", id="x")))
+
+
+def test_pictures_and_side_channels(spark):
+    slice_first, slice_next, key = b"\x41\x9a\x01", b"\x41\x21\x02", b"\x65\x88\x03"
+    code = b"\0\0\0\1"
+    stream = code.join([b"", b"\x67\x01", b"\x68\x02", key, slice_first, slice_next, b"\x09\x10", slice_first, slice_first])
+    assert media.access_units(stream) == [code.join([b"", b"\x67\x01", b"\x68\x02", key]), code.join([b"", slice_first, slice_next]), code.join([b"", b"\x09\x10", slice_first]), code.join([b"", slice_first])]
+    df = spark.createDataFrame([(2, 1, 77, bytearray(b"abcdefgh"))], "w long, h long, p long, d binary").select(media.pack_frame("w", "h", "p", "d").alias("f"))
+    frame = bytes(df.first().f)
+    one = df.select(media.unpack_frame("f").alias("x")).first().x
+    assert (one.width, one.height, one.pts, bytes(one.rgba)) == (2, 1, 77, b"abcdefgh")
+    recorded = media.message(frame) + media.message(frame) + media.message(frame)[:-1]
+    whole, rest = media.messages(recorded)
+    assert whole == [frame, frame] and rest == media.message(frame)[:-1]
+    found = spark.createDataFrame([(bytearray(recorded),)], "b binary").select(media.frames_of("b").alias("f"), media.split_pictures("b").alias("n")).first()
+    assert [(x.width, x.pts, bytes(x.rgba)) for x in found.f] == [(2, 77, b"abcdefgh")] * 2
+
+
+def test_pixel_orders(spark):
+    df = spark.createDataFrame([(bytearray(range(8)), 2, 2)], "b binary, w long, h long")
+    r = df.select(media.bgra_to_rgba("b").alias("x"), media.argb_to_rgba("b").alias("y"), media.uyvy_planes("b").alias("u"), media.yuyv_planes("b").alias("v"), media.nv12_planes(F.substring("b", 1, 6), "w", "h").alias("n")).first()
+    assert bytes(r.x) == bytes([2, 1, 0, 3, 6, 5, 4, 7]) and bytes(r.y) == bytes([1, 2, 3, 0, 5, 6, 7, 4])
+    assert [bytes(x) for x in r.u] == [bytes([1, 3, 5, 7]), bytes([0, 4]), bytes([2, 6])] and [bytes(x) for x in r.v] == [bytes([0, 2, 4, 6]), bytes([1, 5]), bytes([3, 7])]
+    assert [bytes(x) for x in r.n] == [bytes([0, 1, 2, 3]), bytes([4]), bytes([5])]
+
+
+def test_lines_of_text():
+    from chronoloom.functions.text import broken
+
+    assert broken("aa bb cc\nd", {}, 1.0, 1.0, None) == [8.0, 1.0] and broken("aa bb cc", {}, 1.0, 1.0, 5.0) == [5.0, 2.0]
+    assert broken("abcdefg", {"a": 2.0}, 1.0, 1.0, 3.0) == [3.0, 3.0, 2.0] and broken("", {}, 1.0, 1.0, 3.0) == [0.0]
+
+
+def test_greedy_walk_needs_little_memory():
+    rng = random.Random(23)
+    for _ in range(300):
+        left, right = (sorted(rng.choices(range(60), k=rng.randint(0, 12))) for _ in range(2))
+        walk, got = folds.Walk(), []
+        for at, side in sorted([(x, 0) for x in left] + [(x, 1) for x in right]):
+            walk.rows[side].append(at)
+            got += walk.step()
+        walk.ended[:] = [True, True]
+        assert got + walk.step() == folds.paired(left, right)
+
+
+def test_snapshot_and_mono(spark):
+    rows_ = [("r", "rtp", "video", 100, 5.0, True, i * clock.NS) for i in range(20)]
+    df = spark.createDataFrame(rows_, "ref string, protocol string, track string, size long, buffer double, connected boolean, t long")
+    text = Engine(spark).snapshot(df, "t", 19 * clock.NS).first().report
+    track = __import__("json").loads(text)["tracks"][0]
+    assert track["bitrate_1_second"] == 800 and track["last_10_seconds"]["packets_received"] == 10 and "is_connected" not in track
+    assert spark.range(1).select(mix.mono(F.lit(1.0), F.lit(0.5)).alias("m")).first().m == 0.75
+    states = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, t long, s string")
+    assert values(sessions.latest_state(states, ["k"], "t", "s"), "k", "s") == [("a", "y"), ("b", "z")]
 
 
 def test_entry_imports_without_the_training_operators(tmp_path):
