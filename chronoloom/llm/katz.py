@@ -1,32 +1,37 @@
 """Katz backoff language model: training and scoring of whole corpora.
 
-The model has order two.  Counts of at most ``CUTOFF`` are discounted by
-Good-Turing, what that frees in a context is spread over the words not seen
-there in proportion to the lower order, with weights that make every
-distribution sum to one.  The lower order is discounted in the same way, what
-it frees belongs to unknown words.  A token's probability is evaluated
-recursively: the bigram's if it was seen, else the context's weight times the
-probability one order below.
-
-Nothing is held in one place.  Texts are read once, into one file of word
-numbers for each input split (a block) below the shared folder; counts travel
-as sorted, compressed arrays, one row for each block and part:
+The model has any order from two on.  Counts of at most ``CUTOFF`` are
+discounted by Good-Turing, what that frees in a context is spread over the
+words not seen there in proportion to the lower order, with weights that make
+every distribution sum to one.  The lowest order, of single words, is
+discounted in the same way; what it frees belongs to unknown words.  A token's
+probability is evaluated recursively: that of its n-gram if it was seen, else
+the context's weight times the probability one order below.  Before a text
+stand as many marks of its beginning as a context has words.
+
+Nothing is held in one place.  Texts are read once, into files of word numbers
+(blocks) of at most about ``BLOCK_TOKENS`` tokens below the shared folder;
+counts travel as sorted, compressed arrays, one row for each block and part:
 
 1. blocks send their distinct words to the parts of the vocabulary, which add
    up training counts and send back the words' ids and counts,
-2. blocks send their distinct bigrams, counted, to the parts of the bigram
-   table; contexts with more than a fixed share of all tokens (at most eight
-   for each part) are dealt out by bigram rather than by context,
-3. parts discount, normalise and send back log-probabilities, which blocks add
-   up for each document.
+2. for each order, blocks send their distinct n-grams, counted, with the
+   probability one order below, to the parts of a table of n-grams; contexts
+   with more than a fixed share of all tokens are dealt out by n-gram rather
+   than by context, and their sums are joined by context and given back,
+3. parts discount, normalise and send back probabilities and counts, from which
+   blocks make the next order, and in the end the sum for each document.
 
-The driver holds count-of-counts, the sizes of the parts, and the weights of
-the few dealt-out contexts.  Words are told apart by 64-bit hashes.
+The driver holds count-of-counts and the sizes of the vocabulary's parts (eight
+bytes for each, one for some 13 MB of text).  Words, and contexts of two words
+or more, are told apart by 64-bit hashes.
 
 Nulls: a null text is empty and has the end token only; a row with a null id is
-trained on.  Rows with equal ids are scored each.  Empty tables give empty
-results; with no training rows at all, scores are those of a vocabulary that
-has only unknown words.
+trained on.  Rows with equal ids and repeated rows are counted and scored each;
+nothing depends on ties.  A very long text is read whole into one block.  Empty
+tables give empty results; with no training rows at all, scores are those of a
+vocabulary that has only unknown words.  Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -43,14 +48,14 @@ from pyspark.sql import functions as F
 
 from ..session import workers_import
 from . import files
-from .common import drop_shared, shared_dir, tasks_for, written
-from .shingles import words
+from .common import drop_shared, lean, shared_dir, tasks_for, text_size, written
+from .shingles import mixed, slices, words
 
 CUTOFF = 5
-DOCS_PER_PART = 4_000
+#: Bytes of text for each part of a table, and tokens in a block.
+PART_BYTES, BLOCK_TOKENS = 13 << 20, 5_000_000
 BOS, EOS, UNK, FIRST_ID = 0, 1, 2, 3
 _U = np.uint64
-_BATCH = 64
 
 
 def pack(x: np.ndarray, rising: bool = False) -> bytes:
@@ -58,7 +63,7 @@ def pack(x: np.ndarray, rising: bool = False) -> bytes:
     x = np.ascontiguousarray(x)
     if rising and len(x):
         x = np.diff(x, prepend=x.dtype.type(0))
-    planes = x.view(np.uint8).reshape(len(x), -1).T
+    planes = x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T
     return x.dtype.str.encode() + (b"+" if rising else b"=") + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
@@ -135,19 +140,20 @@ def unigram_model(of_counts: dict[int, int], tokens: int, types: int, docs: int)
     return Unigrams(tokens, types, docs, factors, freed if freed > 0 else 1 / (tokens + 1), scale)
 
 
-def context_weights(contexts: np.ndarray, seen_p: np.ndarray, lower_p: np.ndarray, seen: np.ndarray, known: dict[int, tuple[float, float]] | None = None):
+def context_weights(contexts: np.ndarray, seen_p: np.ndarray, lower_p: np.ndarray, seen: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]):
     """For rows sorted by context: each row's scale of seen probabilities and weight of the lower order.
 
-    Over a context's seen words, ``seen_p`` and ``lower_p`` are summed; where
+    Over a context's seen words, ``seen_p`` and ``lower_p`` are summed, but for
+    the contexts in ``known`` (sorted), whose sums come with them; where
     discounting left nothing, seen words give up one part in a thousand.
     """
     start = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
     mass = np.add.reduceat(np.where(seen, seen_p, 0.0), start)
     lower = np.add.reduceat(np.where(seen, lower_p, 0.0), start)
-    if known:
-        for i, c in enumerate(contexts[start].tolist()):
-            if c in known:
-                mass[i], lower[i] = known[c]
+    if len(known[0]) and len(start):
+        at = np.minimum(np.searchsorted(known[0], contexts[start]), len(known[0]) - 1)
+        dealt = known[0][at] == contexts[start]
+        mass[dealt], lower[dealt] = known[1][at[dealt]], known[2][at[dealt]]
     scale, weight = normalised(mass, lower)
     size = np.diff(np.concatenate([start, [len(contexts)]]))
     return np.repeat(scale, size), np.repeat(weight, size)
@@ -164,7 +170,7 @@ class Block:
     """What a block's file holds: ids, held-out marks and word counts of documents, and their words by place in the vocabulary."""
 
     def __init__(self, folder: str, number: int):
-        raw = bytes(files.mapped(f"{folder}/block-{number:06d}", "u1"))
+        raw = bytes(files.mapped(f"{folder}/block-{number:012d}", "u1"))
         size = np.frombuffer(raw[:40], "<i8").tolist()
         at = np.cumsum([40, *size]).tolist()
         self.ids, self.null, self.held, self.counts, self.words = (unpack(raw[a:b]) for a, b in zip(at, at[1:], strict=False))
@@ -172,27 +178,72 @@ class Block:
     @staticmethod
     def write(folder: str, number: int, *arrays: np.ndarray) -> None:
         packed = [pack(x) for x in arrays]
-        files.put(f"{folder}/block-{number:06d}", lambda f: f.write(np.array([len(p) for p in packed], "<i8").tobytes() + b"".join(packed)))
+        files.put(f"{folder}/block-{number:012d}", lambda f: f.write(np.array([len(p) for p in packed], "<i8").tobytes() + b"".join(packed)))
 
-    def bigrams(self, ids: np.ndarray):
-        """Keys of all tokens in order (context << 32 | token), and which stand in training documents."""
-        n = len(self.words) + len(self.counts)
-        ends = np.cumsum(self.counts + 1)
-        token = np.full(n, EOS, _U)
-        inner = np.ones(n, bool)
-        inner[ends - 1] = False
-        token[inner] = ids[self.words]
-        context = np.empty(n, _U)
-        context[1:] = token[:-1]
-        context[np.concatenate([[0], ends[:-1]])] = BOS
-        return context << _U(32) | token, np.repeat(self.held == 0, self.counts + 1), inner
+
+@dataclass
+class Sizes:
+    """What blocks need to know of the corpus."""
+
+    base: np.ndarray
+    docs: int
+    heavy: float
+    parts: int
 
 
-def route(key: np.ndarray, context_count: np.ndarray, heavy: float, parts: int) -> np.ndarray:
-    from .shingles import mixed
+class Tokens:
+    """A block's tokens in order, with contexts of one order after the other."""
 
-    by = np.where(context_count > heavy, key, key >> _U(32))
-    return part_of(mixed(by + _U(0x51ED270B)), parts)
+    def __init__(self, folder: str, rows: pd.DataFrame, sizes: Sizes):
+        self.block, self.sizes, self.order = Block(folder, int(rows["block"].iat[0])), sizes, 2
+        rows = rows.sort_values("part")
+        ids = np.concatenate([np.where((x := unpack(b)) > 0, x.astype(np.int64) + sizes.base[p] - 1, UNK) for p, b in zip(rows["part"], rows["blob"], strict=True)]).astype(_U)
+        counts = np.concatenate([unpack(x) for x in rows["more"]])
+        block, n = self.block, len(self.block.words) + len(self.block.counts)
+        ends = np.cumsum(block.counts + 1)
+        self.first = np.concatenate([[0], ends[:-1]])
+        inner = np.ones(n, bool)
+        inner[ends - 1] = False
+        self.token, self.count = np.full(n, EOS, _U), np.full(n, sizes.docs, np.int64)
+        self.token[inner], self.count[inner] = ids[block.words], counts[block.words]
+        self.train = np.repeat(block.held == 0, block.counts + 1)
+        #: The context of each token and how often it stands in training texts; what tells of the lower order.
+        self.context, self.context_count, self.lower = self._after(self.token), self._after(self.count, sizes.docs), self.count
+
+    def _after(self, x: np.ndarray, begin: int = BOS) -> np.ndarray:
+        """Of the token before; at the beginning of a text, ``begin``."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = begin
+        return out
+
+    def grams(self) -> None:
+        """Find the distinct n-grams, by context and token; ``place`` leads from tokens to them, ``where`` from them to parts."""
+        self.key = self.context << _U(32) | self.token if self.order == 2 else mixed(mixed(self.context) + self.token)
+        _, self.one, self.place = np.unique(self.key, return_index=True, return_inverse=True)
+        if self.order > 2:
+            by = np.lexsort((self.token[self.one], self.context[self.one]))
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            self.one, self.place = self.one[by], rank[self.place]
+        context, token = self.context[self.one], self.token[self.one]
+        by = np.where(self.context_count[self.one] > self.sizes.heavy, mixed(mixed(context) + token), context)
+        self.where = part_of(mixed(by + _U(0x51ED270B)), self.sizes.parts)
+
+    def answered(self, rows: pd.DataFrame, column: str, dtype) -> np.ndarray:
+        """What the parts said of each distinct n-gram."""
+        out, places = np.empty(len(self.one), dtype), dict(by_part(self.where))
+        for p, blob in zip(rows["part"], rows[column], strict=True):
+            out[places[p]] = unpack(blob)
+        return out
+
+    def climb(self, rows: pd.DataFrame) -> None:
+        """On to the next order, with the answers of this one: its n-grams are the contexts to come."""
+        self.grams()
+        p, n = self.answered(rows, "blob", float)[self.place], self.answered(rows, "more", np.int64)[self.place]
+        gram = mixed(self.key + _U(self.order)) if self.order == 2 else self.key
+        self.order += 1
+        self.lower, self.context, self.context_count = p, self._after(gram, self.order), self._after(n, self.sizes.docs)
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -200,47 +251,64 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items()], names=list(columns))
 
 
+_ANSWER = "part long, block long, kind long, blob binary, more binary"
+
+
 class Katz:
     """Fit on the rows that aren't held out, score all rows."""
 
-    def __init__(self, docs: DataFrame, held_out: Column):
-        self.spark = workers_import(docs.sparkSession)
+    def __init__(self, docs: DataFrame, held_out: Column, order: int = 2):
+        if order < 2:
+            raise ValueError("the order is two or more")
+        self.spark, self.order = workers_import(docs.sparkSession), order
         self.folder = shared_dir(self.spark)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-        self.parts = parts = tasks_for(docs.select("doc_id").count(), DOCS_PER_PART)
-        self._vocabulary(rows, parts)
-        self._bigrams(parts)
-
-    def _vocabulary(self, rows: DataFrame, parts: int) -> None:
-        folder = self.folder
+        self.parts = tasks_for(text_size(docs), PART_BYTES)
+        self._vocabulary(rows)
+        self.known = self.words.select("part", "block", F.lit(0).cast("long").alias("kind"), "blob", "more")
+        self.factors = []
+        for k in range(2, order + 1):
+            answers = self._level(k)
+            self.known = self.known.unionByName(written(answers, f"answers-{k}") if k < order else answers)
+        self._score()
+
+    def _vocabulary(self, rows: DataFrame) -> None:
+        folder, parts = self.folder, self.parts
 
         def read(batches):
-            block = TaskContext.get().partitionId()
-            ids, null, held, counts, found = [], [], [], [], []
+            first, blocks = TaskContext.get().partitionId() << 16, 0
+            ids, null, held, counts, found, n = [], [], [], [], [], 0
+
+            def close():
+                every, count, out = np.concatenate(found), np.concatenate(counts).astype(np.int64), np.concatenate(held)
+                known, place = np.unique(every, return_inverse=True)
+                number = np.bincount(place[np.repeat(~out, count)], minlength=len(known)).astype(np.uint32)
+                Block.write(folder, first + blocks, np.concatenate(ids), np.concatenate(null).astype(np.uint8), out.astype(np.uint8), count, place.astype(np.uint32))
+                cut = np.searchsorted(part_of(known, parts), np.arange(parts + 1))
+                docs = int((~out).sum())
+                for p in np.flatnonzero((np.diff(cut) > 0) | (np.arange(parts) == 0)).tolist():  # a block always sends something
+                    a, b = cut[p], cut[p + 1]
+                    yield _rows(part=[p], block=[first + blocks], docs=[docs if p == 0 else 0], blob=[pack(known[a:b], True)], more=[pack(number[a:b])])
+
             for batch in batches:
-                for lo in range(0, batch.num_rows, _BATCH):
-                    part = batch.slice(lo, _BATCH)
-                    numbers, each = words(part.column(1).to_pylist())
+                for lo, hi in slices(batch.column(1)):
+                    part = batch.slice(lo, hi - lo)
+                    numbers, each = words(part.column(1))
+                    if n and n + len(numbers) > BLOCK_TOKENS:
+                        yield from close()
+                        blocks, n = blocks + 1, 0
+                        for x in (ids, null, held, counts, found):
+                            x.clear()
+                    n += len(numbers) + len(each)
                     found.append(numbers)
                     counts.append(each)
-                    ids += [x or 0 for x in part.column(0).to_pylist()]
-                    null += [x is None for x in part.column(0).to_pylist()]
-                    held += part.column(2).to_pylist()
-            if not ids:
-                return
-            every, count = np.concatenate(found), np.concatenate(counts).astype(np.int64)
-            del found
-            known, place = np.unique(every, return_inverse=True)
-            train = np.repeat(np.array(held) == 0, count)
-            number = np.bincount(place[train], minlength=len(known)).astype(np.uint32)
-            Block.write(folder, block, np.array(ids, np.int64), np.array(null, np.uint8), np.array(held, np.uint8), count, place.astype(np.uint32))
-            cut = np.searchsorted(part_of(known, parts), np.arange(parts + 1))
-            docs = int((np.array(held) == 0).sum())
-            for p in np.flatnonzero((np.diff(cut) > 0) | (np.arange(parts) == 0)).tolist():  # a block always sends something
-                a, b = cut[p], cut[p + 1]
-                yield _rows(part=[p], block=[block], docs=[docs if p == 0 else 0], blob=[pack(known[a:b], True)], more=[pack(number[a:b])])
-
-        sent = rows.mapInArrow(read, "part long, block long, docs long, blob binary, more binary")
+                    ids.append(part.column(0).fill_null(0).to_numpy())
+                    null.append(part.column(0).is_null().to_numpy(zero_copy_only=False))
+                    held.append(part.column(2).to_numpy(zero_copy_only=False))
+            if ids:
+                yield from close()
+
+        sent = rows.mapInArrow(lean(read), "part long, block long, docs long, blob binary, more binary")
 
         def add_up(rows: pd.DataFrame) -> pd.DataFrame:
             hashes = [unpack(x) for x in rows["blob"]]
@@ -261,113 +329,135 @@ class Katz:
 
         answers = sent.groupBy("part").applyInPandas(add_up, "part long, block long, sums array<long>, blob binary, more binary")
         self.words = written(answers, "words")
-        sums = {r[0]: list(r[1]) for r in self.words.where(F.size("sums") > 0).select("part", "sums").collect()}
-        base, self.base = FIRST_ID, {}
-        for p in sorted(sums):
-            self.base[p] = base
-            base += sums[p][0]
-        if base >= 1 << 32:
+        sums = self.words.where(F.size("sums") > 0)
+        total = sums.agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(CUTOFF + 4)]).first()
+        types, tokens, docs, *few = map(int, total)
+        if types + FIRST_ID >= 1 << 32:
             raise ValueError("more words than ids of 32 bits")
-        total = np.array(list(sums.values()) or [[0] * (CUTOFF + 4)]).sum(axis=0).tolist()
-        types, tokens, docs, few = total[0], total[1], total[2], total[3:]
+        # eight bytes for each part
+        of = sums.select("part", F.col("sums")[0].alias("n")).toArrow()
+        size = np.zeros(parts, np.int64)
+        size[of.column(0).to_numpy()] = of.column(1).to_numpy()
         of_counts = dict(enumerate(few, 1))
         if docs:  # the end of a text is a token of its own
             types, tokens = types + 1, tokens + docs
             if docs <= CUTOFF + 1:
                 of_counts[docs] = of_counts.get(docs, 0) + 1
         self.uni = unigram_model(of_counts, tokens, types, docs)
-        self.heavy = max(16.0, tokens / (8 * parts))
-
-    def _bigrams(self, parts: int) -> None:
-        folder, base, uni, heavy = self.folder, self.base, self.uni, self.heavy
-
-        def ids_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            rows = rows.sort_values("part")
-            ids = [np.where(x > 0, x.astype(np.int64) + base[p] - 1, UNK) for p, x in zip(rows["part"], map(unpack, rows["blob"]), strict=True)]
-            return np.concatenate(ids).astype(_U), np.concatenate([unpack(x) for x in rows["more"]])
-
-        def prepared(rows: pd.DataFrame):
-            block = Block(folder, int(rows["block"].iat[0]))
-            ids, counts = ids_of(rows)
-            keys, train, inner = block.bigrams(ids)
-            token_count = np.full(len(keys), uni.docs, np.int64)
-            token_count[inner] = counts[block.words]
-            context_count = np.empty_like(token_count)
-            context_count[1:] = token_count[:-1]
-            context_count[(keys >> _U(32)) == BOS] = uni.docs
-            known, first, place = np.unique(keys, return_index=True, return_inverse=True)
-            where = route(known, context_count[first], heavy, parts)
-            return block, known, first, place, where, train, token_count, context_count
+        self.sizes = Sizes(FIRST_ID + np.cumsum(size) - size, docs, max(16.0, tokens / (8 * parts)), parts)
+
+    def _tokens(self):
+        """A block's tokens at the order that its rows allow."""
+        folder, sizes = self.folder, self.sizes
+
+        def at(rows: pd.DataFrame, order: int) -> Tokens:
+            own = Tokens(folder, rows[rows["kind"] == 0], sizes)
+            while own.order < order:
+                own.climb(rows[rows["kind"] == own.order])
+            own.grams()
+            return own
+
+        return at
+
+    def _level(self, k: int) -> DataFrame:
+        """Count the n-grams of order ``k`` and answer each block's with probabilities (logarithms for the last order) and counts."""
+        at, uni, heavy, folder, last = self._tokens(), self.uni, self.sizes.heavy, self.folder, k == self.order
 
         def send(rows: pd.DataFrame) -> pd.DataFrame:
-            _, known, first, place, where, train, token_count, context_count = prepared(rows)
-            number = np.bincount(place[train], minlength=len(known)).astype(np.uint32)
-            out = []
-            for p, own in by_part(where):
-                at = first[own]
-                out.append((p, int(rows["block"].iat[0]), pack(known[own], True), pack(number[own]), pack(token_count[at]), pack(context_count[at])))
-            return pd.DataFrame(out, columns=["part", "block", "keys", "n", "tokens", "contexts"])
+            own = at(rows, k)
+            number = np.bincount(own.place[own.train], minlength=len(own.one)).astype(np.uint32)
+            block, out = int(rows["block"].iat[0]), []
+            for p, of in by_part(own.where):
+                one = own.one[of]
+                out.append((p, block, pack(own.context[one], True), pack(own.token[one].astype(np.uint32)), pack(number[of]), pack(own.lower[one]), pack(own.context_count[one])))
+            return pd.DataFrame(out, columns=["part", "block", "context", "token", "n", "lower", "contexts"])
 
-        sent = self.words.groupBy("block").applyInPandas(send, "part long, block long, keys binary, n binary, tokens binary, contexts binary")
+        arrays = "context binary, token binary, n binary, lower binary, contexts binary"
+        sent = self.known.groupBy("block").applyInPandas(send, f"part long, block long, {arrays}")
 
         def add_up(rows: pd.DataFrame) -> pd.DataFrame:
-            keys = [unpack(x) for x in rows["keys"]]
-            known, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            total = np.bincount(place, weights=np.concatenate([unpack(x) for x in rows["n"]]), minlength=len(known)).astype(np.int64)
-            tokens, contexts = (np.concatenate([unpack(x) for x in rows[c]])[first] for c in ("tokens", "contexts"))
-            at = np.cumsum([0, *map(len, keys)])
-            asked = [(int(b), pack(place[x:y].astype(np.uint32), True)) for b, x, y in zip(rows["block"], at, at[1:], strict=False)]
+            each = [unpack(x) for x in rows["context"]]
+            context, token = np.concatenate(each), np.concatenate([unpack(x) for x in rows["token"]])
+            by = np.lexsort((token, context))
+            new = np.ones(len(by), bool)
+            new[1:] = (context[by][1:] != context[by][:-1]) | (token[by][1:] != token[by][:-1])
+            one = by[new]
+            place = np.empty(len(by), np.int64)
+            place[by] = np.cumsum(new) - 1
+            total = np.bincount(place, weights=np.concatenate([unpack(x) for x in rows["n"]]), minlength=len(one)).astype(np.int64)
+            lower, contexts = (np.concatenate([unpack(x) for x in rows[c]])[one] for c in ("lower", "contexts"))
+            cut = np.cumsum([0, *map(len, each)])
+            asked = [(int(b), pack(place[x:y].astype(np.uint32), True)) for b, x, y in zip(rows["block"], cut, cut[1:], strict=False)]
             few = [int((total == r).sum()) for r in range(1, CUTOFF + 2)]
-            table = (pack(known, True), pack(total), pack(tokens), pack(contexts))
-            return pd.DataFrame({"part": [rows["part"].iat[0]], "few": [few], "keys": [table[0]], "n": [table[1]], "tokens": [table[2]], "contexts": [table[3]], "asked": [asked]})
+            return pd.DataFrame({"part": [rows["part"].iat[0]], "few": [few], "context": [pack(context[one], True)], "n": [pack(total)], "lower": [pack(lower)], "contexts": [pack(contexts)], "asked": [asked]})
 
-        schema = "part long, few array<long>, keys binary, n binary, tokens binary, contexts binary, asked array<struct<block:long,place:binary>>"
-        self.table = written(sent.groupBy("part").applyInPandas(add_up, schema), "bigrams")
-        few = self.table.agg(*[F.coalesce(F.sum(F.col("few")[i]), F.lit(0)) for i in range(CUTOFF + 1)]).first()
-        self.factors = factors = discounts([0.0, *map(float, few)])
+        schema = "part long, few array<long>, context binary, n binary, lower binary, contexts binary, asked array<struct<block:long,place:binary>>"
+        table = written(sent.groupBy("part").applyInPandas(add_up, schema), f"order-{k}")
+        few = table.agg(*[F.coalesce(F.sum(F.col("few")[i]), F.lit(0)) for i in range(CUTOFF + 1)]).first()
+        factors = discounts([0.0, *map(float, few)])
+        self.factors.append(factors)
 
-        def probabilities(keys, n, tokens, contexts):
+        def probabilities(n, lower, contexts):
             """Of each row the seen probability before scaling, the lower order's, and whether it was seen."""
             seen_p = factors[np.minimum(n, CUTOFF + 1)] * n / np.maximum(1, contexts)
-            return seen_p, uni.p(tokens), n > 0
+            return seen_p, uni.p(lower) if k == 2 else lower, n > 0
 
         def heavy_sums(batches):
             for batch in batches:
                 for i in range(batch.num_rows):
-                    keys, n, tokens, contexts = (unpack(batch.column(c)[i].as_py()) for c in range(4))
+                    part, *blobs = (batch.column(c)[i].as_py() for c in range(5))
+                    contexts_of, n, lower, contexts = map(unpack, blobs)
+                    seen_p, lower_p, seen = probabilities(n, lower, contexts)
                     own = contexts > heavy
-                    if not own.any():
-                        continue
-                    seen_p, lower_p, seen = probabilities(keys, n, tokens, contexts)
-                    context, place = np.unique(keys[own] >> _U(32), return_inverse=True)
-                    mass, lower = (np.bincount(place, weights=np.where(seen, x, 0.0)[own]) for x in (seen_p, lower_p))
-                    yield pa.RecordBatch.from_arrays([pa.array(context.astype(np.int64)), pa.array(mass), pa.array(lower)], names=["context", "mass", "lower"])
-
-        sums = self.table.select("keys", "n", "tokens", "contexts").mapInArrow(heavy_sums, "context long, mass double, lower double")
-        # at most eight contexts a part are heavy
-        known = {r[0]: (r[1], r[2]) for r in sums.groupBy("context").agg(F.sum("mass"), F.sum("lower")).collect()}
+                    found, place = np.unique(contexts_of[own], return_inverse=True)
+                    mass, low = (np.bincount(place, weights=np.where(seen, x, 0.0)[own], minlength=len(found)) for x in (seen_p, lower_p))
+                    # a row of its own for each part, so that each gets its file
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(found) + 1, part)), pa.array([*([True] * len(found)), False]), pa.array(np.append(found.view(np.int64), 0)), pa.array(np.append(mass, 0.0)), pa.array(np.append(low, 0.0))],
+                        names=["part", "real", "context", "mass", "lower"],
+                    )
+
+        sums = table.select("part", "context", "n", "lower", "contexts").mapInArrow(heavy_sums, "part long, real boolean, context long, mass double, lower double")
+        sums = written(sums, f"heavy-{k}")
+        total = sums.where("real").groupBy("context").agg(F.sum("mass").alias("all_mass"), F.sum("lower").alias("all_lower"))
+        back = sums.join(total, "context", "left").select("part", "real", "context", "all_mass", "all_lower")
+
+        def keep(rows: pd.DataFrame) -> pd.DataFrame:
+            own = rows[rows["real"]]
+            found = own["context"].to_numpy(np.int64).view(_U)
+            by = np.argsort(found)
+            packed = [pack(x) for x in (found[by], own["all_mass"].to_numpy(float)[by], own["all_lower"].to_numpy(float)[by])]
+            files.put(f"{folder}/heavy-{k}-{rows['part'].iat[0]:012d}", lambda f: f.write(np.array([len(p) for p in packed], "<i8").tobytes() + b"".join(packed)))
+            return rows[["part"]].head(1)
+
+        back.groupBy("part").applyInPandas(keep, "part long").write.format("noop").mode("overwrite").save()
 
         def answer(batches):
             for batch in batches:
                 for i in range(batch.num_rows):
-                    keys, n, tokens, contexts = (unpack(batch.column(c)[i].as_py()) for c in range(1, 5))
-                    seen_p, lower_p, seen = probabilities(keys, n, tokens, contexts)
-                    scale, weight = context_weights(keys >> _U(32), seen_p, lower_p, seen, known)
-                    logs = np.log10(np.maximum(np.where(seen, scale * seen_p, weight * lower_p), 1e-300)).astype(np.float32)
-                    part = batch.column(0)[i].as_py()
+                    part, *blobs = (batch.column(c)[i].as_py() for c in range(5))
+                    context, n, lower, contexts = map(unpack, blobs)
+                    raw = bytes(files.mapped(f"{folder}/heavy-{k}-{part:012d}", "u1"))
+                    cut = np.cumsum([24, *np.frombuffer(raw[:24], "<i8")]).tolist()
+                    known = tuple(unpack(raw[a:b]) for a, b in zip(cut, cut[1:], strict=False))
+                    seen_p, lower_p, seen = probabilities(n, lower, contexts)
+                    scale, weight = context_weights(context, seen_p, lower_p, seen, known)
+                    p = np.maximum(np.where(seen, scale * seen_p, weight * lower_p), 1e-300)
+                    p = np.log10(p) if last else p
                     for ask in batch.column(5)[i].as_py():
-                        yield _rows(part=[part], block=[ask["block"]], kind=[1], blob=[pack(logs[unpack(ask["place"])])], more=[b""])
+                        place = unpack(ask["place"])
+                        yield _rows(part=[part], block=[ask["block"]], kind=[k], blob=[pack(p[place])], more=[b"" if last else pack(n[place])])
+
+        return table.select("part", "context", "n", "lower", "contexts", "asked").mapInArrow(lean(answer), _ANSWER)
 
-        answers = self.table.select("part", "keys", "n", "tokens", "contexts", "asked").mapInArrow(answer, "part long, block long, kind long, blob binary, more binary")
+    def _score(self) -> None:
+        at, uni, order = self._tokens(), self.uni, self.order
 
         def score(rows: pd.DataFrame) -> pd.DataFrame:
-            logs = rows[rows["kind"] == 1]
-            block, known, _, place, where, _, token_count, _ = prepared(rows[rows["kind"] == 0])
-            each, places = np.empty(len(known)), dict(by_part(where))
-            for p, blob in zip(logs["part"], logs["blob"], strict=True):
-                each[places[p]] = unpack(blob)
-            start = np.concatenate([[0], np.cumsum(block.counts + 1)[:-1]])
-            add = lambda x: np.add.reduceat(x, start)
+            own = at(rows, order)
+            each = own.answered(rows[rows["kind"] == order], "blob", float)
+            block = own.block
+            add = lambda x: np.add.reduceat(x, own.first)
             ids = pd.array(block.ids, dtype="Int64")
             ids[block.null > 0] = pd.NA
             return pd.DataFrame(
@@ -375,21 +465,20 @@ class Katz:
                     "doc_id": ids,
                     "held_out": block.held > 0,
                     "n_tokens": block.counts + 1,
-                    "n_known": add((token_count > 0).astype(np.int64)),
+                    "n_known": add((own.count > 0).astype(np.int64)),
                     "train_tokens": np.int64(uni.tokens),
-                    "base_score": add(np.log10((token_count + 1) / (uni.tokens + uni.types + 1))),
-                    "score": add(each[place]),
+                    "base_score": add(np.log10((own.count + 1) / (uni.tokens + uni.types + 1))),
+                    "score": add(each[own.place]),
                 }
             )
 
-        both = self.words.select("part", "block", F.lit(0).cast("long").alias("kind"), "blob", "more").unionByName(answers)
-        self.scores = both.groupBy("block").applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        self.scores = self.known.groupBy("block").applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
     def forget(self) -> None:
         """Delete the blocks; scores can't be computed after this."""
         drop_shared(self.spark, self.folder)
 
 
-def score(docs: DataFrame, held_out: Column) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
-    return Katz(docs, held_out).scores
+    return Katz(docs, held_out, order).scores

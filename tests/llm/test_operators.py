@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import random
@@ -66,55 +67,97 @@ def test_the_parser_decides_what_is_escaped(spark, monkeypatch):
 # -- 2 language model
 
 
-def brute_katz(texts, held):
-    toks = [[*(t or "").encode().translate(LOWER_TABLE).split(), None] for t in texts]
-    uni, bi = Counter(), Counter()
-    for w, h in zip(toks, held, strict=True):
-        if not h:
-            uni.update(w)
-            bi.update(zip(["<s>", *w[:-1]], w, strict=True))
-    k, n, v = katz.CUTOFF, sum(uni.values()), len(uni)
-    count = lambda c: [0.0, *(float(sum(x == r for x in c.values())) for r in range(1, k + 2))]
-    d1, d2 = katz.discounts(count(uni)), katz.discounts(count(bi))
-    unknown = 1 - sum(d1[min(x, k + 1)] * x / n for x in uni.values())
-    p1 = lambda w: d1[min(uni[w], k + 1)] * uni[w] / n if w in uni else unknown
-    after = defaultdict(dict)
-    for (a, b), x in bi.items():
-        after[a][b] = x
-
-    def p(a, b):
-        if a not in after:
-            return p1(b)
-        total = sum(after[a].values())
-        mass = sum(d2[min(x, k + 1)] * x / total for x in after[a].values())
-        scale = 0.999 / mass if mass > 0.999 else 1.0
-        if b in after[a]:
-            return scale * d2[min(after[a][b], k + 1)] * after[a][b] / total
-        return (1 - scale * mass) / (1 - sum(p1(w) for w in after[a])) * p1(b)
+def good_turing(counts, k=5):
+    """Katz's factors for counts 1 to k from the numbers of n-grams that have each count; 1 above k."""
+    n = {r: sum(x == r for x in counts.values()) for r in range(1, k + 2)}
 
-    scores = [sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True)) for w in toks]
-    base = [sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w) for w in toks]
-    for a in list(after)[:20]:  # each distribution sums to one
-        assert abs(sum(p(a, b) for b in uni) + p(a, "never seen") - 1) < 1e-9
-    return scores, base, [len(w) for w in toks], [sum(x in uni for x in w) for w in toks], n
+    def factors(n):
+        common = (k + 1) * n[k + 1] / n[1]
+        if common >= 1:
+            return None
+        d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) for r in range(1, k + 1)}
+        return d if all(0 < x <= 1 for x in d.values()) else None
 
+    d = factors(n) if all(n.values()) else None
+    seen = [r for r in n if n[r]]
+    if d is None and len(seen) > 1:  # least squares on logarithms, by hand
+        x, y = [math.log(r) for r in seen], [math.log(n[r]) for r in seen]
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        slope = sum((a - mx) * (b - my) for a, b in zip(x, y, strict=True)) / sum((a - mx) ** 2 for a in x)
+        d = factors({r: math.exp(my + slope * (math.log(r) - mx)) for r in n})
+    if d is None:
+        off = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        d = {r: (r - off) / r for r in range(1, k + 1)}
+    return lambda r: d.get(r, 1.0)
 
-@pytest.mark.parametrize("per_part", [4000, 9])
-def test_katz_against_brute_force(make, odd, monkeypatch, per_part):
-    monkeypatch.setattr(katz, "DOCS_PER_PART", per_part)
+
+def brute_katz(texts, held, order=2):
+    toks = [[*(t or "").encode().translate(LOWER_TABLE).split(), None] for t in texts]
+    grams = [None, *(Counter() for _ in range(order))]
+    padded = [["<s>"] * (order - 1) + w for w in toks]
+    for w, h in zip(padded, held, strict=True):
+        if not h:
+            for i in range(order - 1, len(w)):
+                for n in range(1, order + 1):
+                    grams[n][tuple(w[i - n + 1 : i + 1])] += 1
+    d = [None, *(good_turing(grams[n]) for n in range(1, order + 1))]
+    uni = {g[0]: x for g, x in grams[1].items()}
+    total = sum(uni.values())
+    unknown = 1 - sum(d[1](x) * x / total for x in uni.values())
+    after = [None, None, *(defaultdict(dict) for _ in range(2, order + 1))]
+    for n in range(2, order + 1):
+        for g, x in grams[n].items():
+            after[n][g[:-1]][g[-1]] = x
+
+    @functools.cache
+    def backoff(context):
+        """How much seen words are scaled by, and the weight of the lower order."""
+        own = after[len(context) + 1][context]
+        whole = sum(own.values())
+        mass = sum(d[len(context) + 1](x) * x / whole for x in own.values())
+        scale = 0.999 / mass if mass > 0.999 else 1.0
+        return scale, (1 - scale * mass) / (1 - sum(p(context[1:], w) for w in own))
+
+    def p(context, w):
+        if not context:
+            return d[1](uni[w]) * uni[w] / total if w in uni else unknown
+        own = after[len(context) + 1].get(context)
+        if own is None:
+            return p(context[1:], w)
+        scale, weight = backoff(context)
+        return scale * d[len(context) + 1](own[w]) * own[w] / sum(own.values()) if w in own else weight * p(context[1:], w)
+
+    scores = [sum(math.log10(p(tuple(w[i - order + 1 : i]), w[i])) for i in range(order - 1, len(w))) for w in padded]
+    base = [sum(math.log10((uni.get(x, 0) + 1) / (total + len(uni) + 1)) for x in w) for w in toks]
+    for c in [c for n in range(2, order + 1) for c in list(after[n])[:15]]:  # each distribution sums to one
+        assert abs(sum(p(c, b) for b in uni) + p(c, "never seen") - 1) < 1e-9
+    return scores, base, [len(w) for w in toks], [sum(x in uni for x in w) for w in toks], total
+
+
+@pytest.mark.parametrize(("order", "part_bytes", "tokens"), [(2, 13 << 20, 5_000_000), (2, 2_000, 700), (3, 2_000, 700), (4, 20_000, 5_000_000)])
+def test_katz_against_brute_force(make, odd, monkeypatch, order, part_bytes, tokens):
+    monkeypatch.setattr(katz, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", tokens)
     rng = random.Random(2)
     words = [f"w{i}" for i in range(60)]
-    rows = [r[:2] for r in odd if r[0] != 8] + [(1000 + i, " ".join(rng.choices(words, weights=range(60, 0, -1), k=40))) for i in range(80)]
+    rows = [r[:2] for r in odd] + [(1000 + i, " ".join(rng.choices(words, weights=range(60, 0, -1), k=40))) for i in range(80)]
+    rows.append(rows[-1])
     held_of = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    out = katz.score(make(rows), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).collect()
-    scores, base, n, known, total = brute_katz([r[1] for r in rows], [held_of(r[0]) for r in rows])
+    docs = make(rows).withColumn("part", F.lit("theirs")).withColumn("block", F.lit(None))
+    out = katz.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, order).collect()
+    scores, base, n, known, total = brute_katz([r[1] for r in rows], [held_of(r[0]) for r in rows], order)
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     want = sorted([(r[0], held_of(r[0]), x, y, total, b, s) for r, x, y, b, s in zip(rows, n, known, base, scores, strict=True)], key=key)
     assert len(out) == len(want)
     for got, exp in zip(sorted(map(tuple, out), key=key), want, strict=True):
         assert got[:5] == exp[:5]
-        assert got[5] == pytest.approx(exp[5], rel=1e-9) and got[6] == pytest.approx(exp[6], rel=1e-5)
-    assert katz.score(make(rows).limit(0), F.lit(False)).count() == 0
+        assert got[5] == pytest.approx(exp[5], rel=1e-9) and got[6] == pytest.approx(exp[6], rel=1e-9)
+    assert katz.score(make(rows).limit(0), F.lit(False), order).count() == 0
+
+
+def test_katz_without_training_rows(make):
+    out = katz.score(make([(1, "a b"), (2, None)]), F.lit(True)).collect()
+    assert [(r.held_out, r.n_known, r.train_tokens) for r in out] == [(True, 0, 0)] * 2 and all(math.isfinite(r.score) for r in out)
 
 
 # -- 3 personal data
