@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import functools
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -37,34 +36,30 @@ def by_place(docs: DataFrame, *first: str) -> DataFrame:
     return rows.select(*[F.col(f"__c{docs.columns.index(c)}").alias(f"__f{i}") for i, c in enumerate(first)], *rows.columns)
 
 
-@functools.cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="chronoloom-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all machines see.
-
-    Only a local session may leave that setting out; a folder of this process
-    is used then.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines see")
-        root = _own_folder()
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A fresh folder below ``spark.checkpoint.dir``, which all machines see."""
+    return session.shared_dir(spark, "llm")
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
-    This cuts lineage in a way that outlives any executor, and computes
-    ``df`` once however often the result is read.
+    This cuts lineage in a way that outlives any executor, and computes ``df``
+    once however often the result is read.  What is needed no more goes to
+    :func:`discard`.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path.rpartition("/")[0]
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables; nothing that is still to be computed may read them."""
+    for df in tables:
+        if df is not None:
+            drop_shared(df.sparkSession, df.written_to)
 
 
 def release() -> None:

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from ..session import workers_import
 from . import files
-from .common import drop_shared, lean, shared_dir, tasks_for, text_size, written
+from .common import discard, drop_shared, lean, shared_dir, tasks_for, text_size, written
 from .shingles import mixed, slices, words
 
 CUTOFF = 5
@@ -431,6 +431,7 @@ class Katz:
             return rows[["part"]].head(1)
 
         back.groupBy("part").applyInPandas(keep, "part long").write.format("noop").mode("overwrite").save()
+        discard(sums)
 
         def answer(batches):
             for batch in batches:

@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, let, written
+from .common import SPACE, WORD, discard, let, written
 
 #: Documents in a key bucket, on average.
 BUCKET_ROWS = 2000
@@ -129,7 +129,9 @@ def cuts(keyed: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame
     groups = groups.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("ties")).over(upto(["key", "doc_id", "size"])), F.lit(0)))
     found = groups.where((F.col("before") < F.col("left")) & (F.col("before") + F.col("size") * F.col("ties") >= F.col("left")))
     found = found.select(F.col("__source").alias("__cut_source"), _place().alias("cut"), (F.col("left") - F.col("before")).alias("rest"), "ties")
-    return written(plan.join(found, _same("__source", "__cut_source"), "left").select("__source", "source_size", "target", "epochs", "cut", "rest", "ties"), "cuts")
+    out = written(plan.join(found, _same("__source", "__cut_source"), "left").select("__source", "source_size", "target", "epochs", "cut", "rest", "ties"), "cuts")
+    discard(plan)
+    return out
 
 
 def _taken(rows: DataFrame, cut: DataFrame) -> DataFrame:
@@ -180,7 +182,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     at = {c: f"doc_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.toDF(*at.values())
     rows = rows.withColumn("__k", _keyed(F.col(at["doc_id"]), F.col(at["text"]), seed)).select(*at.values(), F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), "__k.*")
-    rows = _taken(rows, cuts(keyed, weights, most)).where("taken > 0")
+    cut = cuts(keyed, weights, most)
+    discard(keyed)
+    rows = _taken(rows, cut).where("taken > 0")
     text = F.col(at["text"])
     times = F.floor(F.col("taken") / F.col("size"))
     rest = F.col("taken") - times * F.col("size")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import workers_import
-from .common import lean, release, written
+from .common import discard, lean, release, tasks_for, written
 from .shingles import digest, sets, slices
 
 BLOCK = 512
@@ -100,12 +100,16 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large, "large")
         least = _least(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        before, edges = edges, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(before, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    return written(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct(), "components")
+    ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")))
+    out = written(ends.distinct(), "components")
+    discard(edges)
+    return out
 
 
 def _star(members: DataFrame) -> DataFrame:
@@ -138,6 +142,8 @@ def _central(members: DataFrame, classes: DataFrame) -> DataFrame:
         i = int(agree.argmax())
         return pd.DataFrame({"key": [rows["key"].iat[0]], "other": [rows["id"].iat[i]], "agree": [int(agree[i])], "c": [rows["component"].iat[i]]})
 
+    # tasks of few rows, since each costs more than it reads
+    rows = rows.repartition(tasks_for(members.count(), 4 * BLOCK), "key", "block")
     found = rows.groupBy("key", "block").applyInPandas(centre, "key long, other long, agree long, c long")
     centres = found.groupBy("key").agg(F.max(F.struct("agree", "other", "c")).alias("m")).select("key", "m.other", "m.c")
     pairs = members.join(centres, "key").where("component <> c")
@@ -212,8 +218,9 @@ def link(docs: DataFrame, signatures, k: int, percent: int = 80) -> DataFrame:
     shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = written(dealt.join(shared, "key").distinct(), "members")
     wanted = written(members.select("id").distinct(), "wanted")
-    known = written(whole_sets(docs, wanted, k), "sets").repartition("id")
-    known = written(known, "sets_by_id")
+    found = written(whole_sets(docs, wanted, k), "sets")
+    known = written(found.repartition("id"), "sets_by_id")
+    discard(found)
     sizes = classes.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("n_shingles").alias("most"), F.min("n_shingles").alias("fewest"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -230,7 +237,7 @@ def link(docs: DataFrame, signatures, k: int, percent: int = 80) -> DataFrame:
         return written(own.join(mixed.select("key"), "key"), "mixed")
 
     tested = links = labels = None
-    left = members
+    left, used = members, [members, wanted, known]
     for turn in range(3):
         if turn == 0:
             pairs = _star(left)
@@ -242,12 +249,19 @@ def link(docs: DataFrame, signatures, k: int, percent: int = 80) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         found = written(verified(pairs), "links")
+        used += [pairs, found]
         tested = pairs if tested is None else tested.unionByName(pairs)
         if links is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        if turn == 2 or (left := several(labels)).isEmpty():
+            old, labels = labels, components(links)
+            discard(old)
+        if turn == 2:
             break
+        left = several(labels)
+        used.append(left)
+        if left.isEmpty():
+            break
+    discard(*used)
     ends = classes.join(labels, "id", "left").select("digest", F.col("id").alias("__id"), F.coalesce("component", "id").alias("component"))
     out = rows.join(ends, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -75,21 +75,27 @@ def measures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     count = lambda t, p: F.regexp_count(t, F.lit(p)).cast("long")
 
+    def of_chars(t: Column) -> Column:
+        """Lower letters go first, in runs; what is left is short, and holds all that the other patterns count."""
+        n = F.length(t).cast("long")
+        rest = lambda r: F.struct(
+            F.array(n - F.length(r), *[count(r, p) for name, p in CLASSES.items() if name != "lower"]).alias("class_hist"), count(r, "[#*$%&|<>]").alias("n_symbols"), n.alias("n_chars")
+        )
+        return let(F.regexp_replace(t, "[a-z]+", ""), rest)
+
     def of_words(w: Column) -> Column:
-        known = F.filter(w, lambda x: F.lower(x).isin(common))
-        hist = let(F.transform(known, lambda x: F.lower(x)), lambda k: F.transform(F.array(*[F.lit(c) for c in common]), lambda c: F.size(F.filter(k, lambda x: x == c)).cast("long")))
+        known = F.filter(F.transform(w, lambda x: F.lower(x)), lambda x: x.isin(common))
+        hist = let(known, lambda k: F.array(*[(F.size(k) - F.size(F.array_remove(k, c))).cast("long") for c in common]))
         return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), hist.alias("word_hist"))
 
     rows = docs.select("doc_id", "lang", text.alias("text"))
     rows = rows.select(
         "doc_id",
         "lang",
-        F.length("text").cast("long").alias("n_chars"),
-        F.array(*[count(F.col("text"), p) for p in CLASSES.values()]).alias("class_hist"),
-        count(F.col("text"), "[#*$%&|<>]").alias("n_symbols"),
+        of_chars(F.col("text")).alias("c"),
         repeated_lines(F.col("text")).alias("n_dup_lines"),
         let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), of_words).alias("w"),
-    )
+    ).select("doc_id", "lang", "c.*", "n_dup_lines", "w")
     space = list(CLASSES).index("space")
     rows = rows.select(
         "doc_id", "lang", "n_chars", "class_hist", "n_symbols", "n_dup_lines", "w.n_words", "w.n_repeat_words", "w.word_hist",

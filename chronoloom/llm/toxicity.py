@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import workers_import
-from .common import by_place, lean, written
+from .common import by_place, discard, lean, written
 from .shingles import slices
 from .shingles import words as hashed
 
@@ -193,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
     model.totals = (float(total[0]), float(total[1]), float(total[2] + 1), float(sum(size.values())))
     found = counts.where("toxic > 0").toArrow()
     known, toxic, clean = (found.column(i).to_numpy() for i in range(3))
+    discard(counts)
     order = np.argsort(known.view(np.uint64))
     model.known, model.toxic, model.clean = known.view(np.uint64)[order], toxic[order].astype(np.float32), clean[order].astype(np.float32)
     return _calibrate(model, rows)
