@@ -551,7 +551,7 @@ def near_rows(odd):
     rng = random.Random(9)
     words = [f"t{i}" for i in range(3000)]
     base, passage = rng.choices(words, k=200), rng.choices(words, k=60)
-    rows = [r[:2] for r in odd if r[0] != 8]
+    rows = [r[:2] for r in odd]
     rows.append((500, " ".join(base)))
     for i in range(30):
         own = list(base)
@@ -592,21 +592,41 @@ def test_densified_signature_estimates_similarity():
         assert abs(np.mean(errors)) < 0.06 and np.abs(errors).max() < 0.2
 
 
+def plain_signature(text):
+    """MinHash by its definition, one shingle and one permutation at a time."""
+    numbers = shingles.sets([text], minhash.SHINGLE_WORDS)[0].tolist()
+    if not numbers:
+        return [0xFFFF] * minhash.PERMUTATIONS
+    a, b = (x.tolist() for x in minhash._permutations())
+    out = []
+    for i in range(minhash.PERMUTATIONS):
+        least = min(((n >> 32) * a[i] + b[i]) % (1 << 32) for n in numbers)
+        out.append(int(shingles.mixed(np.array([least], np.uint64))[0]) >> 48)
+    return out
+
+
 def test_edited_neighbours(make, odd, monkeypatch):
     monkeypatch.setattr(minhash, "TASK_BYTES", 20_000)
     monkeypatch.setattr(minhash, "_CHARS", 3000)
-    rows = sorted({r[0]: r[:2] for r in odd if r[0] is not None}.values(), reverse=True)
-    out = sorted(rows_of(minhash.edited_neighbours(make(rows))), key=lambda r: -r["doc_id"])
-    texts = [t or "" for _, t in rows]
-    for (d, _), own, after, r in zip(rows, texts, texts[1:] + texts[:1], out, strict=True):
+    rows = [*[r[:2] for r in odd], (None, "again"), (5, "another text of the same id"), (8, None)]
+    docs = make(rows).withColumn("range", F.lit("theirs")).withColumn("copy", F.lit(7))
+    out = rows_of(minhash.edited_neighbours(docs))
+    assert len(out) == len(rows)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    texts = [t or "" for _, t in order]
+    plain = functools.cache(plain_signature)
+    alike = lambda x, y: sum(p == q for p, q in zip(plain(x), plain(y), strict=True)) / minhash.PERMUTATIONS
+    digits = lambda t: b"".join(x.to_bytes(2, "little") for x in plain(t)).hex()
+    want = []
+    for (d, _), own, after in zip(order, texts, texts[1:] + texts[:1], strict=True):
         edited = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
-        assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (d, len(own), hashlib.sha256(edited.encode()).hexdigest())
-        a, b = minhash.signatures([own, edited])
-        assert r["near_edited"] == (a == b).mean()
-    prints = {r["doc_id"]: r["fingerprint"] for r in out}
-    assert prints[5] == prints[6] != prints[7]
-    docs = make(odd)
-    assert minhash.edited_neighbours(docs).count() == len(odd) and minhash.edited_neighbours(docs.limit(0)).count() == 0
+        want.append((d, len(own), hashlib.sha256(edited.encode()).hexdigest(), digits(own), digits(edited), alike(own, edited), alike(own, after)))
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert sorted((tuple(r[c] for c in columns) for r in out), key=repr) == sorted(want, key=repr)
+    prints = {r["doc_id"]: r["fingerprint"] for r in out if r["doc_id"] in (6, 7)}
+    assert prints[6] != prints[7] and prints[6] in {r["fingerprint"] for r in out if r["doc_id"] == 5}
+    assert sorted((r["doc_id"] or 0, r["fingerprint"]) for r in rows_of(minhash.fingerprint(docs))) == sorted((r["doc_id"] or 0, r["fingerprint"]) for r in out)
+    assert minhash.edited_neighbours(docs.limit(0)).count() == 0
 
 
 def test_last_turn_compares_whole_shingles(spark):
