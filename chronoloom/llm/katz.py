@@ -48,12 +48,12 @@ from pyspark.sql import functions as F
 
 from ..session import workers_import
 from . import files
-from .common import discard, drop_shared, lean, shared_dir, tasks_for, text_size, written
+from .common import discard, drop_shared, lean, release, shared_dir, tasks_for, text_size, written
 from .shingles import mixed, slices, words
 
 CUTOFF = 5
 #: Bytes of text for each part of a table, and tokens in a block.
-PART_BYTES, BLOCK_TOKENS = 13 << 20, 5_000_000
+PART_BYTES, BLOCK_TOKENS = 13 << 20, 2_500_000
 BOS, EOS, UNK, FIRST_ID = 0, 1, 2, 3
 _U = np.uint64
 
@@ -220,11 +220,12 @@ class Tokens:
     def grams(self) -> None:
         """Find the distinct n-grams, by context and token; ``place`` leads from tokens to them, ``where`` from them to parts."""
         self.key = self.context << _U(32) | self.token if self.order == 2 else mixed(mixed(self.context) + self.token)
-        _, self.one, self.place = np.unique(self.key, return_index=True, return_inverse=True)
+        _, self.one, place = np.unique(self.key, return_index=True, return_inverse=True)
+        self.place = place.astype(np.uint32)  # a block has fewer tokens than that
         if self.order > 2:
             by = np.lexsort((self.token[self.one], self.context[self.one]))
-            rank = np.empty(len(by), np.int64)
-            rank[by] = np.arange(len(by))
+            rank = np.empty(len(by), np.uint32)
+            rank[by] = np.arange(len(by), dtype=np.uint32)
             self.one, self.place = self.one[by], rank[self.place]
         context, token = self.context[self.one], self.token[self.one]
         by = np.where(self.context_count[self.one] > self.sizes.heavy, mixed(mixed(context) + token), context)
@@ -370,6 +371,8 @@ class Katz:
             for p, of in by_part(own.where):
                 one = own.one[of]
                 out.append((p, block, pack(own.context[one], True), pack(own.token[one].astype(np.uint32)), pack(number[of]), pack(own.lower[one]), pack(own.context_count[one])))
+            del own
+            release()
             return pd.DataFrame(out, columns=["part", "block", "context", "token", "n", "lower", "contexts"])
 
         arrays = "context binary, token binary, n binary, lower binary, contexts binary"
@@ -461,7 +464,7 @@ class Katz:
             add = lambda x: np.add.reduceat(x, own.first)
             ids = pd.array(block.ids, dtype="Int64")
             ids[block.null > 0] = pd.NA
-            return pd.DataFrame(
+            out = pd.DataFrame(
                 {
                     "doc_id": ids,
                     "held_out": block.held > 0,
@@ -472,6 +475,9 @@ class Katz:
                     "score": add(each[own.place]),
                 }
             )
+            del own, each
+            release()
+            return out
 
         self.scores = self.known.groupBy("block").applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
