@@ -28,6 +28,7 @@ a row each.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,26 +39,30 @@ from .common import SPACE, WORD, discard, let, written
 BUCKET_ROWS = 2000
 
 
+#: From a text and its words, how good a document is.
+Weight = Callable[[Column, Column], Column]
+
+
 def quality_weight(text: Column, size: Column) -> Column:
     """Between 0.2 and 1: 1 where words have the usual five characters on average."""
     mean = F.length(text) / F.greatest(size, F.lit(1))
     return F.greatest(F.lit(0.2), F.exp(-F.abs(mean - 6.0) / 6.0))
 
 
-def _keyed(doc_id: Column, text: Column, seed: int) -> Column:
+def _keyed(doc_id: Column, text: Column, seed: int, weight: Weight = quality_weight) -> Column:
     """(size, key) of a document."""
     # 52 bits of the digest, so that the uniform number is exact
     drawn = lambda t: F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), t).cast("binary"))
     uniform = lambda t: (F.conv(F.substring(drawn(t), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     return let(
         F.struct(F.coalesce(text, F.lit("")).alias("t"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("n")),
-        lambda x: F.struct(x["n"].alias("size"), (-F.log(uniform(x["t"])) / quality_weight(x["t"], x["n"])).alias("key")),
+        lambda x: F.struct(x["n"].alias("size"), (-F.log(uniform(x["t"])) / weight(x["t"], x["n"])).alias("key")),
     )
 
 
-def documents_with_keys(docs: DataFrame, seed: int = 17) -> DataFrame:
+def documents_with_keys(docs: DataFrame, seed: int = 17, weight: Weight = quality_weight) -> DataFrame:
     """(doc_id, source, size, key): one pass over the texts."""
-    return docs.select("doc_id", "source", _keyed(F.col("doc_id"), F.col("text"), seed).alias("__k")).select("doc_id", "source", "__k.*")
+    return docs.select("doc_id", "source", _keyed(F.col("doc_id"), F.col("text"), seed, weight).alias("__k")).select("doc_id", "source", "__k.*")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
@@ -159,29 +164,29 @@ def _taken(rows: DataFrame, cut: DataFrame) -> DataFrame:
     return rows.where(~tied).withColumn("taken", taken(F.lit(0))).unionByName(numbered).drop("epochs", "cut", "rest", "ties")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 17, weight: Weight = quality_weight) -> DataFrame:
     """Return (doc_id, size, source_size, target, taken) for each row of ``docs``.
 
     ``taken`` is the number of words that the mix takes of the document,
     repeats counted; ``docs`` needs doc_id, text and source, other columns are
-    ignored.
+    ignored.  ``weight`` makes a positive quality weight from text and size.
     """
-    keyed = written(documents_with_keys(docs, seed), "keys")
+    keyed = written(documents_with_keys(docs, seed, weight), "keys")
     return _taken(keyed, cuts(keyed, weights, most)).select(
         "doc_id", *[F.col(c).cast("long").alias(c) for c in ("size", "source_size")], F.col("target").cast("double").alias("target"), "taken"
     )
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 17) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 17, weight: Weight = quality_weight) -> DataFrame:
     """The mix itself: each document repeated whole, then its cut rest, with the columns of ``docs``.
 
     A cut text ends with the last word that is taken, its white space as it was.
     """
-    keyed = written(documents_with_keys(docs, seed), "keys")
+    keyed = written(documents_with_keys(docs, seed, weight), "keys")
     # columns by place, so that none of their names meets one of ours
     at = {c: f"doc_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.toDF(*at.values())
-    rows = rows.withColumn("__k", _keyed(F.col(at["doc_id"]), F.col(at["text"]), seed)).select(*at.values(), F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), "__k.*")
+    rows = rows.withColumn("__k", _keyed(F.col(at["doc_id"]), F.col(at["text"]), seed, weight)).select(*at.values(), F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), "__k.*")
     cut = cuts(keyed, weights, most)
     discard(keyed)
     rows = _taken(rows, cut).where("taken > 0")

@@ -41,7 +41,8 @@ from ..session import workers_import
 from .common import discard, lean, release, tasks_for, written
 from .shingles import digest, sets, slices
 
-BLOCK = 512
+#: Members in a block, and shingles of all of them: what a task holds.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 
 
 def profiles(docs: DataFrame, signatures, k: int) -> DataFrame:
@@ -127,7 +128,7 @@ def _central(members: DataFrame, classes: DataFrame) -> DataFrame:
     number in each place: in a group of edited copies, the text they were made
     from.  Large buckets find theirs in blocks first.
     """
-    rows = _in_blocks(members).join(classes.select("id", "bands"), "id")
+    rows = _in_blocks(members).drop("n_shingles").join(classes.select("id", "bands"), "id")
 
     def centre(rows: pd.DataFrame) -> pd.DataFrame:
         sign = np.sort(np.stack(rows["bands"].to_numpy()).astype("<i8").view("<u2"), axis=0)
@@ -151,8 +152,10 @@ def _central(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
-    """Add blocks (how many of at most about BLOCK members a bucket needs) and block (the member's)."""
-    counted = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    """Add blocks (how many a bucket needs, by members and by their n_shingles) and block (the member's)."""
+    own = F.sum("n_shingles") if "n_shingles" in members.columns else F.lit(0)
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(own / BLOCK_SHINGLES), F.lit(1))
+    counted = members.groupBy("key").agg(need.cast("int").alias("blocks"))
     return members.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
@@ -165,7 +168,7 @@ def _across(members: DataFrame, classes: DataFrame, known: DataFrame, percent: i
     one after their first link, so a meeting returns fewer pairs than it has
     members.
     """
-    rows = _in_blocks(members).join(classes, "id").join(known, "id")
+    rows = _in_blocks(members).drop("n_shingles").join(classes, "id").join(known, "id")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     columns = ["key", "band", "id", "component", "block", "bands", "shingles"]
     rows = rows.select(*columns, F.explode(meets).alias("m")).select(*columns, "m.i", "m.j")
@@ -214,7 +217,7 @@ def link(docs: DataFrame, signatures, k: int, percent: int = 80) -> DataFrame:
     )
     classes = written(classes, "classes")
     # Equal ids with different texts: one document, whose classes are joined by its id.
-    dealt = classes.select("id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "band", "id")
+    dealt = classes.select("id", "n_shingles", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "band", "id", "n_shingles")
     shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = written(dealt.join(shared, "key").distinct(), "members")
     wanted = written(members.select("id").distinct(), "wanted")
@@ -232,7 +235,7 @@ def link(docs: DataFrame, signatures, k: int, percent: int = 80) -> DataFrame:
 
     def several(labels: DataFrame) -> DataFrame:
         """Members of buckets that hold more than one component, with these."""
-        own = members.join(labels, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+        own = members.join(labels, "id", "left").select("key", "band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
         mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
         return written(own.join(mixed.select("key"), "key"), "mixed")
 
