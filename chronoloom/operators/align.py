@@ -60,6 +60,13 @@ def merge_by_time(*streams: DataFrame) -> DataFrame:
     return out.orderBy("pts", "stream", "frame_id")
 
 
+def merge_inputs(frames: DataFrame) -> DataFrame:
+    """:func:`merge_by_time` for all inputs of one table, numbered in order of their names."""
+    numbers = frames.select("input_id").distinct().withColumn("stream", (F.row_number().over(Window.orderBy("input_id")) - 1).cast("int"))
+    joined = frames.join(numbers.withColumnRenamed("input_id", "__input"), F.col("input_id").eqNullSafe(F.col("__input"))).drop("__input")
+    return joined.orderBy("pts", "stream", "frame_id")
+
+
 def interleaved(video: DataFrame, audio: DataFrame, events: DataFrame) -> DataFrame:
     """The order in which slots of video, chunks of audio and scheduled events are handled: adds kind and rank.
 

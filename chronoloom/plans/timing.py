@@ -225,9 +225,7 @@ def payload_units(s, d):
 
 @query(f"WITH {EV} SELECT pts, CAST(dense_rank() OVER (ORDER BY input_id) - 1 AS INTEGER) AS stream, frame_id FROM ev")
 def k_way_merge(s, d):
-    f = _frames(s, d)
-    streams = [F.col("input_id").eqNullSafe(F.lit(r[0])) for r in f.select("input_id").distinct().orderBy("input_id").collect()]
-    return align.merge_by_time(*[f.where(c) for c in streams]).select("pts", "stream", "frame_id")
+    return align.merge_inputs(_frames(s, d)).select("pts", "stream", "frame_id")
 
 
 @query(
