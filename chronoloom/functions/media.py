@@ -85,6 +85,33 @@ def same_levels(actual: Column, expected: Column, average: float, median: float,
     return near("average", average) & near("median", median) & near("level", level)
 
 
+def strongest_bins(samples: Column, rate: Column, n: int = 10, noise: float = 0.0) -> Column:
+    """The ``n`` strongest parts of a spectrum, scaled by the number of samples: array of (frequency, level), strongest first.
+
+    Parts at or below ``noise`` count as none; of equal ones the lower frequency comes first.
+    """
+
+    @batched("array<struct<frequency:double,level:double>>")
+    def find(samples: pd.Series, rate: pd.Series) -> pd.Series:
+        out = []
+        for s, r in zip(samples, rate, strict=True):
+            x = np.asarray(s, float)
+            size = max(1, len(x))
+            bins = np.abs(np.fft.rfft(x * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(len(x)) / size)))) / size if len(x) else np.zeros(0)
+            best = [i for i in np.argsort(-bins, kind="stable")[:n].tolist() if bins[i] > noise]
+            out.append([{"frequency": i * float(r) / size, "level": float(bins[i])} for i in best])
+        return pd.Series(out)
+
+    return find(samples, rate)
+
+
+def same_bins(actual: Column, expected: Column, level: float) -> Column:
+    """Whether the strongest parts have the same frequencies and levels within a tolerance, as far as both lists go."""
+    both = F.least(F.size(actual), F.size(expected))
+    pairs = F.zip_with(F.slice(actual, F.lit(1), both), F.slice(expected, F.lit(1), both), lambda a, e: (a["frequency"] == e["frequency"]) & (F.abs(a["level"] - e["level"]) <= level))
+    return F.forall(pairs, lambda ok: ok)
+
+
 def _swizzle(order: tuple[int, ...]):
     def run(pixels: pd.Series) -> pd.Series:
         return pd.Series([np.frombuffer(b, np.uint8).reshape(-1, 4)[:, order].tobytes() for b in pixels])

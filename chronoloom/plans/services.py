@@ -111,9 +111,12 @@ def protocol_rates(s, d):
     return out.select("ref", "protocol", "track", "received", "bitrate_1_second", "bitrate_1_minute", F.col("last_10_seconds.packets_received").alias("packets"), F.round("last_10_seconds.effective_buffer_max", 3).alias("top"), "is_connected")
 
 
+SPECTRUM = """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i, len(embedding) AS n FROM embeddings), w AS (SELECT vec_id, i, n, x * (0.5 - 0.5 * cos(2 * pi() * i / n)) AS x FROM e),
+ b AS (SELECT vec_id, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * sin(2 * pi() * k * i / n)), 2)) AS m, any_value(n) AS n FROM w, LATERAL (SELECT unnest(range(n // 2 + 1)) AS k) GROUP BY 1, 2)"""
+
+
 @query(
-    """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i, len(embedding) AS n FROM embeddings), w AS (SELECT vec_id, i, n, x * (0.5 - 0.5 * cos(2 * pi() * i / n)) AS x FROM e),
- b AS (SELECT vec_id, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * sin(2 * pi() * k * i / n)), 2)) AS m, any_value(n) AS n FROM w, LATERAL (SELECT unnest(range(n // 2 + 1)) AS k) GROUP BY 1, 2)
+    f"""{SPECTRUM}
  SELECT vec_id, round(avg(m), 6) AS average, round(median(m), 6) AS median, round(max(m), 6) AS level, round(arg_max(k, m) * 48000.0 / any_value(n), 6)::DOUBLE AS frequency FROM b GROUP BY 1"""
 )
 def spectrum_levels(s, d):
@@ -121,6 +124,12 @@ def spectrum_levels(s, d):
     return e.select("vec_id", *[F.round(f"x.{c}", 6).alias(c) for c in ("average", "median", "level", "frequency")])
 
 
+@query(f"{SPECTRUM}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY m DESC, k) AS place FROM b) SELECT vec_id, place, round(k * 48000.0 / n, 6)::DOUBLE AS frequency, round(m / n, 6) AS level FROM r WHERE place <= 3 AND m / n > 0.01")
+def strongest_bins(s, d):
+    e = tables.table(s, d, "embeddings").select("vec_id", F.posexplode(media.strongest_bins(F.col("embedding").cast("array<double>"), F.lit(48_000), 3, 0.01)).alias("place", "b"))
+    return e.select("vec_id", (F.col("place") + 1).cast("long").alias("place"), F.round("b.frequency", 6).alias("frequency"), F.round("b.level", 6).alias("level"))
+
+
 @query(f"WITH {EV} SELECT frame_id, CAST(greatest(0, (frame_id % 1000) * 1234567 - 300000000)::HUGEINT * 44100 // {S} AS BIGINT) AS n FROM ev")
 def sample_counts(s, d):
     end = (F.col("frame_id") % 1000) * 1_234_567

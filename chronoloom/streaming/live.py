@@ -107,6 +107,24 @@ def in_order(stream: DataFrame, hold: int, delay: str = "0 seconds") -> DataFram
     return rows.groupBy("track").applyInPandasWithState(step, "track string, number long, late boolean", "waiting array<long>, top long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def ticks(spark: SparkSession, period_ms: int, per_batch: int = 200) -> DataFrame:
+    """A stream of timer ticks from zero on: (tick, tick_ms); a batch brings ``per_batch`` of them.
+
+    Ticks count time by their number, so a run that starts again goes on where it was.
+    """
+    rows = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", per_batch).option("startTimestamp", 0).option("advanceMillisPerBatch", period_ms * per_batch).option("numPartitions", 1).load()
+    return rows.select(F.col("value").alias("tick"), (F.col("value") * period_ms).alias("tick_ms"))
+
+
+def due(timer: DataFrame, period_ms: int, num: int, den: int = 1) -> DataFrame:
+    """The slots of a num/den a second grid that fall due at each tick, each at one tick: (tick_ms, slot_ix, slot_pts)."""
+    # slots up to a tick: those whose time is at most the tick's
+    upto = lambda ms: F.floor(ms * F.lit(num) / F.lit(den * 1000.0)).cast("long")
+    first, last = F.when(F.col("tick") == 0, F.lit(-1).cast("long")).otherwise(upto(F.col("tick_ms") - period_ms)) + 1, upto(F.col("tick_ms"))
+    slots = timer.where(last >= first).select("tick_ms", F.explode(F.sequence(first, last)).alias("slot_ix"))
+    return slots.withColumn("slot_pts", F.floor(F.col("slot_ix").cast("double") * den / num * 1_000_000_000).cast("long"))
+
+
 def drain(stream: DataFrame, transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over all that is there now and return its rows, which go to a table in the shared folder."""
     folder = shared_dir(stream.sparkSession, "drained")

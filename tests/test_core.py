@@ -369,6 +369,14 @@ def test_late_packets_of_a_stream_and_its_end(spark, tmp_path):
     assert sorted(r.number for r in out) == [1, 2, 3, 4, 5, 9, 11, 12, 13] and {r.number for r in out if r.late} == {3, 4}
 
 
+def test_timers(spark):
+    """5 ms ticks: each slot of 30 a second falls due at the first tick at or after it."""
+    timer = live.ticks(spark, 5, per_batch=100)
+    out = live.drain(live.due(timer, 5, 30)).collect()
+    assert len(out) >= 15 and [r.slot_ix for r in sorted(out, key=lambda r: r.slot_ix)] == list(range(len(out)))
+    assert all(r.slot_pts <= r.tick_ms * MS < r.slot_pts + 5 * MS for r in out)
+
+
 def test_scene_builders(spark):
     tile = component("tiles", component("input_stream", input_id="a"), component("rescaler", component("image", image_id="logo"), mode="fill"), id="t", width=100.0)
     scene_rows = rows("o", 1, component("view", tile, component("text", text="hi", font_size=12.0), component("shader", shader_id="s", resolution=(1, 1)), component("web_view", instance_id="w"), direction="row", transition={"duration_ms": 5.0}))
@@ -408,6 +416,16 @@ def test_pixel_orders(spark):
     assert [bytes(x) for x in r.n] == [bytes([0, 1, 2, 3]), bytes([4]), bytes([5])]
 
 
+def test_spectra_agree_within_tolerances(spark):
+    t = np.arange(64) / 64
+    a, b, c = (np.sin(2 * np.pi * f * t) * g for f, g in ((4, 1.0), (4, 1.02), (5, 1.0)))
+    df = spark.createDataFrame([(a.tolist(), b.tolist(), c.tolist())], "a array<double>, b array<double>, c array<double>")
+    levels, bins = (lambda x: media.spectrum_levels(x, F.lit(64)), lambda x: media.strongest_bins(F.col(x), F.lit(64), 1))
+    df = df.select(*[levels(x).alias(f"l{x}") for x in "abc"], *[bins(x).alias(f"s{x}") for x in "abc"])
+    r = df.select(media.same_levels(F.col("la"), F.col("lb"), 0.1, 0.1, 1.0).alias("w"), media.same_levels(F.col("la"), F.col("lb"), 0.1, 0.1, 0.1).alias("x"), media.same_bins(F.col("sa"), F.col("sb"), 0.01).alias("y"), media.same_bins(F.col("sa"), F.col("sc"), 0.01).alias("z")).first()
+    assert (r.w, r.x, r.y, r.z) == (True, False, True, False)
+
+
 def test_lines_of_text():
     from chronoloom.functions.text import broken
 
