@@ -258,6 +258,22 @@ def test_rotation_and_masks_add_up(spark):
         view("o", "x", colour=1)
 
 
+def test_masks_that_cut_nothing_go_and_the_rest_is_capped(spark):
+    mask = lambda top, left, w, h, r: {"top": top, "left": left, "width": w, "height": h, "radius": r}
+    holds, corner, cuts = mask(0.0, 0.0, 100.0, 100.0, 5.0), mask(0.0, 0.0, 100.0, 100.0, 20.0), mask(0.0, 0.0, 30.0, 100.0, 0.0)
+    row = ("o", "1", 10.0, 10.0, 50.0, 50.0, 0.4, "color", 255, 0, [holds, corner, cuts])
+    schema = "output_id string, path string, abs_top double, abs_left double, abs_width double, abs_height double, abs_border double, kind string, alpha int, border_alpha int, masks array<struct<top:double,left:double,width:double,height:double,radius:double>>"
+    out = scene.drawn(spark.createDataFrame([row], schema), 100.0, 100.0)
+    r = out.first()
+    assert [m.asDict() for m in r.masks] == [corner, cuts] and r.abs_border == 0.0
+    assert [m.asDict() for m in scene.capped(out, masks=1).first().masks] == [corner]
+
+
+def test_full_range_colors(spark):
+    r = spark.range(1).select(colors.yuv_to_rgb(F.lit(0.5), F.lit(0.5), F.lit(0.5), limited=False).alias("c"), colors.yuv_to_rgb(F.lit(0.5), F.lit(0.5), F.lit(1.0), limited=False).alias("d")).first()
+    assert (r.c.r, r.c.g, r.c.b) == (0.5, 0.5, 0.5) and r.d.r == 1.0 and r.d.g == pytest.approx(0.5 - 0.4681 / 2) and r.d.b == 0.5
+
+
 def test_colors_that_are_none(spark):
     texts = ["red", "#12", "#GG0000", "rgb(1,2)", "rgba(1,2,3,1.5)", "rgba(1, 2, 3,0.5)", " #FF000080 ", "rebeccapurple", "", None]
     out = spark.createDataFrame([(t,) for t in texts], "t string").select(colors.parse_color(F.col("t")).alias("c")).collect()
