@@ -163,11 +163,22 @@ def adaptive_latency(s, d):
     return jitter.adaptive(_paced(s, d), ["track"], ["i"], low=200 * MS, high=500 * MS).select("frame_id", "target")
 
 
+@query(
+    f"""WITH RECURSIVE {PACED}, f AS (SELECT track % 8 AS source, track // 8 AS track, frame_id, i * 45000 AS stamp, arrival / {S}.0::DOUBLE AS arrival, i FROM k), z AS (SELECT source, track, first(stamp ORDER BY arrival, stamp) AS stamp0, min(arrival) AS arrival0 FROM f GROUP BY 1, 2),
+ rp AS (SELECT source, track, arrival, 1e6 + i * 0.5::DOUBLE * (1 + track * 0.001::DOUBLE) + (stamp0 - stamp) / 90000.0::DOUBLE AS sent, arrival0 FROM f JOIN z USING (source, track) WHERE i % 40 = 0 AND arrival > arrival0),
+ an AS (SELECT source, first(sent - arrival0 ORDER BY arrival, track) AS anchor FROM rp GROUP BY 1), tg AS (SELECT source, track, arrival AS said, sent - anchor AS target FROM rp JOIN an USING (source)),
+ p AS (SELECT f.source, f.track, f.frame_id, f.stamp, f.arrival, tg.said, tg.target, row_number() OVER (PARTITION BY f.source, f.track ORDER BY f.arrival, f.frame_id) AS n FROM f ASOF LEFT JOIN tg ON tg.source = f.source AND tg.track = f.track AND f.arrival > tg.said),
+ r(source, track, n, frame_id, "first", top, arrival, offs, goal, seen, pts) AS (SELECT source, track, n, frame_id, stamp, stamp, arrival, arrival, CAST(NULL AS DOUBLE), said, greatest(0, arrival) FROM p WHERE n = 1
+  UNION ALL SELECT source, track, n, frame_id, "first", greatest(top, stamp), arrival, off3, goal2, coalesce(said, seen), greatest(0, (stamp - "first") / 90000.0::DOUBLE + off3) FROM (
+   SELECT *, CASE WHEN goal2 IS NULL THEN off2 ELSE greatest(off2 - ahead * 0.01::DOUBLE, least(off2 + ahead * 0.01::DOUBLE, goal2)) END AS off3 FROM (
+   SELECT *, CASE WHEN skew > 10 THEN off1 + skew ELSE off1 END AS off2, CASE WHEN skew > 10 THEN off1 + skew ELSE goal1 END AS goal2 FROM (
+   SELECT p.source, p.track, p.n, p.frame_id, r."first", r.top, p.stamp, p.arrival, p.said, r.seen, greatest(0, p.stamp - r.top) / 90000.0::DOUBLE AS ahead, CASE WHEN p.stamp > r.top THEN p.arrival - r.arrival - greatest(0, p.stamp - r.top) / 90000.0::DOUBLE ELSE 0 END AS skew,
+    CASE WHEN p.said IS DISTINCT FROM r.seen AND p.said IS NOT NULL AND abs(p.target - r.offs) > 0.3 THEN p.target ELSE r.offs END AS off1, CASE WHEN p.said IS DISTINCT FROM r.seen AND p.said IS NOT NULL THEN p.target ELSE r.goal END AS goal1
+   FROM r JOIN p ON p.source = r.source AND p.track = r.track AND p.n = r.n + 1))))
+ SELECT source, track, frame_id, round(pts, 6) AS pts_secs FROM r"""
+)
 def clock_sync(s, d):
     """Times of packets by their sender's clock: two tracks a source, a report every fortieth packet, clocks that drift."""
     f = _paced(s, d).select((F.col("track") % 8).alias("source"), F.floor(F.col("track") / 8).cast("long").alias("track"), "frame_id", (F.col("i") * 45_000).alias("stamp"), (F.col("arrival") / F.lit(float(S))).alias("arrival"), "i")
     reports = f.where("i % 40 = 0").select("source", "track", "stamp", F.col("arrival"), (F.lit(1e6) + F.col("i") * 0.5 * (1 + F.col("track") * 0.001)).alias("ntp"))
     return jitter.synchronised(f.drop("i"), reports, resume=10.0).select("source", "track", "frame_id", F.round("pts_secs", 6).alias("pts_secs"))
-
-
-query()(clock_sync)
