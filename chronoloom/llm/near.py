@@ -4,7 +4,9 @@
    its shingle set and its bands, each of which is four 16-bit numbers of the
    signature.  Documents with equal sets are one class from here on.
 2. Classes that share a band are in a bucket.  Buckets of one are dropped by
-   counting before anything else is shuffled.
+   counting before anything else is shuffled; large ones are cut into blocks of
+   about ``BLOCK`` members, and whatever is joined to a bucket's members later
+   is joined by bucket and block, so that no bucket meets in one task.
 3. Candidates are star-shaped: each member of a bucket with the one of least
    priority, so a bucket of n gives n - 1 pairs, not n * n / 2.  All bands use
    the same priorities, so that most of their pairs are the same.
@@ -43,6 +45,8 @@ from .shingles import digest, sets, slices
 
 #: Members in a block, and shingles of all of them: what a task holds.
 BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: Tasks over which a bucket's members are dealt until its blocks are known.
+_SALTS = 8
 
 
 def profiles(docs: DataFrame, signatures, k: int) -> DataFrame:
@@ -113,11 +117,16 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _each_block(buckets: DataFrame) -> DataFrame:
+    """Rows of buckets (key, blocks, ...) once for each of their blocks: adds block."""
+    return buckets.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+
 def _star(members: DataFrame) -> DataFrame:
     """(a, b), a < b: every member of a bucket with the one of least priority."""
     order = F.xxhash64("id")
-    centre = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"))).alias("c"))
-    pairs = members.join(centre, "key").select("id", F.col("c.id").alias("other")).where("id <> other")
+    centre = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"))).alias("c"), F.first("blocks").alias("blocks"))
+    pairs = members.join(_each_block(centre), ["key", "block"]).select("id", F.col("c.id").alias("other")).where("id <> other")
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
@@ -128,7 +137,7 @@ def _central(members: DataFrame, classes: DataFrame) -> DataFrame:
     number in each place: in a group of edited copies, the text they were made
     from.  Large buckets find theirs in blocks first.
     """
-    rows = _in_blocks(members).drop("n_shingles").join(classes.select("id", "bands"), "id")
+    rows = members.join(classes.select("id", "bands"), "id")
 
     def centre(rows: pd.DataFrame) -> pd.DataFrame:
         sign = np.sort(np.stack(rows["bands"].to_numpy()).astype("<i8").view("<u2"), axis=0)
@@ -141,34 +150,26 @@ def _central(members: DataFrame, classes: DataFrame) -> DataFrame:
         best = (np.arange(n)[:, None] - start).argmax(axis=0)
         agree = (raw == sign[best, np.arange(places)]).sum(axis=1)
         i = int(agree.argmax())
-        return pd.DataFrame({"key": [rows["key"].iat[0]], "other": [rows["id"].iat[i]], "agree": [int(agree[i])], "c": [rows["component"].iat[i]]})
+        return pd.DataFrame({"key": [rows["key"].iat[0]], "blocks": [rows["blocks"].iat[0]], "other": [rows["id"].iat[i]], "agree": [int(agree[i])], "c": [rows["component"].iat[i]]})
 
     # tasks of few rows, since each costs more than it reads
     rows = rows.repartition(tasks_for(members.count(), 4 * BLOCK), "key", "block")
-    found = rows.groupBy("key", "block").applyInPandas(centre, "key long, other long, agree long, c long")
-    centres = found.groupBy("key").agg(F.max(F.struct("agree", "other", "c")).alias("m")).select("key", "m.other", "m.c")
-    pairs = members.join(centres, "key").where("component <> c")
+    found = rows.groupBy("key", "block").applyInPandas(centre, "key long, blocks int, other long, agree long, c long")
+    centres = found.groupBy("key").agg(F.max(F.struct("agree", "other", "c")).alias("m"), F.first("blocks").alias("blocks")).select("key", "blocks", "m.other", "m.c")
+    pairs = members.join(_each_block(centres), ["key", "block"]).where("component <> c")
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """Add blocks (how many a bucket needs, by members and by their n_shingles) and block (the member's)."""
-    own = F.sum("n_shingles") if "n_shingles" in members.columns else F.lit(0)
-    need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(own / BLOCK_SHINGLES), F.lit(1))
-    counted = members.groupBy("key").agg(need.cast("int").alias("blocks"))
-    return members.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-
-
 def _across(members: DataFrame, classes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: links between components of a bucket, enough of them to join what belongs together.
 
-    ``members``: key, band, id, component.  Blocks meet blocks; in each meeting
+    ``members``: key, band, id, blocks, block, component.  Blocks meet blocks; in each meeting
     pairs of different components that share no earlier band are compared on
     their whole sets, as the caller's check does.  Two components are taken as
     one after their first link, so a meeting returns fewer pairs than it has
     members.
     """
-    rows = _in_blocks(members).drop("n_shingles").join(classes, "id").join(known, "id")
+    rows = members.join(classes, "id").join(known, "id")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     columns = ["key", "band", "id", "component", "block", "bands", "shingles"]
     rows = rows.select(*columns, F.explode(meets).alias("m")).select(*columns, "m.i", "m.j")
@@ -217,9 +218,13 @@ def link(docs: DataFrame, signatures, k: int, percent: int = 80) -> DataFrame:
     )
     classes = written(classes, "classes")
     # Equal ids with different texts: one document, whose classes are joined by its id.
-    dealt = classes.select("id", "n_shingles", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "band", "id", "n_shingles")
-    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = written(dealt.join(shared, "key").distinct(), "members")
+    dealt = classes.select("id", "n_shingles", F.posexplode("bands").alias("band", "value"))
+    dealt = dealt.select(F.xxhash64("band", "value").alias("key"), "band", "id", "n_shingles", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int").alias("salt"))
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), need.alias("blocks")).where("n > 1")
+    shared = shared.select("key", "blocks", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    members = written(dealt.join(shared, ["key", "salt"]).select("key", "band", "id", "blocks", block.alias("block")).distinct(), "members")
     wanted = written(members.select("id").distinct(), "wanted")
     found = written(whole_sets(docs, wanted, k), "sets")
     known = written(found.repartition("id"), "sets_by_id")
@@ -235,9 +240,9 @@ def link(docs: DataFrame, signatures, k: int, percent: int = 80) -> DataFrame:
 
     def several(labels: DataFrame) -> DataFrame:
         """Members of buckets that hold more than one component, with these."""
-        own = members.join(labels, "id", "left").select("key", "band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
-        mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
-        return written(own.join(mixed.select("key"), "key"), "mixed")
+        own = members.join(labels, "id", "left").select("key", "band", "id", "blocks", "block", F.coalesce("component", "id").alias("component"))
+        mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.first("blocks").alias("blocks")).where("lo <> hi and n > 2")
+        return written(own.join(_each_block(mixed.select("key", "blocks")), ["key", "block"]), "mixed")
 
     tested = links = labels = None
     left, used = members, [members, wanted, known]

@@ -642,7 +642,7 @@ def test_last_turn_compares_whole_shingles(spark):
         (2, 12): [*range(1, 21)],
         (2, 13): [*range(3, 21), 50 + (high << 2)],
     }
-    members = spark.createDataFrame([(key, 0, i, i) for key, i in sets_of], "key long, band int, id long, component long")
+    members = spark.createDataFrame([(key, 0, i, 1, 0, i) for key, i in sets_of], "key long, band int, id long, blocks int, block int, component long")
     classes = spark.createDataFrame([(i, [key]) for key, i in sets_of], "id long, bands array<long>")
     known = spark.createDataFrame([(i, x) for (_, i), x in sets_of.items()], "id long, shingles array<long>")
     assert sorted(map(tuple, near._across(members, classes, known, 80).collect())) == [(1, 2), (11, 12), (12, 13)]
