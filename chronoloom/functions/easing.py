@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ BOUNCE_CURVATURE, BOUNCE_UNIT = 7.5625, 2.75
 BOUNCE_PIECES = ((1.0, 0.0, 0.0), (2.0, 1.5, 0.75), (2.5, 2.25, 0.9375), (None, 2.625, 0.984375))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and hand it to ``body`` as a bound variable; expressions would be copied instead."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def linear(t: Column) -> Column:
     return t
 
@@ -58,31 +64,34 @@ def first_root(p0: Column, p1: Column, p2: Column, p3: Column, slack: float = 1e
     Of several the first in the order of Cardano's formulas: for three real
     roots by the angles 0, 120 and 240 degrees.
     """
-    a, b, c, d = 3 * (p0 - 2 * p1 + p2), 3 * (p1 - p0), p0, -p0 + 3 * (p1 - p2) + p3
-    zero = lambda x: F.abs(x) < slack
-    over = F.try_divide
-    flat, line = zero(d), zero(a)
-    straight = F.when(zero(b), F.array(F.lit(float("nan")))).otherwise(F.array(over(-c, b)))
-    root = F.sqrt(b * b - 4 * a * c)
-    parabola = F.array(over(root - b, 2 * a), over(-root - b, 2 * a))
-    a, b, c = over(a, d), over(b, d), over(c, d)
-    third, q = a / 3, (3 * b - a * a) / 9
-    r = (2 * a * a * a - 9 * a * b + 27 * c) / 54
-    rest = r * r + q * q * q
-    length, angle = 2 * F.sqrt(-q), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), over(-r, F.sqrt(-q * q * q)))))
-    three = F.array(*[length * F.cos((angle + turn * 2 * math.pi) / 3) - third for turn in range(3)])
-    two = F.array(-2 * F.cbrt(r) - third, F.cbrt(r) - third)
-    one = F.array(F.cbrt(F.sqrt(rest) - r) - F.cbrt(F.sqrt(rest) + r) - third)
-    options = F.when(flat & line, straight).when(flat, parabola).when(rest < 0, three).when(rest == 0, two).otherwise(one)
-    inside = F.filter(options, lambda t: (t >= -slack) & (t <= 1 + slack))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.get(inside, 0))), F.lit(float("nan")))
+    zero, over, nan = (lambda x: F.abs(x) < slack), F.try_divide, F.lit(float("nan"))
+    cubic = F.struct((3 * (p0 - 2 * p1 + p2)).alias("a"), (3 * (p1 - p0)).alias("b"), p0.alias("c"), (-p0 + 3 * (p1 - p2) + p3).alias("d"))
+
+    def options(x: Column) -> Column:
+        a, b, c, d = (x[n] for n in "abcd")
+        straight = F.when(zero(b), F.array(nan)).otherwise(F.array(over(-c, b)))
+        parabola = let(F.sqrt(b * b - 4 * a * c), lambda root: F.array(over(root - b, 2 * a), over(-root - b, 2 * a)))
+        return F.when(zero(d) & zero(a), straight).when(zero(d), parabola).otherwise(let(F.struct(over(a, d).alias("a"), over(b, d).alias("b"), over(c, d).alias("c")), reduced))
+
+    def reduced(x: Column) -> Column:
+        a, b, c = (x[n] for n in "abc")
+        return let(F.struct((a / 3).alias("third"), ((3 * b - a * a) / 9).alias("q"), ((2 * a * a * a - 9 * a * b + 27 * c) / 54).alias("r")), lambda y: let(y["r"] * y["r"] + y["q"] * y["q"] * y["q"], lambda rest: by_sign(y["third"], y["q"], y["r"], rest)))
+
+    def by_sign(third: Column, q: Column, r: Column, rest: Column) -> Column:
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), over(-r, F.sqrt(-q * q * q)))))
+        three = let(angle, lambda t: F.array(*[2 * F.sqrt(-q) * F.cos((t + turn * 2 * math.pi) / 3) - third for turn in range(3)]))
+        two = F.array(-2 * F.cbrt(r) - third, F.cbrt(r) - third)
+        return F.when(rest < 0, three).when(rest == 0, two).otherwise(F.array(F.cbrt(F.sqrt(rest) - r) - F.cbrt(F.sqrt(rest) + r) - third))
+
+    inside = F.filter(let(cubic, options), lambda t: (t >= -slack) & (t <= 1 + slack))
+    return let(F.get(inside, 0), lambda t: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), nan))
 
 
 def cubic_bezier_any(progress: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """:func:`cubic_bezier` for x controls of any size, where a curve may have several heights or none: then 1."""
-    t = first_root(-progress, x1 - progress, x2 - progress, 1 - progress)
-    height = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _bezier(t, y1, y2)))
-    return F.when(F.abs(progress) < 1e-7, 0.0).when(F.abs(progress - 1) < 1e-7, 1.0).when(F.isnan(t), 1.0).otherwise(height)
+    height = lambda t: F.when(F.isnan(t), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _bezier(t, y1, y2))))
+    inner = let(first_root(-progress, x1 - progress, x2 - progress, 1 - progress), height)
+    return F.when(F.abs(progress) < 1e-7, 0.0).when(F.abs(progress - 1) < 1e-7, 1.0).otherwise(inner)
 
 
 def eased(kind: Column, t: Column, controls: tuple = (0.25, 0.1, 0.25, 1.0)) -> Column:
