@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
-import tempfile
 from urllib.parse import unquote, urlparse
 
 
@@ -37,18 +35,13 @@ def put(uri: str, write) -> None:
 
 
 def mapped(uri: str, dtype: str):
-    """A file of numbers, memory-mapped; one in a remote store is fetched first."""
+    """A file of numbers, memory-mapped; one in a remote store is read into memory, never onto this machine's disk."""
     import numpy as np
 
-    path = local_path(uri)
-    if path is None:
+    if (path := local_path(uri)) is None:
         from pyarrow import fs
 
         store, far = fs.FileSystem.from_uri(uri)
-        copy = tempfile.NamedTemporaryFile()  # this worker's own, gone when it is closed
-        with store.open_input_stream(far) as f:
-            shutil.copyfileobj(f, copy)
-        copy.flush()
-        path = copy.name
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
+        with store.open_input_file(far) as f:
+            return np.frombuffer(f.read_buffer(), dtype)
     return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)

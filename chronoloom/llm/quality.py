@@ -12,9 +12,10 @@ Texts are read once; what is counted goes to a written table of a few dozen
 numbers for each document, from which references and distances come.
 
 Nulls: a null text has no words and fails the base rules; documents with a null
-language share one reference.  Repeated ids are judged row by row, empty tables
-give empty results, other columns are ignored.  Windows are compared by 64-bit
-hashes within one document.
+language share one reference.  Repeated ids and rows are judged row by row;
+nothing depends on ties.  Texts of any length are read whole.  Empty tables
+give empty results, other columns are ignored, whatever their names.  Windows
+are compared by 64-bit hashes within one document.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 from collections import Counter, defaultdict
 
@@ -469,6 +470,18 @@ def test_pieces_of_one_document_need_not_meet(spark):
     assert max(r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()) < 100_000
 
 
+def test_files_of_a_remote_store_are_read_into_memory(monkeypatch):
+    from pyarrow import fs
+
+    from chronoloom.llm import files
+
+    store = fs._MockFileSystem()
+    monkeypatch.setattr(fs, "FileSystem", types.SimpleNamespace(from_uri=lambda uri: (store, uri.partition("://")[2])))
+    for numbers in (np.arange(1000, dtype="<u2"), np.zeros(0, "<u2")):
+        files.put("far://set/x.bin", lambda f, numbers=numbers: f.write(numbers.tobytes()))
+        assert files.mapped("far://set/x.bin", "<u2").tolist() == numbers.tolist()
+
+
 def test_token_files(spark, make, odd, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_BYTES", 20_000)
     docs = make(odd)
