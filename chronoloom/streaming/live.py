@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..session import shared_dir, workers_import
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+#: Rows that a fold with state returns at a time.
+_ROWS = 1 << 16
 
 
 def frames(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
@@ -75,33 +78,38 @@ def in_order(stream: DataFrame, hold: int, delay: str = "0 seconds") -> DataFram
     """Packets of each track by number: released once one ``hold`` higher was seen, dropped if too late.
 
     ``stream``: track, number (unwrapped), at (when it arrived, so that no
-    packet is behind the watermark).  State is what waits, at most the numbers
-    within ``hold`` of the highest, and the highest.  Once the watermark has
-    passed a track's last packet, what waits is released.
+    packet is behind the watermark).  Packets of one micro-batch come together,
+    in whatever order they are read: a packet is late by what earlier batches
+    brought.  Of packets that wait under one number one is released.  State is
+    what waits, at most the numbers within ``hold`` of the highest, and the
+    highest; a task holds a batch's numbers of a track in arrays.  Once the
+    watermark has passed a track's last packet, what waits is released.
     """
     workers_import(stream.sparkSession)
 
+    def rows_of(track: str, numbers: np.ndarray, late: bool) -> Iterator[pd.DataFrame]:
+        for lo in range(0, max(1, len(numbers)), _ROWS):
+            yield pd.DataFrame({"track": track, "number": numbers[lo : lo + _ROWS], "late": late})
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, top = (set(state.get[0]), state.get[1]) if state.exists else (set(), -1)
-        out: list[tuple] = []
+        waiting, top = (np.array(state.get[0], np.int64), state.get[1]) if state.exists else (np.empty(0, np.int64), -1)
         if state.hasTimedOut:
-            out, waiting = [(key[0], n, False) for n in sorted(waiting)], set()
             state.update(([], top))
-        else:
-            last = 0
-            for rows in batches:
-                last = max(last, int(rows["at"].max().timestamp() * 1000))
-                for number in sorted(rows["number"].tolist()):
-                    if number < top - hold:
-                        out.append((key[0], number, True))
-                        continue
-                    waiting.add(number)
-                    top = max(top, number)
-            ready = sorted(n for n in waiting if n < top - hold)
-            out += [(key[0], n, False) for n in ready]
-            state.update((sorted(waiting - set(ready)), top))
-            state.setTimeoutTimestamp(max(last - 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["track", "number", "late"])
+            yield from rows_of(key[0], np.sort(waiting), False)
+            return
+        last, came = 0, []
+        for rows in batches:
+            last = max(last, int(rows["at"].max().timestamp() * 1000))
+            came.append(rows["number"].to_numpy(np.int64))
+        numbers = np.concatenate(came)
+        late = numbers < top - hold
+        waiting = np.unique(np.concatenate([waiting, numbers[~late]]))
+        top = max([top, *waiting[-1:].tolist()])
+        ready = np.searchsorted(waiting, top - hold)
+        state.update((waiting[ready:].tolist(), top))
+        state.setTimeoutTimestamp(max(last - 1, state.getCurrentWatermarkMs() + 1))
+        yield from rows_of(key[0], np.sort(numbers[late]), True)
+        yield from rows_of(key[0], waiting[:ready], False)
 
     rows = stream.select("track", "number", "at").withWatermark("at", delay)
     return rows.groupBy("track").applyInPandasWithState(step, "track string, number long, late boolean", "waiting array<long>, top long", "append", GroupStateTimeout.EventTimeTimeout)

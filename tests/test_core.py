@@ -385,6 +385,17 @@ def test_late_packets_of_a_stream_and_its_end(spark, tmp_path):
     assert sorted(r.number for r in out) == [1, 2, 3, 4, 5, 9, 11, 12, 13] and {r.number for r in out if r.late} == {3, 4}
 
 
+def test_packets_of_a_batch_are_not_late_by_each_other(spark, tmp_path):
+    """One file is one batch, in whatever order its rows reach the task and however many pieces they come in."""
+    folder = tmp_path / "in"
+    for n, numbers in enumerate((range(30_000, 0, -1), [30_100, 29_960, 29_940, 30_100])):
+        rows = [("t", i, n * 10 + 10) for i in numbers]
+        spark.createDataFrame(rows, "track string, number long, s long").select("track", "number", F.timestamp_seconds("s").alias("at")).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema("track string, number long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    out = live.drain(live.in_order(stream, hold=50)).collect()
+    assert sorted((r.number, r.late) for r in out) == sorted([(i, False) for i in range(1, 30_001)] + [(29_940, True), (30_100, False)])
+
+
 def test_timers(spark):
     """5 ms ticks: each slot of 30 a second falls due at the first tick at or after it."""
     timer = live.ticks(spark, 5, per_batch=100)
