@@ -102,17 +102,18 @@ def clipped_radius(radius: Column, width: Column, height: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(radius, F.greatest(F.lit(0.0), F.least(width, height) / 2)))
 
 
-def flex(parents: DataFrame, children: DataFrame) -> DataFrame:
+def flex(parents: DataFrame, children: DataFrame, clip: bool = True) -> DataFrame:
     """Children of views in a row or column: adds top, left, child_width, child_height, scale.
 
     ``parents``: parent_id, view_width, view_height, direction, border,
     pad_top, pad_right, pad_bottom, pad_left, overflow.  ``children``:
     parent_id, child_ix, width, height (null where unknown).  Children of
-    unknown size share what the others leave; ``fit`` scales all down.
+    unknown size share what the others leave; ``fit`` scales all down.  Borders
+    wider than the view leave no room inside; without ``clip`` they leave less than none.
     """
     j = children.join(parents, "parent_id")
     row = F.col("direction") == "row"
-    own_w, own_h = F.greatest(F.lit(0.0), F.col("view_width") - 2 * F.col("border")), F.greatest(F.lit(0.0), F.col("view_height") - 2 * F.col("border"))
+    own_w, own_h = (F.greatest(F.lit(0.0), x) if clip else x for x in (F.col("view_width") - 2 * F.col("border"), F.col("view_height") - 2 * F.col("border")))
     main, cross = F.when(row, F.col("width")).otherwise(F.col("height")), F.when(row, F.col("height")).otherwise(F.col("width"))
     w = Window.partitionBy("parent_id")
     total, unknown, widest = F.coalesce(F.sum(main).over(w), F.lit(0.0)), F.count_if(main.isNull()).over(w), F.coalesce(F.max(cross).over(w), F.lit(0.0))

@@ -396,6 +396,23 @@ def test_packets_of_a_batch_are_not_late_by_each_other(spark, tmp_path):
     assert sorted((r.number, r.late) for r in out) == sorted([(i, False) for i in range(1, 30_001)] + [(29_940, True), (30_100, False)])
 
 
+def test_views_with_borders_wider_than_they_are(spark, tmp_path):
+    """Against the query's SQL over more parts than the smallest tables have, and the clipped form."""
+    import duckdb
+
+    from chronoloom.plans.queries import ORACLE_SQL, QUERIES
+
+    spark.range(5000, 5200).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    out = QUERIES["view_flex"](spark, str(tmp_path))
+    want = duck.sql(f"SELECT * FROM ({ORACLE_SQL['view_flex']})").fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(want) and min(r[5] for r in want) < -6
+    parents = spark.createDataFrame([(1, 100.0, 50.0, "row", 30.0, 3.0, 5.0, 3.0, 5.0, "hidden")], "parent_id long, view_width double, view_height double, direction string, border double, pad_top double, pad_right double, pad_bottom double, pad_left double, overflow string")
+    children = spark.createDataFrame([(1, 0, 10.0, None)], "parent_id long, child_ix long, width double, height double")
+    assert [values(scene.flex(parents, children, clip=c), "child_height") for c in (True, False)] == [[(-6.0,)], [(-16.0,)]]
+
+
 def test_timers(spark):
     """5 ms ticks: each slot of 30 a second falls due at the first tick at or after it."""
     timer = live.ticks(spark, 5, per_batch=100)
