@@ -4,30 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 
-def sliding(rows: DataFrame, keys: list[str], time: str, window_ns: int, aggregates: dict[str, Column], slice_ns: int | None = None) -> DataFrame:
+#: How each aggregate of a window follows from those of its two parts.
+_JOINED = {
+    "count": (F.count, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+}
+
+
+def _halves(x: Column) -> tuple[Column, Column]:
+    """Two doubles that make up ``x``, the first of 24 bits: summed apart, long sums lose next to nothing."""
+    fits = F.abs(x) < F.lit(1e38)
+    high = F.when(fits, x.cast("float").cast("double")).otherwise(x)
+    return high, F.when(fits, x - high).otherwise(F.lit(0.0))
+
+
+def sliding(rows: DataFrame, keys: list[str], time: str, window_ns: int, aggregates: dict[str, tuple[str, Column]]) -> DataFrame:
     """Add aggregates over the last ``window_ns``, both ends included.
 
-    A stream is cut into slices of at least the window's length; a row is also
-    sent to the next slice, so a window never needs more than its own slice and
-    the rows just before it, and long streams spread over many tasks.
+    ``aggregates``: for each new column count, sum, avg (in doubles), min or max
+    and of what.  A stream is cut into blocks of a window's length, so that a
+    window is the first rows of its own block and the last ones of the block
+    before.  A row is also sent to the next block, at the time from which on
+    windows leave it out; one pass forwards aggregates own rows up to each time,
+    one backwards the sent rows from each time on.  Both run on, so dense
+    windows cost no more than sparse ones.  Rows without a time see each other.
     """
-    size = max(slice_ns or 0, window_ns, 1)
-    own = F.floor(F.col(time) / F.lit(size)).cast("long")
-    # only rows within a window's length of the slice's end can matter in the next one
-    late = F.col(time) - own * size >= size - window_ns
-    spread = rows.withColumn("__slice", own).withColumn("__to", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
-    w = Window.partitionBy(*keys, "__to").orderBy(time).rangeBetween(-window_ns, Window.currentRow)
-    for name, aggregate in aggregates.items():
-        spread = spread.withColumn(name, aggregate.over(w))
-    return spread.where(F.col("__to") == F.col("__slice")).drop("__to", "__slice")
+    size, at = max(window_ns, 1), F.col(time)
+    block = at - F.pmod(at, F.lit(size))
+    to = lambda own, b, t: F.struct(F.lit(own).alias("own"), b.cast("long").alias("block"), t.cast("long").alias("at"))
+    own, sent = to(True, block, at), to(False, block + size, at + window_ns)
+    spread = rows.withColumn("__to", F.explode(F.when(at.isNotNull(), F.array(own, sent)).otherwise(F.array(own))))
+    parts: dict[str, tuple[str, Column]] = {}
+    for name, (kind, value) in aggregates.items():
+        if kind == "avg":
+            parts[f"__n_{name}"] = "count", value
+            value = value.cast("double")
+        if kind == "avg" or kind == "sum" and isinstance(rows.select(value).schema[0].dataType, (DoubleType, FloatType)):
+            parts |= {f"__{half}_{name}": ("sum", x) for half, x in zip("hl", _halves(value.cast("double")), strict=True)}
+        else:
+            parts[name] = kind, value
+    w = Window.partitionBy(*keys, "__to.block").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before, after = {}, {}
+    for name, (kind, value) in parts.items():
+        run = _JOINED[kind][0]
+        before[f"__b_{name}"] = run(F.when(F.col("__to.own"), value)).over(w.orderBy("__to.at"))
+        after[f"__a_{name}"] = run(F.when(~F.col("__to.own"), value)).over(w.orderBy(F.desc("__to.at")))
+    spread = spread.withColumns(before | after).where("__to.own")
+    whole = {n: _JOINED[kind][1](F.col(f"__b_{n}"), F.col(f"__a_{n}")) for n, (kind, _) in parts.items()}
+    total = lambda n: whole[n] if n in whole else whole[f"__h_{n}"] + whole[f"__l_{n}"]
+    out = {n: total(n) if kind != "avg" else F.when(whole[f"__n_{n}"] > 0, total(n) / whole[f"__n_{n}"]) for n, (kind, _) in aggregates.items()}
+    return spread.withColumns(out).drop("__to", *before, *after)
 
 
 def bit_rate(rows: DataFrame, keys: list[str], time: str, size: str, windows: dict[str, int]) -> DataFrame:
     """Add bits a second over each named window of whole seconds, in whole numbers."""
     for name, length in windows.items():
-        rows = sliding(rows, keys, time, length * 1_000_000_000, {name: F.sum(size)})
+        rows = sliding(rows, keys, time, length * 1_000_000_000, {name: ("sum", F.col(size))})
         rows = rows.withColumn(name, F.floor(F.col(name) * 8 / length).cast("long"))
     return rows
 

@@ -104,7 +104,7 @@ def tumbling_counts(s, d):
 )
 def sliding_stats(s, d):
     p = F.col("payload")
-    out = stats.sliding(_frames(s, d), ["input_id"], "pts", 6 * H, {"n": F.count(F.lit(1)), "total": F.sum(p), "mean": F.avg(p), "low": F.min(p), "high": F.max(p)}, slice_ns=2 * D)
+    out = stats.sliding(_frames(s, d), ["input_id"], "pts", 6 * H, {"n": ("count", F.lit(1)), "total": ("sum", p), "mean": ("avg", p), "low": ("min", p), "high": ("max", p)})
     return out.select("frame_id", "input_id", "n", F.round("total", 4).alias("total"), F.round("mean", 9).alias("mean"), "low", "high")
 
 

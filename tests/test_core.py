@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoloom import clock
 from chronoloom.functions import colors, media
-from chronoloom.operators import align, folds, jitter, lifecycle, mix, ordered, scene, sequence, sessions
+from chronoloom.operators import align, folds, jitter, lifecycle, mix, ordered, scene, sequence, sessions, stats
 from chronoloom.plans.components import SCHEMA as COMPONENTS
 from chronoloom.plans.components import component, rows
 from chronoloom.plans.engine import Engine, RequestError, view
@@ -413,6 +415,33 @@ def test_views_with_borders_wider_than_they_are(spark, tmp_path):
     assert [values(scene.flex(parents, children, clip=c), "child_height") for c in (True, False)] == [[(-6.0,)], [(-16.0,)]]
 
 
+def test_sliding_windows_against_a_plain_loop(spark):
+    """Ties of time, times below zero and missing, null, infinite and uneven values, windows that hold all rows, and none but their own."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(-60, 60)]), rng.choice([None, 1e16, 0.1, -3.25, rng.random()]), rng.choice([None, *range(-9, 9)])) for i in range(400)]
+    rows += [(400, "c", 0, float("inf"), 1), (401, "c", 3, 1e300, 1), (402, "c", 30, 2.0, 2)]
+    df = spark.createDataFrame(rows, "id long, k string, t long, x double, y long")
+    for window in (0, 1, 7, 1000):
+        out = stats.sliding(df, ["k"], "t", window, {"n": ("count", F.lit(1)), "s": ("sum", F.col("x")), "m": ("avg", F.col("y")), "lo": ("min", F.col("x")), "hi": ("max", F.col("y")), "ys": ("sum", F.col("y"))})
+        assert out.columns == [*df.columns, "n", "s", "m", "lo", "hi", "ys"] and out.schema["ys"].dataType == df.schema["y"].dataType
+        found = {r.id: tuple(r)[5:] for r in out.collect()}
+        for i, k, t, _, _ in rows:
+            inside = [r for r in rows if r[1] == k and (r[2] is None if t is None else r[2] is not None and t - window <= r[2] <= t)]
+            x, y = [r[3] for r in inside if r[3] is not None], [r[4] for r in inside if r[4] is not None]
+            want = (len(inside), sum(x) if float("inf") in x else math.fsum(x) if x else None, sum(y) / len(y) if y else None, min(x, default=None), max(y, default=None), sum(y) if y else None)
+            assert all(a == b or a is not None and b is not None and a == pytest.approx(b, rel=1e-15) for a, b in zip(found[i], want, strict=True)), (window, i)
+
+
+def test_sliding_windows_that_are_dense(spark):
+    """A window of 30,000 rows at every row, 60,000 rows in all; sums don't drift."""
+    df = spark.range(60_000).select("id", F.lit("a").alias("k"), (F.col("id") % 7 / 10 + F.lit(0.01)).alias("x"))
+    start = time.time()
+    out = stats.sliding(df, ["k"], "id", 29_999, {"n": ("count", F.lit(1)), "s": ("sum", F.col("x")), "hi": ("max", F.col("x"))}).where("id in (29999, 59999)").orderBy("id")
+    cents = [1 + 10 * (i % 7) for i in range(60_000)]
+    assert [tuple(r)[3:] for r in out.collect()] == [(30_000, sum(cents[lo : lo + 30_000]) / 100, 0.61) for lo in (0, 30_000)]
+    assert time.time() - start < 30
+
+
 def test_timers(spark):
     """5 ms ticks: each slot of 30 a second falls due at the first tick at or after it."""
     timer = live.ticks(spark, 5, per_batch=100)
