@@ -13,9 +13,14 @@ finds its sequence by its rank among the pieces of its length.
 Ranks come from the rows' place in their input split (a chunk) and from prefix
 sums over the chunks; so no task sees more than a split, and a document with
 any number of pieces needs none of them together: full pieces are sequences of
-their own and are settled at once.  The driver holds the histogram and the
-steps, of which there are at most a few hundred for each length: a sequence
-takes pieces of at most ``sqrt(2 * length)`` different lengths.
+their own and are settled at once.  Where documents are cut and packed in one
+go, ``cut`` ranks its pieces itself and ``pack_ranked`` takes them: a second
+Python function behind it would give each task a second worker process, and
+these stay, with what they hold, for as long as the workers are in use.
+
+The driver holds the histogram and the steps, of which there are at most a few
+hundred for each length: a sequence takes pieces of at most
+``sqrt(2 * length)`` different lengths.
 
 Nulls: a null text is an empty document, which still has its end id; a null id
 is kept.  Rows with equal ids or texts are packed each; pieces of equal length
@@ -46,19 +51,39 @@ from .tokens import MAX_PIECES, encoder, spread
 _BYTES, _ROWS = 4 << 20, 8192
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048, width: int = 2, ids: bool = True, max_pieces: int | None = None) -> DataFrame:
+_RANKED = ["chunk", "rank"]
+
+
+class Ranks:
+    """Chunk of a task's pieces, and the rank of each among those of its length and chunk."""
+
+    def __init__(self, length: int):
+        self.chunk, self.seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
+
+    def columns(self, size: np.ndarray) -> list[pa.Array]:
+        """Of the next pieces."""
+        order = np.argsort(size, kind="stable")
+        of, start, many = np.unique(size[order], return_index=True, return_counts=True)
+        rank = np.empty(len(size), np.int64)
+        rank[order] = np.arange(len(size)) - np.repeat(start, many) + self.seen[size[order]]
+        self.seen[of] += many
+        return [pa.array(np.full(len(size), self.chunk)), pa.array(rank)]
+
+
+def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048, width: int = 2, ids: bool = True, max_pieces: int | None = None, ranked: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids): ids are little-endian, ``width`` bytes each.
 
     ``ids_crc32`` is taken over ids of 32 bits, whatever the width.  Without
     ``ids`` that column is left out and only numbers leave the worker.  With
     ``max_pieces`` the encoder's table holds no more and is emptied after each
-    task, for jobs whose other stages need the workers' memory.
+    task, for jobs whose other stages need the workers' memory.  ``ranked`` adds
+    the columns (chunk, rank) of :func:`pack_ranked`.
     """
 
     def encode(batches):
         coder = encoder(tokenizer, width)
         coder.max_pieces = max_pieces or MAX_PIECES
-        end = np.array(end_id, coder.dtype)
+        end, ranks = np.array(end_id, coder.dtype), Ranks(length)
         for batch in batches:
             for lo, hi in slices(batch.column(1), _BYTES):
                 rows = batch.slice(lo, hi - lo)
@@ -84,6 +109,9 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048, wi
                     offsets = pa.py_buffer(np.concatenate([[0], ends * width]).astype(np.int64))
                     arrays.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, offsets, pa.py_buffer(flat)]))
                     names.append("ids")
+                if ranked:
+                    arrays += ranks.columns(size)
+                    names += _RANKED
                 out = pa.RecordBatch.from_arrays(arrays, names=names)
                 for a in range(0, out.num_rows, _ROWS):
                     part = out.slice(a, _ROWS)
@@ -93,7 +121,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048, wi
 
     workers_import(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(lean(encode), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
+    return rows.mapInArrow(lean(encode), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids + ", chunk long, rank long" * ranked)
 
 
 class OpenBins:
@@ -202,25 +230,28 @@ def pack(pieces: DataFrame, length: int = 2048) -> DataFrame:
     negative numbers.
     """
     workers_import(pieces.sparkSession)
-    own = ["sequence_id", "offset", "chunk", "rank"]
-    if taken := {c.lower() for c in pieces.columns} & set(own):
+    if taken := {c.lower() for c in pieces.columns} & {"sequence_id", "offset", *_RANKED}:
         raise ValueError(f"the input has columns {sorted(taken)}")
-    at = pieces.columns.index("length")
+    at, names = pieces.columns.index("length"), [*pieces.columns, *_RANKED]
 
     def number(batches):
-        chunk, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
+        ranks = Ranks(length)
         for batch in batches:
-            size = batch.column(at).to_numpy()
-            order = np.argsort(size, kind="stable")
-            of, start, many = np.unique(size[order], return_index=True, return_counts=True)
-            rank = np.empty(len(size), np.int64)
-            rank[order] = np.arange(len(size)) - np.repeat(start, many) + seen[size[order]]
-            seen[of] += many
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), chunk)), pa.array(rank)], names=[*names, "chunk", "rank"])
-
-    names = pieces.columns
-    longs = lambda *x: [T.StructField(c, T.LongType()) for c in x]
-    numbered = written(pieces.mapInArrow(number, T.StructType([*pieces.schema.fields, *longs("chunk", "rank")])), "numbered")
+            yield pa.RecordBatch.from_arrays([*batch.columns, *ranks.columns(batch.column(at).to_numpy())], names=names)
+
+    return pack_ranked(pieces.mapInArrow(number, T.StructType([*pieces.schema.fields, *_longs(*_RANKED)])), length)
+
+
+def _longs(*names: str) -> list[T.StructField]:
+    return [T.StructField(c, T.LongType()) for c in names]
+
+
+def pack_ranked(pieces: DataFrame, length: int = 2048) -> DataFrame:
+    """:func:`pack` for pieces whose last two columns are (chunk, rank), which the result leaves out."""
+    workers_import(pieces.sparkSession)
+    names, fields = pieces.columns[:-2], pieces.schema.fields[:-2]
+    at = names.index("length")
+    numbered = written(pieces, "numbered")
     full, rest = numbered.where(F.col("length") == length), numbered.where(F.col("length") != length)
     many = written(rest.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     # the histogram has at most ``length`` rows
@@ -234,6 +265,6 @@ def pack(pieces: DataFrame, length: int = 2048) -> DataFrame:
             numbers, places = steps.place(batch.column(at).to_numpy(), batch.column(len(names)).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(numbers), pa.array(places)], names=[*names, "sequence_id", "offset"])
 
-    placed = ranked.mapInArrow(lean(place), T.StructType([*pieces.schema.fields, *longs("sequence_id", "offset")]))
+    placed = ranked.mapInArrow(lean(place), T.StructType([*fields, *_longs("sequence_id", "offset")]))
     alone = -1 - F.shiftleft("chunk", 38) - F.col("rank")
     return placed.unionByName(full.select(*names, alone.alias("sequence_id"), F.lit(0).cast("long").alias("offset")))

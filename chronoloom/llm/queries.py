@@ -56,8 +56,8 @@ def tokenizer_path() -> str:
 
 
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.cut(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, length=2048, ids=False)
-    return packing.pack(pieces, length=2048)
+    pieces = packing.cut(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, length=2048, ids=False, ranked=True)
+    return packing.pack_ranked(pieces, length=2048)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

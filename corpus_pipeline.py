@@ -51,7 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their ids (16-bit, little-endian), sequence and place in it."""
-    return packing.pack(packing.cut(docs, tokenizer_path(), end_id=0, length=SEQUENCE_LENGTH, width=2, max_pieces=150_000), SEQUENCE_LENGTH)
+    pieces = packing.cut(docs, tokenizer_path(), end_id=0, length=SEQUENCE_LENGTH, width=2, max_pieces=150_000, ranked=True)
+    return packing.pack_ranked(pieces, SEQUENCE_LENGTH)
 
 
 STAGES = [

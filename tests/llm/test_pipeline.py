@@ -9,7 +9,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.llm import pii, shingles, tokens, toxicity
+from chronoloom.llm import common, mixing, near, packing, pii, shingles, tokens, toxicity
 
 from .test_operators import brute_added, brute_best_fit, brute_components, brute_takes, encoded
 
@@ -123,3 +123,23 @@ def test_stage_over_odd_rows(spark, make, odd, tmp_path, name):
         CHECKS[name](docs, out)
     empty = STAGES[name](spark, docs.limit(0), str(tmp_path))
     assert empty.count() == 0 and empty.columns == out.columns
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_a_task_needs_one_python_worker(spark, make, odd, tmp_path, monkeypatch, name):
+    """Functions of Python that follow one another in a task have a worker process each, which stays."""
+    plans = []
+    for module in (mixing, near, packing, toxicity):
+        monkeypatch.setattr(module, "written", lambda df, name="table", f=common.written: plans.append(df) or f(df, name))
+    spark.createDataFrame([(100 + i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plans.append(STAGES[name](spark, make(odd), str(tmp_path)))
+
+    def workers(node):
+        """Most in one task that ends with this node, and most in any task below."""
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return workers(node.initialPlan())
+        below = [workers(c) for c in (node.children().apply(i) for i in range(node.children().size()))]
+        own = bool(re.search("InArrow|InPandas|EvalPython", node.nodeName())) + max((x for x, _ in below), default=0)
+        return 0 if "Exchange" in node.nodeName() else own, max([own, *(y for _, y in below)])
+
+    assert max(workers(df._jdf.queryExecution().executedPlan())[1] for df in plans) <= 1
